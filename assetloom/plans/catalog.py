@@ -1,4 +1,4 @@
 """Imports every query module once and exposes the registry."""
 
-from . import analysis_queries, raster_queries  # noqa: F401
+from . import analysis_queries, decide_queries, quality_queries, raster_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -68,7 +68,7 @@ def compare(spark, con, name: str, sf_dir: str) -> str | None:
 
 def main(names, sf: str = "sf0.01"):
     from assetloom.session import build_session
-    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"{DATA}/{sf}"
     con = connect(sf_dir)
