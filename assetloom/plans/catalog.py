@@ -1,4 +1,11 @@
 """Imports every query module once and exposes the registry."""
 
-from . import analysis_queries, decide_queries, quality_queries, raster_queries  # noqa: F401
+from . import (  # noqa: F401
+    analysis_queries,
+    decide_queries,
+    lint_queries,
+    metadata_queries,
+    quality_queries,
+    raster_queries,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401
