@@ -2,10 +2,13 @@
 
 from . import (  # noqa: F401
     analysis_queries,
+    bench_queries,
+    build_queries,
     decide_queries,
     lint_queries,
     metadata_queries,
     quality_queries,
     raster_queries,
+    responsive_queries,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401
