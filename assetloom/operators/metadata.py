@@ -99,5 +99,5 @@ def metadata_audit(segments: DataFrame) -> DataFrame:
 
 
 def ext_for_metadata(ext: Column, sniffed: Column) -> Column:
-    """Keep the input's extension, else name one from the sniffed container."""
-    return F.coalesce(F.nullif(ext, F.lit("")), F.when(sniffed == "png", "png").when(sniffed == "jpeg", "jpg"))
+    """Keep the input's extension in lower case, else 'png' for a sniffed PNG and 'jpg' for the rest."""
+    return F.coalesce(F.nullif(F.lower(ext), F.lit("")), F.when(sniffed == "png", "png").otherwise("jpg"))

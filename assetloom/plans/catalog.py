@@ -10,5 +10,6 @@ from . import (  # noqa: F401
     quality_queries,
     raster_queries,
     responsive_queries,
+    source_queries,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401

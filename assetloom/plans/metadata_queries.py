@@ -93,8 +93,8 @@ def m9(spark, sf):
     return M.metadata_audit(I.segments(spark, sf))
 
 
-@query("m10_ext_for_metadata", ctes(AS) + """SELECT asset_id, coalesce(nullif(CASE WHEN bytes % 4 = 0 THEN '' ELSE ext END, ''),
-    CASE lang WHEN 'de' THEN 'png' WHEN 'en' THEN 'jpg' END) AS ext FROM assets""")
+@query("m10_ext_for_metadata", ctes(AS) + """SELECT asset_id, CASE WHEN bytes % 4 <> 0 THEN lower(ext)
+    WHEN lang = 'de' THEN 'png' ELSE 'jpg' END AS ext FROM assets""")
 def m10(spark, sf):
     ext = F.when(F.col("bytes") % 4 == 0, F.lit("")).otherwise(F.col("ext"))
     sniffed = F.expr("case lang when 'de' then 'png' when 'en' then 'jpeg' end")
