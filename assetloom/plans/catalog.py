@@ -5,6 +5,7 @@ from . import (  # noqa: F401
     bench_queries,
     build_queries,
     decide_queries,
+    flow_queries,
     lint_queries,
     metadata_queries,
     quality_queries,

@@ -99,8 +99,13 @@ RFACTS = """rfacts AS (
 # --- assets: one per document ------------------------------------------------
 def assets(spark: SparkSession, sf: str) -> DataFrame:
     """Corpus rows with mixed-case extensions and colliding stems."""
+    return assets_from(table(spark, sf, "documents"))
+
+
+def assets_from(documents: DataFrame) -> DataFrame:
+    """The same columns from any frame of documents, batch or stream."""
     ext = E("element_at(array('jpg','PNG','webp','txt','gif'), cast(doc_id % 5 as int) + 1)")
-    return table(spark, sf, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("asset_id"),
         F.concat(F.lit("assets/"), "source", F.lit("/"), "lang", F.lit("/d"), E("doc_id % 700"),
                  F.lit("-"), E("doc_id div 700"), F.lit("."), ext).alias("path"),
@@ -117,8 +122,13 @@ AS = """assets AS (
 
 def asset_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Everything the lint rules read, per asset."""
+    return facts_from(table(spark, sf, "documents"))
+
+
+def facts_from(documents: DataFrame) -> DataFrame:
+    """The same columns from any frame of documents, batch or stream."""
     i = F.col("asset_id")
-    return assets(spark, sf).select(
+    return assets_from(documents).select(
         "asset_id", "path", "ext", "lang", "source", "bytes",
         F.when(F.lower("ext") == "jpg", "jpeg").otherwise(F.lower("ext")).alias("format"),
         E("cast(16 + bytes % 4000 as int)").alias("width"), E("cast(16 + bytes % 3000 as int)").alias("height"),
