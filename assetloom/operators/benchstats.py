@@ -11,38 +11,46 @@ from ..functions.paths import extension
 from ..schemas import require
 
 C = F.col
-SPLITS = 64
+RANGES_PER_OCTAVE, OCTAVES = 1024, 1100
+
+
+def value_range(v: Column) -> Column:
+    """Order-preserving integer range of a double: 1024 ranges per octave, either sign.
+
+    A fixed function of the value, so every evaluation agrees, unlike split points
+    taken from a sketch.
+    """
+    size = F.floor(F.log2(F.abs(v)) * RANGES_PER_OCTAVE) + OCTAVES * RANGES_PER_OCTAVE
+    return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, size).otherwise(-size)
 
 
 def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5,
-                   out: str | None = None) -> DataFrame:
-    """Exact interpolated quantile per group without gathering a group.
+                   out: str | None = None, count: str | None = None) -> DataFrame:
+    """Exact interpolated quantile per group without gathering or ordering a group.
 
-    Values collapse to counts; a small sketch of split points cuts each group's
-    distinct values into about 64 ranges; range totals locate the wanted ranks and
-    only the one or two ranges holding them are ordered, each in its own task.
+    Values collapse to counts while still spread over (group, value). Totals per
+    value range locate the wanted ranks, and only the one or two ranges holding
+    them are ordered, each in its own task.
     """
     v = C(value).cast("double")
     counts = df.where(C(value).isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    marks = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
-    splits = counts.groupBy(*keys).agg(F.percentile_approx("_v", marks, 1000).alias("_s"))
-    binned = counts.join(splits, keys).withColumn(
-        "_b", F.size(F.filter("_s", lambda s: s < C("_v")))).drop("_s")
+    binned = counts.withColumn("_b", value_range(C("_v")))
     totals = binned.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
-    run = Window.partitionBy(*keys).orderBy("_b")
+    run = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
-    ranked = totals.withColumns({"_upto": F.sum("_bn").over(run), "_all": F.sum("_bn").over(whole)})
     rank = F.lit(q) * (C("_all") - 1)
-    ranked = ranked.withColumns({"_before": C("_upto") - C("_bn"), "_rank": rank,
-                                 "_lo": F.floor(rank), "_hi": F.ceil(rank)})
+    ranked = totals.withColumns({"_upto": F.sum("_bn").over(run), "_all": F.sum("_bn").over(whole)}).withColumns(
+        {"_before": C("_upto") - C("_bn"), "_rank": rank, "_lo": F.floor(rank), "_hi": F.ceil(rank)})
     holds = lambda r: (C(r) >= C("_before")) & (C(r) < C("_upto"))
-    hot = ranked.where(holds("_lo") | holds("_hi")).select(*keys, "_b", "_before", "_rank", "_lo", "_hi")
+    hot = ranked.where(holds("_lo") | holds("_hi")).select(*keys, "_b", "_before", "_rank", "_lo", "_hi", "_all")
     inner = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = binned.join(hot, [*keys, "_b"]).withColumn("_upto", C("_before") + F.sum("_n").over(inner)).withColumn(
         "_from", C("_upto") - C("_n"))
     at = lambda r: F.max(F.when((C(r) >= C("_from")) & (C(r) < C("_upto")), C("_v")))
-    ends = placed.groupBy(*keys).agg(at("_lo").alias("_a"), at("_hi").alias("_z"), F.max(C("_rank") - C("_lo")).alias("_f"))
-    return ends.select(*keys, (C("_a") + (C("_z") - C("_a")) * C("_f")).alias(out or value))
+    ends = placed.groupBy(*keys).agg(at("_lo").alias("_a"), at("_hi").alias("_z"), F.max(C("_rank") - C("_lo")).alias("_f"),
+                                     F.max("_all").alias("_all"))
+    return ends.select(*keys, (C("_a") + (C("_z") - C("_a")) * C("_f")).alias(out or value),
+                       *([C("_all").alias(count)] if count else []))
 
 
 def iso_quality(runs: DataFrame, target: float = fixed.ISO_TARGET_SCORE) -> DataFrame:
@@ -78,10 +86,9 @@ def bucket_medians(picked: DataFrame) -> DataFrame:
     long = base.select("bucket", "tool", F.explode(F.array(*[
         F.struct(F.lit(n).alias("measure"), C(n).cast("double").alias("v")) for n in names])).alias("_m")).select(
         "bucket", "tool", "_m.measure", "_m.v")
-    med = exact_quantile(long, ["bucket", "tool", "measure"], "v")
-    images = base.groupBy("bucket", "tool").agg(F.count(F.lit(1)).alias("images"))
+    med = exact_quantile(long, ["bucket", "tool", "measure"], "v", count="n")
     pick = [F.max(F.when(C("measure") == n, C("v"))).alias(n) for n in names]
-    return images.join(med.groupBy("bucket", "tool").agg(*pick), ["bucket", "tool"])
+    return med.groupBy("bucket", "tool").agg(F.max(F.when(C("measure") == "score", C("n"))).alias("images"), *pick)
 
 
 def median_time(runs: DataFrame, warmup: int = 1) -> DataFrame:

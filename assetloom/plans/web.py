@@ -10,6 +10,7 @@ from ..operators import analysis as A
 from ..operators import decide as D
 from ..operators import quality as Q
 from ..operators import raster as R
+from ..session import written
 
 SIZE_FACTOR = {("avif", "lossy"): 0.5, ("webp", "lossy"): 0.7, ("jpeg", "lossy"): 0.9, ("webp", "lossless"): 0.95,
                ("png", "lossless"): 1.0}
@@ -41,8 +42,10 @@ def web(px: DataFrame, facts: DataFrame, max_edge: int = fixed.BUNDLED_MAX_EDGE[
 
     ``px``: oriented-as-stored pixels; ``facts``: declared facts with ``source_bytes`` and
     ``orientation``. The source is analysed before any transform; scoring sees one row per asset.
+    Features (one row per asset) and candidates (at most three) are written once, because
+    decision, score and trace all read them; pixels are only scanned to make those two.
     """
-    analyzed = A.analyze(R.collect_scanlines(px), facts)
+    analyzed = written(A.analyze(R.collect_scanlines(px), facts), "features")
     upright = R.auto_orient(px.join(facts.select("asset_id", "orientation"), "asset_id")).drop("orientation")
     bounded = R.resize(upright, "max", max_edge)
     hist = A.luma_histogram(bounded)
@@ -50,13 +53,13 @@ def web(px: DataFrame, facts: DataFrame, max_edge: int = fixed.BUNDLED_MAX_EDGE[
     rungs = Q.quality_ladder(hist, levels)
     requests = analyzed.select("asset_id", "bucket", (F.col("alpha_transparent") + F.col("alpha_translucent") > 0).alias("has_alpha"),
                                F.lit(profile).alias("profile"), F.lit(mode).alias("mode"), F.lit(True).alias("webp_lossy"), F.lit(True).alias("avif"))
-    cands = trial_sizes(D.format_shortlist(requests), rungs)
+    cands = written(trial_sizes(D.format_shortlist(requests), rungs), "candidates")
     sources = analyzed.select(
         "asset_id", "source_bytes", "source_format", "class", "bucket", "entropy", "edge_ratio", "flat_ratio", "unique_colors",
         "unique_saturated", F.lit(mode).alias("mode"), F.lit(8).alias("source_depth"),
         (F.col("has_exif") | F.col("resized")).alias("altered"), F.lit(False).alias("has_alpha"))
     none = cands.where("false").select("asset_id", "fmt", "quality", "bytes")
-    picked = D.forced_fallback(cands, sources, none)
+    picked = written(D.forced_fallback(cands, sources, none), "winners")
     scored = Q.score_winner(picked, picked.join(cands.select("asset_id", F.col("cand_idx").alias("winner"), F.col("metric").alias("score")),
                                                 ["asset_id", "winner"]).select("asset_id", "score"))
     trace = D.explain(scored, cands.drop("metric"), ["class", D.feature_struct(), F.round("verify_score", 1).alias("ssim")])

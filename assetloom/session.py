@@ -57,3 +57,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     Beyond the bound the frame is returned without a hint and joins as a shuffle.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Materialise ``df`` as a table in the shared folder and read it back.
+
+    Cuts lineage where a costly frame feeds several branches; survives lost executors.
+    """
+    spark = df.sparkSession
+    path = fresh_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
