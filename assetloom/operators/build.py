@@ -133,17 +133,27 @@ def verify_cache(cache: DataFrame) -> DataFrame:
     return cache.where(sound)
 
 
-def plan_build(inputs: DataFrame, cache: DataFrame) -> DataFrame:
-    """Mark each input ``cached`` or ``rebuild``."""
-    known = cache.select("key").distinct().withColumn("_hit", F.lit(True))
-    return inputs.join(known, "key", "left").withColumn(
-        "status", F.when(C("_hit"), "cached").otherwise("rebuild")).drop("_hit")
+def plan_build(inputs: DataFrame, cache: DataFrame, salts: int = 16) -> DataFrame:
+    """Mark each input ``cached`` or ``rebuild``.
+
+    Only the cache's keys take part, copied ``salts`` times against salted inputs, so
+    the copies of one popular content spread over that many tasks.
+    """
+    spread = F.array(*[F.lit(i) for i in range(salts)])
+    known = cache.select("key").distinct().select("key", F.explode(spread).alias("_salt"), F.lit(True).alias("_hit"))
+    salted = inputs.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in ("path", "out_path") if c in inputs.columns]), F.lit(salts)).cast("int"))
+    return salted.join(known, ["key", "_salt"], "left").withColumn(
+        "status", F.when(C("_hit"), "cached").otherwise("rebuild")).drop("_hit", "_salt")
 
 
 def work_list(inputs: DataFrame, cache: DataFrame) -> DataFrame:
-    """One row per key still to be built (identical work is done once)."""
-    todo = inputs.join(cache.select("key"), "key", "left_anti")
-    return todo.groupBy("key").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("outputs"))
+    """One row per key still to be built (identical work is done once).
+
+    Inputs collapse to keys before the join, so content copied to a third of all
+    paths meets the cache as a single row.
+    """
+    keys = inputs.groupBy("key").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("outputs"))
+    return keys.join(cache.select("key"), "key", "left_anti")
 
 
 def materialize(plan: DataFrame, cache: DataFrame) -> DataFrame:

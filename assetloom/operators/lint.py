@@ -235,18 +235,24 @@ def sort_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy("file", "severity_rank", "rule")
 
 
-def nearest_config(paths: DataFrame, configs: DataFrame, path: str = "path") -> DataFrame:
+def nearest_config(paths: DataFrame, configs: DataFrame, path: str = "path", salts: int = 16) -> DataFrame:
     """The config of the closest directory above each path.
 
-    Paths fan out to their ancestors (bounded by depth) and meet configs by
-    equality, so the config table may be of any size. ``configs``: ``dir, config``.
+    Only the distinct directories fan out to their ancestors (bounded by depth) and
+    meet ``configs`` (``dir, config``) by equality, so the config table may be of any
+    size. The answer per directory then meets the paths salted, as one directory may
+    hold a third of them.
     """
-    parts = F.split(parent_dir(C(path)), "/")
-    dirs = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    up = paths.select(path, F.explode(F.concat(F.array(F.lit("")), dirs)).alias("dir")).distinct()
-    hits = up.join(configs.select("dir", "config"), "dir").groupBy(path).agg(
+    home = parent_dir(C(path))
+    parts = F.split(C("_home"), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    dirs = paths.select(home.alias("_home")).distinct()
+    up = dirs.select("_home", F.explode(F.array_union(F.array(F.lit("")), above)).alias("dir"))
+    best = up.join(configs.select("dir", "config"), "dir").groupBy("_home").agg(
         F.max_by(F.struct("dir", "config"), F.length("dir")).alias("_c"))
-    return paths.select(path).distinct().join(hits, path, "left").select(path, C("_c.dir").alias("dir"), C("_c.config").alias("config"))
+    spread = best.select("_home", "_c", F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("_salt"))
+    salted = paths.select(path, home.alias("_home"), F.pmod(F.xxhash64(path), F.lit(salts)).cast("int").alias("_salt"))
+    return salted.join(spread, ["_home", "_salt"], "left").select(path, C("_c.dir").alias("dir"), C("_c.config").alias("config"))
 
 
 def savings_findings(df: DataFrame, config: LintConfig | None = None) -> DataFrame:

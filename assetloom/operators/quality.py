@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +101,23 @@ def block_ssim(a: DataFrame, b: DataFrame, win: int = 8, scales: int = 2) -> Dat
     return out.withColumn("score", F.when(F.col("reason").isNull(), F.col("score")))
 
 
+def block_metric(a: DataFrame, b: DataFrame, metric: Callable[[pd.Series, pd.Series], float],
+                 win: int = 8) -> DataFrame:
+    """A user metric on luma, per ``win x win`` block and averaged per asset.
+
+    The function sees Arrow-fed Series of at most ``win * win`` values.
+    """
+    @F.pandas_udf("double")
+    def scored(x: pd.Series, y: pd.Series) -> float:
+        return float(metric(x, y))
+
+    pairs = _paired(a, b).select(
+        "asset_id", F.floor(F.col("x") / win).alias("bx"), F.floor(F.col("y") / win).alias("by"),
+        color.luma(F.col("ar"), F.col("ag"), F.col("ab")).alias("la"), color.luma(F.col("br"), F.col("bg"), F.col("bb")).alias("lb"))
+    blocks = pairs.groupBy("asset_id", "bx", "by").agg(scored("la", "lb").alias("s"))
+    return blocks.groupBy("asset_id").agg(F.avg("s").alias("score"))
+
+
 def diff_gate(scores: DataFrame, fail_under: float | None = None, score: str = "score") -> DataFrame:
     """Add ``passed``; without a threshold everything passes."""
     if fail_under is not None and not 0 <= fail_under <= 100:

@@ -77,6 +77,13 @@ def q3(spark, sf):
     return scores(spark, sf).withColumn("score", F.round("score", 6))
 
 
+@query("q3_user_metric", ctes(PX, POSTER) + """SELECT asset_id, round(avg(s), 6) AS score FROM (SELECT asset_id, x // 8 AS bx, y // 8 AS yb,
+    avg(abs(((77 * p.r + 150 * p.g + 29 * p.b) >> 8) - ((77 * b.r + 150 * b.g + 29 * b.b) >> 8))) AS s FROM px p JOIN bpx b USING (asset_id, x, y) GROUP BY ALL) GROUP BY asset_id""")
+def q3_user(spark, sf):
+    out = Q.block_metric(I.pixels(spark, sf), posterized(spark, sf), lambda x, y: (x - y).abs().mean())
+    return out.withColumn("score", F.round("score", 6))
+
+
 @query("q4_diff_gate", ctes(PX, POSTER, SSIM) + """SELECT asset_id, coalesce(CASE WHEN reason IS NULL THEN score >= 85 END, false) AS passed FROM scored""")
 def q4(spark, sf):
     return Q.diff_gate(scores(spark, sf), 85).select("asset_id", "passed")

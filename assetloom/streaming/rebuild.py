@@ -85,8 +85,7 @@ class StreamBuilder:
         inputs = self.prepare(B.output_paths(B.expand_targets(batch.where(~bad), targets), "webp"))
         cache = self.cache(before=epoch)
         plan = B.plan_build(inputs, cache)
-        fresh = self.render(plan.where("status = 'rebuild'")).groupBy("key").agg(
-            F.min(F.struct("ext", "payload", "payload_len", "payload_hash")).alias("_e")).select("key", "_e.*")
+        fresh = self.render(plan.where("status = 'rebuild'").dropDuplicates(["key"]))  # render once per key
         self._write(fresh, "cache", epoch)
         done = self._read("cache", CACHE, epoch + 1)
         made = B.materialize(plan, done).select("out_path", "key", "payload_len", "payload_hash", "status")
