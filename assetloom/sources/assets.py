@@ -32,7 +32,8 @@ def scan_assets(spark: SparkSession, root: str, recursive: bool = False, glob: s
     """Asset rows of a file, directory or glob; finding nothing is an error.
 
     A directory lists its top level unless ``recursive``. Content is only read when
-    asked for, otherwise the scan prunes it and touches file metadata alone.
+    asked for, otherwise the scan prunes it and touches file metadata alone. Spark's
+    file index leaves zero-byte files out, so those never appear here.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     rows = reader.load(f"{root.rstrip('/')}/{glob}" if glob else root)
