@@ -63,39 +63,43 @@ def prefix_matches(prefix: Column | str, rule_id: Column | str) -> Column:
 def glob_to_regex(pattern: str, crosses_slash: bool) -> str:
     """Translate a literal glob at plan time into an anchored regex.
 
-    ``crosses_slash`` is True for lint globs, where ``*`` and ``?`` may match '/',
-    and False for file globs. ``**`` always spans directories.
+    ``crosses_slash`` is True for lint globs, where ``*``, ``?`` and classes may match
+    '/', and False for file globs. ``**`` spans directories and must stand alone
+    between separators; an unclosed class is malformed.
     """
-    any_char = "." if crosses_slash else "[^/]"
+    one = "." if crosses_slash else "[^/]"
     out, i = [], 0
     while i < len(pattern):
         c = pattern[i]
-        if pattern.startswith("**/", i):
-            out.append("(?:.*/)?")
-            i += 3
-        elif pattern.startswith("**", i):
-            out.append(".*")
-            i += 2
-        elif c == "*":
-            out.append(any_char + "*")
-            i += 1
-        elif c == "?":
-            out.append(any_char)
-            i += 1
-        elif c == "[" and "]" in pattern[i + 2:]:
-            end = pattern.index("]", i + 2)
-            body = pattern[i + 1:end].replace("\\", "\\\\").replace("[", "\\[").replace("^", "\\^")
-            out.append(f"[^{body[1:]}]" if body.startswith("!") else f"[{body}]")
+        if c == "*" and pattern.startswith("**", i):
+            end = i + 2
+            if (i and pattern[i - 1] != "/") or pattern[end:end + 1] not in ("", "/"):
+                raise ValueError(f"malformed glob '{pattern}'")
+            out.append("(?:.*/)?" if pattern[end:end + 1] == "/" else ".*")
+            i = end + 1
+        elif c == "[":
+            end = pattern.find("]", i + 3 if pattern.startswith("[!", i) else i + 2)
+            if end < 0:
+                raise ValueError(f"malformed glob '{pattern}'")
+            body = pattern[i + 1:end]
+            negated = body.startswith("!")
+            body = "".join("\\" + ch if ch in "\\[]^&" else ch for ch in (body[1:] if negated else body))
+            out.append(("" if crosses_slash else "(?!/)") + f"[{'^' if negated else ''}{body}]")
             i = end + 1
         else:
-            out.append("\\" + c if c in r"\.+^$(){}|[]" else c)
+            out.append(one + "*" if c == "*" else one if c == "?" else "\\" + c if c in r"\.+^$(){}|]" else c)
             i += 1
     return "(?s)^" + "".join(out) + "$"
 
 
 def glob_matches(path: Column, pattern: str, crosses_slash: bool = True) -> Column:
-    """Literal-pattern glob test; the regex is compiled once per task."""
-    return path.rlike(glob_to_regex(pattern, crosses_slash))
+    """Literal-pattern glob test, compiled once per task; a malformed lint glob matches nothing."""
+    try:
+        return path.rlike(glob_to_regex(pattern, crosses_slash))
+    except ValueError:
+        if crosses_slash:
+            return F.lit(False)
+        raise
 
 
 def literal_root(source: Column) -> Column:

@@ -202,10 +202,11 @@ def per_file_ignores(findings: DataFrame, config: LintConfig) -> DataFrame:
     return findings.where(~suppressed(config, C("file"), C("rule")))
 
 
-def run_lint(facts: DataFrame, config: LintConfig | None = None, path: str = "path",
-             keep: tuple[str, ...] = ()) -> DataFrame:
-    """Findings of all active rules, at most one per (file, rule), in one pass."""
-    config = config or LintConfig()
+FINDING = "array<struct<rule:string,severity:string,severity_rank:int,message:string,fix:string>>"
+
+
+def findings_array(config: LintConfig, path: str = "path") -> Column:
+    """All findings of a row as one array; needs the budget columns."""
     checks = []
     for rule in RULES.values():
         if not rule_active(config, rule):
@@ -219,9 +220,14 @@ def run_lint(facts: DataFrame, config: LintConfig | None = None, path: str = "pa
             F.lit(rule.id).alias("rule"), F.lit(level).alias("severity"),
             F.lit(fixed.SEVERITY_RANK[level]).alias("severity_rank"),
             rule.message().alias("message"), fix.alias("fix"))))
-    found = F.array_compact(F.array(*checks)) if checks else F.array().cast(
-        "array<struct<rule:string,severity:string,severity_rank:int,message:string,fix:string>>")
-    rows = budget_for(facts, config, path).select(C(path).alias("file"), *keep, F.explode(found).alias("_f"))
+    return F.array_compact(F.array(*checks)) if checks else F.array().cast(FINDING)
+
+
+def run_lint(facts: DataFrame, config: LintConfig | None = None, path: str = "path",
+             keep: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of all active rules, at most one per (file, rule), in one pass."""
+    config = config or LintConfig()
+    rows = budget_for(facts, config, path).select(C(path).alias("file"), *keep, F.explode(findings_array(config, path)).alias("_f"))
     return rows.select("file", *keep, "_f.*")
 
 
@@ -274,6 +280,15 @@ def lint_summary(facts: DataFrame, findings: DataFrame, saved: DataFrame | None
     return one(files).join(one(counts), "_k").join(one(bytes_), "_k").drop("_k")
 
 
+def scan_summary(facts: DataFrame, config: LintConfig | None = None, path: str = "path") -> DataFrame:
+    """The same row as ``lint_summary`` straight from facts: one scan, one partial aggregate."""
+    config = config or LintConfig()
+    rows = savings_findings(budget_for(facts, config, path), config).withColumn("_f", findings_array(config, path))
+    count = lambda s: F.coalesce(F.sum(F.size(F.filter("_f", lambda f: f["severity"] == s))), F.lit(0)).cast("bigint")
+    return rows.agg(F.count(F.lit(1)).alias("files_scanned"), count("error").alias("errors"), count("warn").alias("warnings"),
+                    count("info").alias("infos"), F.coalesce(F.sum("bytes_saved"), F.lit(0)).alias("potential_bytes_saved"))
+
+
 def lint_gate(findings: DataFrame, max_warnings: int | None = None) -> DataFrame:
     """One row ``passed``: no errors and not too many warnings."""
     errors, warnings = F.count_if(C("severity") == "error"), F.count_if(C("severity") == "warn")

@@ -177,9 +177,17 @@ def l21_savings(spark, sf):
     return L.savings_findings(facts(spark, sf)).select("path", "bytes_saved")
 
 
-@query("l21_lint_summary", BASE + f"""SELECT (SELECT count(*) FROM afacts) AS files_scanned, count_if(severity = 'error') AS errors, count_if(severity = 'warn') AS warnings,
-    count_if(severity = 'info') AS infos, (SELECT CAST(coalesce(sum({SAVED}), 0) AS BIGINT) FROM afacts) AS potential_bytes_saved FROM found""")
+SUMMARY = BASE + f"""SELECT (SELECT count(*) FROM afacts) AS files_scanned, count_if(severity = 'error') AS errors, count_if(severity = 'warn') AS warnings,
+    count_if(severity = 'info') AS infos, (SELECT CAST(coalesce(sum({SAVED}), 0) AS BIGINT) FROM afacts) AS potential_bytes_saved FROM found"""
+
+
+@query("l21_lint_summary", SUMMARY)
 def l21(spark, sf):
+    return L.scan_summary(facts(spark, sf), CONFIG)
+
+
+@query("l21_lint_summary_of_findings", SUMMARY)
+def l21_findings(spark, sf):
     base = facts(spark, sf)
     return L.lint_summary(base, found(spark, sf), L.savings_findings(base))
 

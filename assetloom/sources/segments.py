@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sniff import header_dims, sniff_format
@@ -106,39 +106,45 @@ def walk(data: bytes) -> Iterator[tuple[str, int, int, int]]:
 
 @F.udtf(returnType="seg_idx INT, kind STRING, offset BIGINT, length BIGINT, head BINARY")
 class ContainerSegments:
-    """Segments of one container, with the first bytes of each payload."""
+    """Segments of one container with the first bytes of each payload; one NULL row when it has none."""
 
     def eval(self, content: bytes):
-        if content is None:
-            return
-        data = bytes(content)
+        data = bytes(content or b"")
+        idx = -1
         for idx, (kind, offset, length, start) in enumerate(walk(data)):
             yield idx, kind, offset, length, data[start:start + min(length, HEAD)]
+        if idx < 0:
+            yield None, None, None, None, None
 
 
 def segments(df: DataFrame, content: str = "content", key: str = "asset_id") -> DataFrame:
     """One row per (asset, segment); the content itself goes no further."""
-    return df.lateralJoin(ContainerSegments(F.col(content).outer())).select(
-        key, "seg_idx", "kind", "offset", "length", "head")
+    listed = df.select(key, F.col(content).alias("_content")).lateralJoin(ContainerSegments(F.col("_content").outer()))
+    return listed.where("kind is not null").select(key, "seg_idx", "kind", "offset", "length", "head")
 
 
-def _be16(start: int):
+def _be16(start: int) -> Column:
     return F.conv(F.hex(F.substring("head", start + 1, 2)), 16, 10).cast("bigint")
 
 
-def segment_facts(segs: DataFrame, key: str = "asset_id") -> DataFrame:
-    """Per asset: EXIF / ICC presence, animation, JPEG size and component count."""
-    sof = F.col("kind").rlike("^SOF")
-    starts = lambda text: F.startswith(F.hex("head"), F.lit(text.encode().hex().upper()))
-    vp8x = F.conv(F.hex(F.substring("head", 1, 1)), 16, 10).cast("int")
-    return segs.groupBy(key).agg(
-        F.bool_or((F.col("kind") == "eXIf") | ((F.col("kind") == "APP1") & starts("Exif")) | (F.col("kind") == "EXIF")).alias("has_exif"),
-        F.bool_or((F.col("kind") == "iCCP") | ((F.col("kind") == "APP2") & starts("ICC_PROFILE")) | (F.col("kind") == "ICCP")).alias("has_icc"),
+def _segment_aggregates() -> list[Column]:
+    kind, head = F.col("kind"), F.hex("head")
+    starts = lambda text: F.startswith(head, F.lit(text.encode().hex().upper()))
+    sof = kind.rlike("^SOF")
+    flags = F.conv(F.hex(F.substring("head", 1, 1)), 16, 10).cast("int")
+    return [
+        F.bool_or((kind == "eXIf") | ((kind == "APP1") & starts("Exif")) | (kind == "EXIF")).alias("has_exif"),
+        F.bool_or((kind == "iCCP") | ((kind == "APP2") & starts("ICC_PROFILE")) | (kind == "ICCP")).alias("has_icc"),
         F.max(F.when(sof, _be16(3))).alias("sof_width"), F.max(F.when(sof, _be16(1))).alias("sof_height"),
         F.max(F.when(sof, F.conv(F.hex(F.substring("head", 6, 1)), 16, 10).cast("int"))).alias("components"),
-        F.bool_or(F.col("kind") == "acTL").alias("has_actl"), F.count_if(F.col("kind") == "image").alias("frames"),
-        F.bool_or((F.col("kind") == "ANIM") | ((F.col("kind") == "VP8X") & (vp8x.bitwiseAND(F.lit(2)) != 0))).alias("webp_anim"),
-        F.bool_or((F.col("kind") == "VP8X") & (vp8x.bitwiseAND(F.lit(16)) != 0)).alias("webp_alpha"))
+        F.bool_or(kind == "acTL").alias("has_actl"), F.count_if(kind == "image").alias("frames"),
+        F.bool_or((kind == "ANIM") | ((kind == "VP8X") & (flags.bitwiseAND(F.lit(2)) != 0))).alias("webp_anim"),
+        F.bool_or((kind == "VP8X") & (flags.bitwiseAND(F.lit(16)) != 0)).alias("webp_alpha")]
+
+
+def segment_facts(segs: DataFrame, key: str = "asset_id") -> DataFrame:
+    """Per asset: EXIF / ICC presence, animation, JPEG size and component count."""
+    return segs.groupBy(key).agg(*_segment_aggregates())
 
 
 def is_animated(facts: DataFrame, fmt: str = "format") -> DataFrame:
@@ -149,18 +155,25 @@ def is_animated(facts: DataFrame, fmt: str = "format") -> DataFrame:
 
 
 def asset_info(df: DataFrame, content: str = "content", key: str = "asset_id") -> DataFrame:
-    """Format, size, colour layout and metadata presence of every asset, without decoding."""
-    base = header_dims(df.withColumn("format", sniff_format(F.col(content))), content)
-    depth = F.conv(F.hex(F.substring(content, 25, 1)), 16, 10).cast("int")
-    color = F.conv(F.hex(F.substring(content, 26, 1)), 16, 10).cast("int")
-    flat = base.select(key, "format", F.octet_length(content).cast("bigint").alias("file_bytes"), "width", "height",
-                       F.when(F.col("format") == "png", F.greatest(depth, F.lit(8))).otherwise(F.lit(8)).alias("bit_depth"),
-                       F.when(F.col("format") == "png", color).alias("_ct"))
-    joined = is_animated(flat.join(segment_facts(segments(df, content, key), key), key, "left"))
-    channels = (F.when(F.col("format") == "png", F.when(F.col("_ct") == 0, 1).when(F.col("_ct") == 4, 2).when(F.col("_ct") == 6, 4).otherwise(3))
-                .when(F.col("format") == "jpeg", F.when(F.col("components") == 1, 1).otherwise(3))
-                .when(F.col("format") == "gif", 4).when(F.col("format") == "webp", F.when(F.col("webp_alpha"), 4).otherwise(3))
-                .when(F.col("format") == "bmp", 3))
+    """Format, size, colour layout and metadata presence of every asset, without decoding.
+
+    Header facts ride along with the segment rows, so the bytes are read once and only
+    short rows are shuffled; assets without any segment keep their row.
+    """
+    body = F.col(content)
+    byte = lambda i: F.conv(F.hex(F.substring(body, i + 1, 1)), 16, 10).cast("int")
+    base = header_dims(df.withColumn("format", sniff_format(body)), content)
+    png = F.col("format") == "png"
+    flat = base.select(key, "format", F.octet_length(body).cast("bigint").alias("file_bytes"), "width", "height",
+                       F.when(png, F.greatest(byte(24), F.lit(8))).otherwise(F.lit(8)).alias("bit_depth"),
+                       F.when(png, byte(25)).alias("_ct"), body.alias("_content"))
+    kept = [c for c in flat.columns if c not in (key, "_content")]
+    listed = flat.lateralJoin(ContainerSegments(F.col("_content").outer()))
+    joined = is_animated(listed.groupBy(key).agg(*[F.any_value(c).alias(c) for c in kept], *_segment_aggregates()))
+    fmt = F.col("format")
+    channels = (F.when(fmt == "png", F.when(F.col("_ct") == 0, 1).when(F.col("_ct") == 4, 2).when(F.col("_ct") == 6, 4).otherwise(3))
+                .when(fmt == "jpeg", F.when(F.col("components") == 1, 1).otherwise(3))
+                .when(fmt == "gif", 4).when(fmt == "webp", F.when(F.col("webp_alpha"), 4).otherwise(3)).when(fmt == "bmp", 3))
     w, h = F.coalesce("width", "sof_width"), F.coalesce("height", "sof_height")
     return joined.select(
         key, "format", w.alias("width"), h.alias("height"), "file_bytes",

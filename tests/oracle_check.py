@@ -14,6 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from assetloom.plans.catalog import ORACLES, QUERIES  # noqa: E402
 
+STRICT = bool(os.environ.get("STRICT"))  # exact floats and types, not just equal values
 DATA = os.environ.get("ASSETLOOM_DATA", "/root/testdata")
 
 
@@ -30,16 +31,14 @@ def _norm(v):
     if hasattr(v, "item"):
         v = v.item()
     if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return float(f"{v:.9g}") + 0.0
+        return "nan" if math.isnan(v) else ("float", repr(v)) if STRICT else float(f"{v:.9g}") + 0.0
     if isinstance(v, (bytes, bytearray)):
         return bytes(v).hex()
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     if isinstance(v, dict):
         return tuple(sorted((k, _norm(x)) for k, x in v.items()))
-    return v if isinstance(v, (int, str)) else str(v)
+    return v if isinstance(v, (int, str)) else f"{type(v).__name__}:{v}" if STRICT else str(v)
 
 
 def rows_of(columns, rows):

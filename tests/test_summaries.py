@@ -79,8 +79,17 @@ def test_scalars(spark):
 @pytest.mark.parametrize("pattern,crosses,yes,no", [
     ("*.png", True, ["a/b.png", "x.png"], ["x.pngx"]), ("*.png", False, ["x.png"], ["a/x.png"]), ("a/**/b", False, ["a/b", "a/x/y/b"], ["ab"]),
     ("**", False, ["", "a/b"], []), ("d[!0-4]?", True, ["d5x"], ["d3x", "d5"]), ("a+(b).c", True, ["a+(b).c"], ["aab.c"]), ("x/**", False, ["x/a/b"], ["x"]),
+    ("a[!b]c", False, ["axc"], ["a/c", "abc"]), ("a[!b]c", True, ["a/c"], ["abc"]), ("[]x]y", True, ["]y", "xy"], ["y"]), ("[^a]", True, ["^", "a"], ["b"]),
 ])
 def test_globs(pattern, crosses, yes, no):
     import re
     rx = re.compile(PA.glob_to_regex(pattern, crosses))
     assert all(rx.search(s) for s in yes) and not any(rx.search(s) for s in no)
+
+
+def test_malformed_globs(spark):
+    for bad in ("a**", "**b", "***", "[abc", "[!]"):
+        with pytest.raises(ValueError):
+            PA.glob_to_regex(bad, True)
+    df = spark.createDataFrame([("abc",)], "p STRING")
+    assert not df.select(PA.glob_matches(F.col("p"), "a**")).first()[0]
