@@ -276,8 +276,8 @@ def lint_summary(facts: DataFrame, findings: DataFrame, saved: DataFrame | None
     counts = findings.agg(level("error").alias("errors"), level("warn").alias("warnings"), level("info").alias("infos"))
     bytes_ = (saved.agg(F.coalesce(F.sum("bytes_saved"), F.lit(0)).alias("potential_bytes_saved")) if saved is not None
               else files.select(F.lit(0).cast("bigint").alias("potential_bytes_saved")))
-    one = lambda d: d.withColumn("_k", F.lit(1))
-    return one(files).join(one(counts), "_k").join(one(bytes_), "_k").drop("_k")
+    parts = files.unionByName(counts, allowMissingColumns=True).unionByName(bytes_, allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
 
 
 def scan_summary(facts: DataFrame, config: LintConfig | None = None, path: str = "path") -> DataFrame:

@@ -268,6 +268,18 @@ def restore_opaque(px: DataFrame, had_alpha: Column, depth: int = 8) -> DataFram
     return px.withColumn("a", F.when(had_alpha, F.col("a")).otherwise(F.lit(2 ** depth - 1)))
 
 
+def watermark(base: DataFrame, overlay: DataFrame, ow: int, oh: int, gravity: str = "southeast", margin: int = 0,
+              opacity: float = 1.0, tile: bool = False, had_alpha: Column | None = None, depth: int = 8) -> DataFrame:
+    """Opacity, placement (or tiling) and blend in one; scale the overlay beforehand if wanted."""
+    over = overlay_opacity(overlay, opacity)
+    if tile:
+        out = composite_tiled(base, over, ow, oh, depth)
+    else:
+        ox, oy = gravity_origin(F.lit(gravity), F.col("w"), F.col("h"), F.lit(ow), F.lit(oh), F.lit(margin))
+        out = composite(base, over, ox, oy, depth)
+    return out if had_alpha is None else restore_opaque(out, had_alpha, depth)
+
+
 def narrow_layout(px: DataFrame, facts: DataFrame, depth: int = 8) -> DataFrame:
     """Per asset L / LA / RGB / RGBA, never losing anything.
 

@@ -146,10 +146,14 @@ EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type S
 DOCS_SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 
 
+def table_stream(spark, sf, name, schema):
+    """A given table as a stream, be it one file or a folder of files (hence a glob path)."""
+    return W.asset_stream(spark, f"{sf}/{name}.parque[t]", schema, fmt="parquet")
+
+
 def change_stream(spark, sf):
     """The events table as a stream of file changes."""
-    raw = W.asset_stream(spark, sf, EVENTS_SCHEMA, "events.parquet", "parquet")
-    return raw.select(*I.change_columns())
+    return table_stream(spark, sf, "events", EVENTS_SCHEMA).select(*I.change_columns())
 
 
 def drained(spark, stream, name, mode="append"):
@@ -223,7 +227,7 @@ def w5(spark, sf):
 
 def doc_stream(spark, sf):
     """Documents arriving as assets."""
-    return I.assets_from(W.asset_stream(spark, sf, DOCS_SCHEMA, "documents.parquet", "parquet"))
+    return I.assets_from(table_stream(spark, sf, "documents", DOCS_SCHEMA))
 
 
 def builder(spark, root, targets=lambda: TARGETS, failing=None):
@@ -259,7 +263,7 @@ def w10(spark, sf):
 
 @query("w11_stream_lint", LQ.BASE + "SELECT rule, severity, count(*) AS findings FROM found GROUP BY ALL")
 def w11(spark, sf):
-    facts = W.asset_stream(spark, sf, DOCS_SCHEMA, "documents.parquet", "parquet")
+    facts = table_stream(spark, sf, "documents", DOCS_SCHEMA)
     rows = L.run_lint(I.facts_from(facts), LQ.CONFIG)
     return drained(spark, rows, "findings").groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("findings"))
 

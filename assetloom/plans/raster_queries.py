@@ -174,7 +174,7 @@ def r12(spark, sf):
 
 
 def overlay(spark, sf):
-    """The corpus-wide alpha-weighted mean mosaic, half size, as a translucent overlay."""
+    """The corner of the corpus-wide mean mosaic as a translucent 12x10 overlay."""
     mean = lambda c: F.floor(F.avg(c)).cast("int").alias(c)
     return (I.pixels(spark, sf).where("x < 12 and y < 10").groupBy("x", "y").agg(mean("r"), mean("g"), mean("b"))
             .withColumn("a", ((F.col("x") * 20 + F.col("y") * 9) % 256).cast("int")))
@@ -197,6 +197,12 @@ def r13(spark, sf):
     return R.composite(I.alpha_pixels(spark, sf), overlay(spark, sf), 25, 3)
 
 
+@query("r13_watermark", ctes(PX, APX, OVERLAY) + "SELECT asset_id, w, h, x, y, r, g, b, CASE WHEN asset_id % 4 = 1 THEN a ELSE 255 END AS a FROM ("
+       + _blend_sql("apx", "apx.x - 18 = vx AND apx.y - 20 = vy", "round(va * 0.5::DOUBLE)") + ")")
+def r13_watermark(spark, sf):
+    return R.watermark(I.alpha_pixels(spark, sf), overlay(spark, sf), 12, 10, "southeast", 2, 0.5, had_alpha=F.col("asset_id") % 4 == 1)
+
+
 @query("r14_composite_tiled", ctes(PX, APX, OVERLAY) + _blend_sql("apx", "apx.x % 12 = vx AND apx.y % 10 = vy"))
 def r14(spark, sf):
     return R.composite_tiled(I.alpha_pixels(spark, sf), overlay(spark, sf), 12, 10)
