@@ -116,12 +116,17 @@ def recipe_hash(steps: DataFrame, plan: Column | str = "preserve") -> DataFrame:
         hashing.frame(0, C("canonical")), hashing.frame(1, plan)), 256).alias("recipe_hash"))
 
 
+def hash_contents(assets: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``content_hash``; do this before expansion so that each asset is hashed once."""
+    return assets.withColumn("content_hash", hashing.content_hash(C(content)))
+
+
 def with_keys(inputs: DataFrame, version: str, features: str, content: str = "content",
               quality: Column | None = None) -> DataFrame:
-    """Add ``content_hash`` and ``key``; needs ``recipe_hash`` and ``ext``."""
-    require(inputs, "recipe_hash", "ext", content)
+    """Add ``key`` (and ``content_hash`` where absent); needs ``recipe_hash`` and ``ext``."""
+    hashed = inputs if "content_hash" in inputs.columns else hash_contents(inputs, content)
+    require(hashed, "recipe_hash", "ext", "content_hash")
     level = F.lit(None).cast("int") if quality is None else quality
-    hashed = inputs.withColumn("content_hash", hashing.content_hash(C(content)))
     return hashed.withColumn("key", hashing.cache_key(
         version, features, C("recipe_hash"), level, C("ext"), C("content_hash")))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analysis as A
-from ..operators import raster as R
 from . import inputs as I
 from .inputs import APX, DIM, PX, RFACTS, ctes
 from .registry import query

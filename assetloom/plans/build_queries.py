@@ -174,7 +174,8 @@ valid AS (SELECT * FROM cache WHERE sha256(payload) = payload_hash)"""
 
 
 def keyed(spark, sf):
-    placed = B.output_paths(expanded(spark, sf), "webp")
+    hashed = B.hash_contents(I.assets(spark, sf))
+    placed = B.output_paths(B.expand_targets(hashed, TARGETS), "webp")
     return B.with_keys(placed.withColumn("recipe_hash", F.lit(RH)), VERSION, FEATURES)
 
 

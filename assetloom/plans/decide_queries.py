@@ -110,10 +110,11 @@ forced AS (SELECT p.asset_id, p.source_bytes, p.source_format, p.mode, altered,
 
 
 def fallback_trials(spark, sf):
-    """Lossy encodes of every source in each fallback format."""
-    src = I.sources(spark, sf)
-    return src.select("asset_id", F.explode(F.array(F.lit("webp"), F.lit("jpeg"), F.lit("avif"))).alias("fmt"),
-                      F.lit(85).alias("quality"), F.round(F.col("source_bytes") * 1.1).cast("bigint").alias("bytes"))
+    """A lossy encode of every source in its fallback format, where it has one."""
+    fmt = D.fallback_format(F.col("source_format"), F.col("has_alpha"))
+    return I.sources(spark, sf).select(
+        "asset_id", fmt.alias("fmt"), F.lit(85).alias("quality"),
+        F.round(F.col("source_bytes") * 1.1).cast("bigint").alias("bytes")).where("fmt is not null")
 
 
 def forced(spark, sf):

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-
-
 PIXELS = "asset_id BIGINT, w INT, h INT, x INT, y INT, r INT, g INT, b INT, a INT"
 SCANLINES = ("asset_id BIGINT, w INT, h INT, y INT, r ARRAY<INT>, g ARRAY<INT>, b ARRAY<INT>, "
              "a ARRAY<INT>")

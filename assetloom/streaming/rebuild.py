@@ -82,7 +82,8 @@ class StreamBuilder:
         targets = self.config.refresh()
         bad = self.failing() if self.failing else F.lit(False)
         self._write(batch.where(bad), "quarantine", epoch)
-        inputs = self.prepare(B.output_paths(B.expand_targets(batch.where(~bad), targets), "webp"))
+        hashed = B.hash_contents(batch.where(~bad))
+        inputs = self.prepare(B.output_paths(B.expand_targets(hashed, targets), "webp"))
         cache = self.cache(before=epoch)
         plan = B.plan_build(inputs, cache)
         fresh = self.render(plan.where("status = 'rebuild'").dropDuplicates(["key"]))  # render once per key
