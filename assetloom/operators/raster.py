@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import color
 from ..schemas import require
-from ..session import bounded_broadcast
 
 CHANNELS = ("r", "g", "b")
 
@@ -248,7 +247,7 @@ def composite(base: DataFrame, overlay: DataFrame, ox: Column | int, oy: Column
               depth: int = 8) -> DataFrame:
     """Blend one overlay raster into every base at an origin, clipped to the canvas."""
     ox, oy = (v if isinstance(v, Column) else F.lit(v) for v in (ox, oy))
-    side = bounded_broadcast(_overlay_side(overlay))
+    side = _overlay_side(overlay)
     joined = (base.withColumns({"_ox": F.col("x") - ox, "_oy": F.col("y") - oy})
               .join(side, ["_ox", "_oy"], "left"))
     return _blend(joined, depth).select(*base.columns)
@@ -257,7 +256,7 @@ def composite(base: DataFrame, overlay: DataFrame, ox: Column | int, oy: Column
 def composite_tiled(base: DataFrame, overlay: DataFrame, ow: int, oh: int,
                     depth: int = 8) -> DataFrame:
     """Repeat the overlay over the whole canvas; edge tiles clip."""
-    side = bounded_broadcast(_overlay_side(overlay))
+    side = _overlay_side(overlay)
     joined = (base.withColumns({"_ox": F.col("x") % ow, "_oy": F.col("y") % oh})
               .join(side, ["_ox", "_oy"], "left"))
     return _blend(joined, depth).select(*base.columns)

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Settings every assetloom job wants; AQE re-sizes shuffles and splits skewed joins at run time.
 SETTINGS = {
@@ -34,13 +33,14 @@ def build_session(app: str = "assetloom", master: str | None = None, **extra: st
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) is a folder of our own set.
+    Where the session names none, a local master gets a folder of its own (tests); any other master is refused,
+    because each executor would write to its own disk and a later read would miss those files.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         configured = tempfile.mkdtemp(prefix="assetloom-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
@@ -52,14 +52,6 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` stays within ``max_rows``.
-
-    Beyond the bound the frame is returned without a hint and joins as a shuffle.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Materialise ``df`` as a table in the shared folder and read it back.
 
@@ -69,3 +61,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that :func:`fresh_dir` named, once nothing reads it any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
