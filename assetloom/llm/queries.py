@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, packing
+from . import linededup, minhash, mixing, packing, toxicity
 from .common import field, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +23,40 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_toxicity")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    doc_id = field("row", "doc_id")
+    return scored.select(doc_id.alias("doc_id"), toxicity.held_out(doc_id).alias("held_out"), "score", "predicted", "spans")
+
+
 @query("op2_pack")
 def op2(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+SHINGLES_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                        ELSE list_distinct([array_to_string(ws[i:i + 2], ' ') for i in range(1, len(ws) - 1)]) END AS s FROM w),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id
+          GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+low AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY 1)
+SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id, least(s.doc_id, coalesce(m, s.doc_id)) = s.doc_id AS kept
+FROM sets s LEFT JOIN low USING (doc_id)
+"""
+
+
+@query("op6_minhash", SHINGLES_SQL)
+def op6(spark, sf_dir):
+    done = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, jaccard=(100, 85))
+    return done.select(field("row", "doc_id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 LINES_SQL = f"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),

@@ -1,3 +1,57 @@
-STAGES = []
+"""The corpus pipeline: raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from assetloom.llm import linededup, minhash, mixing, packing, toxicity
+from assetloom.llm.common import table
+from assetloom.session import written
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain trained on the table ``labels`` scores below 0.5."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs deleted; documents left without a word go."""
+    return linededup.deduplicated(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, similarity 0.8)."""
+    return minhash.deduplicated(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources repeated or thinned towards their target weights, in a global random order."""
+    return mixing.mix(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their sequence and place in it."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixture),
+    ("packing", packing_stage),
+]
+
+#: A trained chain and a sequential packing are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; each result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs
