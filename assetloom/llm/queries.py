@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, minhash, mixing, packing, toxicity
+from . import html, linededup, minhash, mixing, packing, toxicity
 from .common import field, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,12 @@ def op2(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op4_html")
+def op4(spark, sf_dir):
+    out = html.extract(table(spark, sf_dir, "pages"))
+    return out.select(field("row", "page_id").alias("page_id"), field("row", "url").alias("url"), "text", F.length("text").cast("long").alias("n_chars"))
+
+
 SHINGLES_SQL = """
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
