@@ -59,3 +59,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def with_heads(rows: DataFrame) -> DataFrame:
+    """Adds ``component_id`` and ``kept`` to rows of ``uid``, ``id`` and group ``grp``.
+
+    ``component_id`` is the smallest id of the group; ``kept`` marks its first row by (id, nulls last; uid). Two
+    pre-aggregated minima and joins, so that no group is gathered.
+    """
+    lowest = rows.groupBy("grp").agg(F.min("id").alias("component_id"))
+    named = rows.join(lowest, "grp")
+    head = named.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("grp").agg(F.min("uid").alias("head"))
+    return named.join(head, "grp").withColumn("kept", F.col("uid") == F.col("head"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import connected_components, field, numbered, restored
+from .common import connected_components, field, numbered, restored, with_heads
 
 WORDS = 5
 #: Similarity of a link, as whole numbers: JACCARD[0] * intersection >= JACCARD[1] * union.
@@ -183,10 +183,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, jaccard: tuple[int, int
     rep_group = classes.join(over.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("grp"))
     member = sketches.join(rep_group, "same", "left").select("uid", "n_shingles", F.coalesce("grp", -F.col("uid") - 1).alias("grp"))
     out = member.join(source.select("uid", field("row", doc_id).alias("id")), "uid")
-    lowest = out.groupBy("grp").agg(F.min("id").alias("component_id"))
-    head = (out.join(lowest, "grp").where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("grp").agg(F.min("uid").alias("head")))
-    decided = (out.join(lowest, "grp").join(head, "grp")
-               .select("uid", "n_shingles", "component_id", (F.col("uid") == F.col("head")).alias("kept")))
+    decided = with_heads(out).select("uid", "n_shingles", "component_id", "kept")
     return source.join(decided, "uid")
 
 

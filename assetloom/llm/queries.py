@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, linededup, minhash, mixing, packing, toxicity
+from . import html, linededup, minhash, mixing, packing, toxicity, vectors
 from .common import field, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,38 @@ def op4(spark, sf_dir):
     return out.select(field("row", "page_id").alias("page_id"), field("row", "url").alias("url"), "text", F.length("text").cast("long").alias("n_chars"))
 
 
+COSINE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND list_dot_product(e, e) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT a AS vec_id, b AS other FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+low AS (SELECT vec_id, min(other) AS m FROM reach GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, least(v.vec_id, coalesce(m, v.vec_id)) AS component_id, least(v.vec_id, coalesce(m, v.vec_id)) = v.vec_id AS kept
+FROM v LEFT JOIN low USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
+@query("op5_embedding_dedup", COSINE_SQL)
+def op5(spark, sf_dir):
+    done = vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return done.select(field("row", "vec_id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+NEAREST_SQL = """
+WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE list_dot_product(e, e) > 0),
+s AS (SELECT q.vec_id AS query_id, b.vec_id, list_dot_product(q.e, b.e) AS score FROM ok q JOIN ok b ON q.vec_id % 20 = 0 AND q.vec_id <> b.vec_id)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, round(score, 9) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 20
+"""
+
+
+@query("op7_nearest")
+def op7(spark, sf_dir):
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 SHINGLES_SQL = """
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
