@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, linededup, minhash, mixing, packing, toxicity, vectors
+from . import html, licenses, linededup, minhash, mixing, packing, toxicity, vectors
 from .common import field, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,16 @@ def op7(spark, sf_dir):
     return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+@query("op9_licenses")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, licenses.fit(docs))
+    return found.select(field("row", "doc_id").alias("doc_id"), F.size("licences").alias("n_notices"),
+                        F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["family"]))), ",").alias("families"),
+                        F.array_join(F.transform("licences", lambda x: F.concat_ws(":", x["paragraph"], x["family"])), ",").alias("notices"),
+                        F.coalesce(F.array_min(F.transform("licences", lambda x: x["probability"])), F.lit(0.0)).alias("least_probability"))
+
+
 SHINGLES_SQL = """
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
