@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, licenses, linededup, minhash, mixing, packing, toxicity, vectors
+from . import html, licenses, linededup, minhash, mixing, packing, pii, toxicity, vectors
 from .common import field, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,14 @@ def op2(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op3_pii")
+def op3(spark, sf_dir):
+    found = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = {f"n_{kind}": F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long") for i, kind in enumerate(pii.KINDS)}
+    return found.select("doc_id", *[c.alias(n) for n, c in count.items()], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+                        pii.joined(F.col("spans")).alias("spans"))
+
+
 @query("op4_html")
 def op4(spark, sf_dir):
     out = html.extract(table(spark, sf_dir, "pages"))
