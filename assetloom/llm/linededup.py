@@ -71,7 +71,8 @@ def repeated_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     lines = rows.select("uid", "doc_id", F.xxhash64("text").alias("th"), F.posexplode(split_lines(F.col("text"))).alias("i", "line")) \
         .select("uid", "doc_id", "th", "i", F.unhex(F.md5("line")).alias("h"), F.regexp_count("line", F.lit(WORD)).alias("w"))
-    twice = lines.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # written, so that the join below is between plain shuffles, which AQE splits where a line is very common
+    twice = written(lines.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "lines")
     alive = lines.join(twice, "h")
     in_doc = Window.partitionBy("uid").orderBy("i")
     runs = written(alive.withColumn("seg", F.col("i") - F.row_number().over(in_doc))
@@ -90,10 +91,10 @@ def repeated_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     power = F.floor(F.log2(F.col("x.len").cast("double") + 0.5)).cast("int")
     name = F.md5(F.concat(F.col("x.len").cast("string").cast("binary"), F.col("names")[power][F.col("x.k")],
                           F.col("names")[power][F.col("x.k") + F.col("x.len") - F.pow(F.lit(2.0), power).cast("int")]))
-    windows = (df.select("uid", "doc_id", "th", "i0", "names", F.explode(both).alias("x"))
+    windows = written(df.select("uid", "doc_id", "th", "i0", "names", F.explode(both).alias("x"))
                .select("uid", F.unhex(name).alias("name"), (F.col("i0") + F.col("x.k")).alias("start"), F.col("x.len").alias("len"),
-                       F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "uid", (F.col("i0") + F.col("x.k")).alias("i")).alias("at")))
-    first = windows.groupBy("name").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1")
+                       F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "uid", (F.col("i0") + F.col("x.k")).alias("i")).alias("at")), "windows")
+    first = written(windows.groupBy("name").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1").select("name", "first"), "first")
     later = windows.join(first, "name").where("at > first")
     return (later.groupBy("uid").agg(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("r"))
             .select("uid", F.array_sort(F.array_distinct(F.flatten("r"))).alias("gone")))
@@ -112,7 +113,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_
     lines = split_lines(field("row", text))
     n = F.coalesce(F.size(lines), F.lit(0))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: lines[i])
-    return (rows.join(gone, "uid", "left")
+    # the lists of deleted lines grow with the corpus: always a shuffle, with the lists as the hashed side
+    return (rows.join(gone.hint("shuffle_hash"), "uid", "left")
             .withColumns({"n_lines": F.when(field("row", text).isNull(), 0).otherwise(n), "gone": F.coalesce("gone", F.array().cast("array<int>")),
                           "kept_text": F.when(F.col("gone").isNull() | (F.size("gone") == 0), field("row", text)).otherwise(F.array_join(kept, "\n"))}))
 
