@@ -26,7 +26,7 @@ def uniform(*parts: Column) -> Column:
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, budget: float = 1.0,
                  source: str = "source", text: str = "text") -> DataFrame:
-    """``src`` (null is a source of its own) and its mean repetition ``rate``.
+    """``src`` (null is a source of its own), its mean repetition ``rate`` and the table that inverts it.
 
     Target shares are ``weights`` by source name (sources not named get 0) or, without them, in proportion to
     ``size ** alpha``. The mixture holds ``budget`` times the characters of the input. A source without any character
@@ -43,11 +43,13 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha
     all_ = wanted.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
     total, mass = float(all_.n or 0), float(all_.w or 0.0)
     rate = F.when((F.col("n") > 0) & F.lit(mass > 0), F.lit(budget * total) * F.col("w") / F.lit(mass or 1.0) / F.col("n")).otherwise(0.0)
-    return written(wanted.select("src", rate.alias("rate")), "rates")
+    rates = wanted.select("src", rate.alias("rate"))
+    pieces, cdf = poisson_table(F.col("rate"))
+    return written(rates.select("src", "rate", pieces.alias("pieces"), cdf.alias("cdf")), "rates")
 
 
-def poisson_count(rate: Column, u) -> Column:
-    """Poisson count of mean ``rate``; ``u(j)`` is the uniform number of draw j.
+def poisson_table(rate: Column) -> tuple[Column, Column]:
+    """``pieces`` and the cumulative distribution ``cdf`` of one piece of a Poisson number of mean ``rate``.
 
     Means above :data:`PIECE` are split into equal pieces whose counts add up, since exp(-rate) would underflow.
     """
@@ -58,9 +60,13 @@ def poisson_count(rate: Column, u) -> Column:
         F.sequence(F.lit(1), F.lit(STEPS)), F.struct(first.alias("p"), F.array(first).alias("cdf")),
         lambda acc, k: F.struct((acc["p"] * lam / k).alias("p"),
                                 F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + acc["p"] * lam / k)).alias("cdf")))
-    steps = table["cdf"]
-    return F.aggregate(F.sequence(F.lit(1), pieces), F.lit(0),
-                       lambda acc, j: acc + F.size(F.filter(steps, lambda c: c <= u(j))))
+    return pieces, table["cdf"]
+
+
+def poisson_count(pieces: Column, cdf: Column, u) -> Column:
+    """The distribution inverted at ``u(j)``, the uniform number of piece j, summed over the pieces."""
+    draws = F.transform(F.sequence(F.lit(1), pieces), u)
+    return F.aggregate(draws, F.lit(0), lambda acc, x: acc + F.aggregate(cdf, F.lit(0), lambda n, c: n + (c <= x).cast("int")))
 
 
 def replicate(docs: DataFrame, rates: DataFrame, seed: int = SEED, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
@@ -73,7 +79,7 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = SEED, doc_id: str =
     key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), F.col(f"`{source}`").alias("s"))
     joined = row.join(rates, F.col("s").eqNullSafe(F.col("src")))
-    n = poisson_count(F.col("rate"), lambda j: uniform(F.lit(str(seed)), F.col("key"), j.cast("string")))
+    n = poisson_count(F.col("pieces"), F.col("cdf"), lambda j: uniform(F.lit(str(seed)), F.col("key"), j.cast("string")))
     copies = joined.withColumn("n", n).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     shuffle_key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), "key", F.col("copy").cast("string")))
     return copies.select("row", "rate", "copy", shuffle_key.alias("shuffle_key")).orderBy("shuffle_key")
