@@ -3,7 +3,7 @@
 All colour features come from one table of distinct colours per asset: pixels
 collapse to (asset, colour) counts in the map stage, and luma histogram, coarse
 bins and ratios are sums over that small table. Shuffle keys are never the
-asset alone until at most 256 + 4096 rows per asset remain.
+asset alone until at most 256 + 4096 bin rows per asset remain.
 """
 
 from __future__ import annotations
@@ -57,17 +57,15 @@ def bimodality(hist: DataFrame) -> DataFrame:
 
 
 def unique_colors(colors: DataFrame, cap: int = fixed.UNIQUE_COLOR_CAP) -> DataFrame:
-    """Distinct colours, saturating at ``cap``."""
+    """Exact number of distinct colours, and whether it reaches ``cap`` (what the cascade calls many)."""
     n = F.count(F.lit(1))
-    return colors.groupBy("asset_id").agg(
-        F.least(n, F.lit(cap)).alias("unique_colors"), (n >= cap).alias("unique_saturated"))
+    return colors.groupBy("asset_id").agg(n.alias("unique_colors"), (n >= cap).alias("unique_saturated"))
 
 
 def unique_colors_approx(px: DataFrame, cap: int = fixed.UNIQUE_COLOR_CAP) -> DataFrame:
     """Sketch variant for very large rasters: constant state per asset."""
     n = F.approx_count_distinct(color.packed_rgb(*_rgb()), 0.01)
-    return px.groupBy("asset_id").agg(
-        F.least(n, F.lit(cap)).alias("unique_colors"), (n >= cap).alias("unique_saturated"))
+    return px.groupBy("asset_id").agg(n.alias("unique_colors"), (n >= cap).alias("unique_saturated"))
 
 
 def gray_ratio(colors: DataFrame) -> DataFrame:
@@ -106,16 +104,18 @@ def _centers(bin_: Column) -> list[Column]:
             F.lit(255).alias("dom_a")]
 
 
-def row_stride(w: Column, h: Column) -> Column:
-    """Lines to step over so that about four million pixels are evaluated."""
+def row_stride(w: Column, h: Column, sample_cap: int = fixed.EDGE_SAMPLE_CAP) -> Column:
+    """Lines to step over so that about ``sample_cap`` pixels are evaluated, for callers who want that sample."""
     total = (w.cast("bigint") - 1) * (h.cast("bigint") - 1)
-    step = F.floor(total / fixed.EDGE_SAMPLE_CAP).cast("bigint")
-    return F.when(total > fixed.EDGE_SAMPLE_CAP, F.greatest(step, F.lit(1))).otherwise(
+    step = F.floor(total / sample_cap).cast("bigint")
+    return F.when(total > sample_cap, F.greatest(step, F.lit(1))).otherwise(
         F.lit(1).cast("bigint"))
 
 
-def edge_flat_ratios(lines: DataFrame, band_lines: int = BAND_LINES) -> DataFrame:
-    """Forward-difference edge and flat shares from scanlines.
+def edge_flat_ratios(lines: DataFrame, band_lines: int = BAND_LINES, sample_cap: int | None = None) -> DataFrame:
+    """Forward-difference edge and flat shares from scanlines, over all lines.
+
+    ``sample_cap`` steps over lines of rasters with more pixels than that (see :func:`row_stride`).
 
     Lines are cut into bands of ``band_lines`` with the first line of the next
     band copied over, so one shuffle on (asset, band) gives every line its lower
@@ -129,7 +129,9 @@ def edge_flat_ratios(lines: DataFrame, band_lines: int = BAND_LINES) -> DataFram
     spread = lines.select("asset_id", "w", "h", "y", lum.alias("c"), F.explode(bands).alias("band"))
     win = Window.partitionBy("asset_id", "band").orderBy("y")
     paired = spread.withColumns({"below": F.lead("c").over(win), "_ny": F.lead("y").over(win)})
-    used = (F.col("_ny") == y + 1) & (F.size("c") > 1) & (y % row_stride(F.col("w"), F.col("h")) == 0)
+    used = (F.col("_ny") == y + 1) & (F.size("c") > 1)
+    if sample_cap is not None:
+        used &= y % row_stride(F.col("w"), F.col("h"), sample_cap) == 0
     n = F.size("c") - 1
     cells = F.arrays_zip(F.slice("c", F.lit(1), n).alias("c"), F.slice("c", F.lit(2), n).alias("r"),
                          F.slice("below", F.lit(1), n).alias("b"))
@@ -165,7 +167,7 @@ def color_features(px: DataFrame) -> DataFrame:
         total.alias("pixels"),
         (F.log2(total) - F.sum(F.when(F.col("is_luma"), F.col("n") * F.log2("n"))) / total).alias("entropy"),
         (mass / total).alias("bimodality"),
-        F.least(colors, F.lit(fixed.UNIQUE_COLOR_CAP)).alias("unique_colors"),
+        colors.alias("unique_colors"),
         (colors >= fixed.UNIQUE_COLOR_CAP).alias("unique_saturated"),
         (lum("n_gray") / total).alias("gray_ratio"),
         (lum("n_sat_low") / total).alias("sat_low_ratio"),

@@ -131,24 +131,32 @@ def with_keys(inputs: DataFrame, version: str, features: str, content: str = "co
         version, features, C("recipe_hash"), level, C("ext"), C("content_hash")))
 
 
-def verify_cache(cache: DataFrame) -> DataFrame:
-    """Entries whose length and digest hold and which are not oversize; all else is a miss."""
-    sound = ((F.octet_length("payload") == C("payload_len")) & (F.sha2("payload", 256) == C("payload_hash"))
-             & (C("payload_len") <= fixed.CACHE_ENTRY_MAX_BYTES))
-    return cache.where(sound)
+def verify_cache(cache: DataFrame, keys: DataFrame | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Entries whose length and digest hold (and which have at most ``max_bytes``); all else is a miss.
+
+    With ``keys``, only entries of those keys are read and hashed: the cost follows the lookups, not the store.
+    """
+    wanted = cache if keys is None else cache.join(keys.select("key").distinct(), "key", "left_semi")
+    sound = (F.octet_length("payload") == C("payload_len")) & (F.sha2("payload", 256) == C("payload_hash"))
+    return wanted.where(sound if max_bytes is None else sound & (C("payload_len") <= max_bytes))
 
 
-def plan_build(inputs: DataFrame, cache: DataFrame, salts: int = 16) -> DataFrame:
+def plan_build(inputs: DataFrame, cache: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
     """Mark each input ``cached`` or ``rebuild``.
 
-    Only the cache's keys take part, copied ``salts`` times against salted inputs, so
-    the copies of one popular content spread over that many tasks.
+    Inputs collapse to their distinct keys, which meet the cache's keys once; only keys found there go back to the
+    inputs. A key of more than ``rows_per_task`` inputs is dealt in as many parts as its count asks for, so copies of
+    one popular content spread over tasks while every other key crosses the shuffle once.
     """
-    spread = F.array(*[F.lit(i) for i in range(salts)])
-    known = cache.select("key").distinct().select("key", F.explode(spread).alias("_salt"), F.lit(True).alias("_hit"))
-    salted = inputs.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in ("path", "out_path") if c in inputs.columns]), F.lit(salts)).cast("int"))
-    return salted.join(known, ["key", "_salt"], "left").withColumn(
-        "status", F.when(C("_hit"), "cached").otherwise("rebuild")).drop("_hit", "_salt")
+    counted = inputs.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+    hits = counted.join(cache.select("key").distinct(), "key", "left_semi")
+    parts = F.ceil(C("_n") / rows_per_task).cast("int")
+    known = hits.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"), F.lit(True).alias("_hit"))
+    hot = hits.where(parts > 1).select("key", parts.alias("_parts"))  # at most one key per rows_per_task inputs
+    spread = F.xxhash64(*[c for c in ("path", "out_path") if c in inputs.columns])
+    dealt = inputs.join(hot, "key", "left").withColumn("_part", F.coalesce(F.pmod(spread, C("_parts")).cast("int"), F.lit(0)))
+    return dealt.join(known, ["key", "_part"], "left").withColumn(
+        "status", F.when(C("_hit"), "cached").otherwise("rebuild")).drop("_hit", "_part", "_parts")
 
 
 def work_list(inputs: DataFrame, cache: DataFrame) -> DataFrame:
@@ -166,10 +174,10 @@ def materialize(plan: DataFrame, cache: DataFrame) -> DataFrame:
     return plan.join(cache.select("key", C("ext").alias("out_ext"), "payload", "payload_len", "payload_hash"), "key")
 
 
-def store(cache: DataFrame, new: DataFrame) -> DataFrame:
-    """Cache plus new entries, one per key, oversize never kept."""
+def store(cache: DataFrame, new: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Cache plus new entries, one per key; entries over ``max_bytes`` are not kept."""
     cols = ["key", "ext", "payload", "payload_len", "payload_hash"]
-    fits = new.where(C("payload_len") <= fixed.CACHE_ENTRY_MAX_BYTES)
+    fits = new if max_bytes is None else new.where(C("payload_len") <= max_bytes)
     fresh = fits.select(*cols).groupBy("key").agg(F.min(F.struct(*cols[1:])).alias("_e")).select("key", "_e.*")
     return cache.select(*cols).unionByName(fresh.join(cache.select("key"), "key", "left_anti"))
 

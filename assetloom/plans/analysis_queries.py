@@ -17,7 +17,7 @@ ENT = """ent AS (SELECT asset_id, -sum((n / t::DOUBLE) * log2(n / t::DOUBLE)) AS
 bim AS (SELECT asset_id, sum(n) / any_value(t)::DOUBLE AS bimodality FROM (
    SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY n DESC, luma) AS rn FROM hist) JOIN total USING (asset_id)
    WHERE rn <= 2 GROUP BY asset_id)"""
-COL = """col AS (SELECT asset_id, least(count(DISTINCT r * 65536 + g * 256 + b), 4096) AS unique_colors,
+COL = """col AS (SELECT asset_id, count(DISTINCT r * 65536 + g * 256 + b) AS unique_colors,
    count(DISTINCT r * 65536 + g * 256 + b) >= 4096 AS unique_saturated, count_if(chroma <= 12) / count(*)::DOUBLE AS gray_ratio,
    count_if(chroma <= 32) / count(*)::DOUBLE AS sat_low_ratio, count_if(a = 0) / count(*)::DOUBLE AS alpha_transparent,
    count_if(a > 0 AND a < 255) / count(*)::DOUBLE AS alpha_translucent FROM lum GROUP BY asset_id)"""
@@ -76,7 +76,7 @@ def a4(spark, sf):
     return rounded(A.bimodality(A.luma_histogram(I.pixels(spark, sf))), "bimodality")
 
 
-@query("a5_unique_colors", ctes(PX) + """SELECT asset_id, least(count(DISTINCT (r, g, b)), 256) AS unique_colors,
+@query("a5_unique_colors", ctes(PX) + """SELECT asset_id, count(DISTINCT (r, g, b)) AS unique_colors,
     count(DISTINCT (r, g, b)) >= 256 AS unique_saturated FROM px GROUP BY asset_id""")
 def a5(spark, sf):
     return A.unique_colors(A.color_counts(I.pixels(spark, sf)), cap=256)

@@ -23,8 +23,7 @@ hits AS (SELECT asset_id, pos, fmt, disposition FROM eff JOIN policy USING (effe
    WHERE (alpha IS NULL OR alpha = has_alpha) AND NOT (fmt = 'webp' AND disposition = 'lossy' AND NOT webp_lossy)
    UNION ALL SELECT asset_id, CASE mode WHEN 'fast' THEN 0 ELSE 9 END, 'avif', 'lossy' FROM eff
    WHERE avif AND effective <> 'lossless-flat' AND mode <> 'perceptual'),
-short AS (SELECT asset_id, row_number() OVER (PARTITION BY asset_id ORDER BY pos) - 1 AS ord, fmt, disposition FROM hits
-   QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY pos) <= 3)"""
+short AS (SELECT asset_id, row_number() OVER (PARTITION BY asset_id ORDER BY pos) - 1 AS ord, fmt, disposition FROM hits)"""
 
 
 def requests(spark, sf):
@@ -53,6 +52,11 @@ def d3(spark, sf):
     return D.format_shortlist(requests(spark, sf)).select("asset_id", "ord", "fmt", "disposition")
 
 
+@query("d3_shortlist_first", ctes(REQ, SHORT) + "SELECT asset_id, ord, fmt, disposition FROM short WHERE ord < 3")
+def d3_first(spark, sf):
+    return D.format_shortlist(requests(spark, sf), max_entries=3).select("asset_id", "ord", "fmt", "disposition")
+
+
 @query("d3_shortlist_ranked", ctes(CD) + """SELECT asset_id, cand_idx, fmt FROM cands
     QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY cand_idx) <= 3""")
 def d3_ranked(spark, sf):

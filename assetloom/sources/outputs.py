@@ -33,7 +33,7 @@ def failure_summary(marked: DataFrame) -> DataFrame:
 def unsafe_name(name: Column) -> Column:
     """Reason an output name may not be joined to a directory (NULL when safe)."""
     return (F.when(name == "", "empty").when(name.startswith("/"), "absolute")
-            .when(F.contains(name, F.lit("/")) | F.contains(name, F.lit("\\")), "separator").when(name == "..", "parent"))
+            .when(F.contains(name, F.lit("/")) | F.contains(name, F.lit("\\")), "separator").when(name.isin(".", ".."), "parent"))
 
 
 def safe_names(df: DataFrame, name: str = "name") -> DataFrame:
@@ -53,7 +53,14 @@ def write_outputs(df: DataFrame, directory: str, overwrite: bool = False, partit
 
 
 def write_files(df: DataFrame, directory: str, name: str = "out_name", payload: str = "payload", overwrite: bool = False) -> None:
-    """Loose files in a folder all executors share; each task writes its own rows, whole or not at all."""
+    """Loose files in a folder all executors share; each task writes its own rows, whole or not at all.
+
+    Names that would leave the folder are refused before the first file is written.
+    """
+    bad = df.select(name, unsafe_name(F.coalesce(F.col(name), F.lit(""))).alias("reason")).where("reason is not null").limit(1).collect()
+    if bad:
+        raise ValueError(f"unsafe output name {bad[0][name]!r}: {bad[0]['reason']}")
+
     def emit(rows) -> None:
         os.makedirs(directory, exist_ok=True)
         for row in rows:
