@@ -246,14 +246,23 @@ def build_stream(spark, sf):
     return run
 
 
-@query("w6_stream_build", ctes(AS, EXPANDED, KEYED) + "SELECT out_path, max(key) AS key FROM keyed WHERE bytes >= 50 GROUP BY out_path")
+CLAIMS = """claims AS (SELECT *, row_number() OVER (PARTITION BY out_path ORDER BY target_idx, pattern_idx, path) AS claim FROM keyed WHERE bytes >= 50)"""
+
+
+@query("w6_stream_build", ctes(AS, EXPANDED, KEYED, CLAIMS) + "SELECT out_path, key FROM claims WHERE claim = 1")
 def w6(spark, sf):
     return build_stream(spark, sf).outputs().select("out_path", "key")
 
 
+@query("w6_collisions", ctes(AS, EXPANDED, KEYED, CLAIMS) + "SELECT asset_id, path, 'output claimed twice: ' || out_path AS reason FROM claims WHERE claim > 1")
+def w6_collisions(spark, sf):
+    aside = build_stream(spark, sf).quarantined().where(F.col("reason").startswith("output"))
+    return aside.select("asset_id", "path", "reason")
+
+
 @query("w7_quarantine", ctes(AS) + "SELECT asset_id, path FROM assets WHERE bytes < 50")
 def w7(spark, sf):
-    return build_stream(spark, sf).quarantined().select("asset_id", "path")
+    return build_stream(spark, sf).quarantined().where("reason = 'check failed'").select("asset_id", "path")
 
 
 @query("w10_stream_dedup", ctes(EV) + "SELECT DISTINCT path FROM changes")

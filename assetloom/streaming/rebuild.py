@@ -45,10 +45,14 @@ class StreamBuilder:
 
     Every batch writes under its own epoch in overwrite mode and reads the cache of
     other epochs only, so a replayed batch produces the same files again. Outputs
-    refresh; the lock is left alone. Rows failing ``checks`` are quarantined and the
-    loop goes on.
+    refresh; the lock is left alone. Set aside with a reason, while the loop goes on:
+    rows that fail ``checks`` (NULL does not fail), later claimants of an output path,
+    and rows whose rendering fails.
     """
 
+    #: Parts that a failing render is repeated in, so that one bad row does not take the batch with it.
+    RENDER_PARTS = 16
+
     def __init__(self, spark: SparkSession, root: str, targets: Callable[[], list[B.Target]], prepare: Callable[[DataFrame], DataFrame],
                  render: Callable[[DataFrame], DataFrame], failing: Callable[[], F.Column] | None = None) -> None:
         self.spark, self.root = spark, root
@@ -56,17 +60,20 @@ class StreamBuilder:
         self.prepare, self.render, self.failing = prepare, render, failing
 
     def _read(self, table: str, schema: str, before: int) -> DataFrame:
+        schema += ", epoch BIGINT"
         try:
-            stored = self.spark.read.schema(schema + ", epoch BIGINT").parquet(f"{self.root}/{table}")
+            stored = self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
         except Exception as exc:
             if "PATH_NOT_FOUND" not in str(exc):
                 raise
             return self.spark.createDataFrame([], schema)
-        return stored.where(F.col("epoch") < before).drop("epoch")
+        return stored.where(F.col("epoch") < before)
 
-    def cache(self, before: int = 2 ** 62) -> DataFrame:
-        """Cache entries of earlier epochs, verified."""
-        return B.verify_cache(self._read("cache", CACHE, before))
+    def cache(self, before: int = 2 ** 62, keys: DataFrame | None = None) -> DataFrame:
+        """Sound cache entries of earlier epochs, the newest per key; with ``keys`` only those are read and hashed."""
+        sound = B.verify_cache(self._read("cache", CACHE, before), keys)
+        columns = [c for c in sound.columns if c not in ("key", "epoch")]
+        return sound.groupBy("key").agg(F.max_by(F.struct(*columns), "epoch").alias("_e")).select("key", "_e.*")
 
     def outputs(self) -> DataFrame:
         """Everything produced, latest epoch per path."""
@@ -75,22 +82,48 @@ class StreamBuilder:
         return rows.groupBy("out_path").agg(latest).select("out_path", "_l.*")
 
     def quarantined(self) -> DataFrame:
-        """Rows set aside by failing checks."""
+        """Rows set aside, with ``reason``."""
         return self.spark.read.parquet(f"{self.root}/quarantine")
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         targets = self.config.refresh()
-        bad = self.failing() if self.failing else F.lit(False)
-        self._write(batch.where(bad), "quarantine", epoch)
-        hashed = B.hash_contents(batch.where(~bad))
-        inputs = self.prepare(B.output_paths(B.expand_targets(hashed, targets), "webp"))
-        cache = self.cache(before=epoch)
-        plan = B.plan_build(inputs, cache)
-        fresh = self.render(plan.where("status = 'rebuild'").dropDuplicates(["key"]))  # render once per key
-        self._write(fresh, "cache", epoch)
-        done = self._read("cache", CACHE, epoch + 1)
+        bad = F.coalesce(self.failing(), F.lit(False)) if self.failing else F.lit(False)
+        rows = self._write(B.hash_contents(batch).withColumn("_bad", bad), "batch", epoch)  # source read and content hashed once
+        placed = B.output_paths(B.expand_targets(rows.where("not _bad").drop("_bad"), targets), "webp")
+        claim = F.struct("target_idx", "pattern_idx", "path", "content_hash")
+        first = placed.groupBy("out_path").agg(F.min(claim).alias("_first"))
+        claimed = placed.join(first, "out_path").withColumn("_second", claim != F.col("_first")).drop("_first")
+        won = claimed.where("not _second").drop("_second").dropDuplicates(["out_path"])
+        inputs = self._write(self.prepare(won), "inputs", epoch)
+        known = self.cache(before=epoch, keys=inputs)
+        plan = B.plan_build(inputs, known)
+        self._render(plan.where("status = 'rebuild'").dropDuplicates(["key"]), epoch)  # render once per key
+        fresh = self._read("cache", CACHE, epoch + 1).where(F.col("epoch") == epoch).drop("epoch")
+        done = known.unionByName(fresh)
         made = B.materialize(plan, done).select("out_path", "key", "payload_len", "payload_hash", "status")
         self._write(made, "outputs", epoch)
-
-    def _write(self, df: DataFrame, table: str, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/epoch={epoch}")
+        lost = plan.join(done.select("key"), "key", "left_anti")
+        aside = (rows.where("_bad").withColumn("reason", F.lit("check failed"))
+                 .unionByName(claimed.where("_second").withColumn("reason", F.concat(F.lit("output claimed twice: "), "out_path")), allowMissingColumns=True)
+                 .unionByName(lost.withColumn("reason", F.lit("render failed")), allowMissingColumns=True))
+        self._write(aside.select(*batch.columns, "reason"), "quarantine", epoch)
+
+    def _render(self, todo: DataFrame, epoch: int) -> None:
+        """Cache entries of this epoch; if rendering fails, part by part, leaving failing parts out."""
+        try:
+            self._write(self.render(todo), "cache", epoch)
+            return
+        except Exception as exc:  # any error of user code; the rows come back as "render failed"
+            self.config.errors.append(str(exc).splitlines()[0])
+        self.spark.createDataFrame([], CACHE).write.mode("overwrite").parquet(f"{self.root}/cache/epoch={epoch}")
+        for part in range(self.RENDER_PARTS):
+            some = todo.where(F.pmod(F.xxhash64("key"), F.lit(self.RENDER_PARTS)) == part)
+            try:
+                self.render(some).write.mode("append").parquet(f"{self.root}/cache/epoch={epoch}")
+            except Exception as exc:
+                self.config.errors.append(str(exc).splitlines()[0])
+
+    def _write(self, df: DataFrame, table: str, epoch: int) -> DataFrame:
+        path = f"{self.root}/{table}/epoch={epoch}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)

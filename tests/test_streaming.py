@@ -98,6 +98,30 @@ def test_stream_build_reuses_cache_and_replays(spark):
         assert run.cache().count() == 2
 
 
+def test_stream_build_sets_aside_and_goes_on(spark):
+    root = fresh_dir(spark, "sb")
+    run = FQ.builder(spark, root, lambda: TARGETS, lambda: F.col("bytes") < 1)
+    run(spark.createDataFrame([(1, "in/a.png", "png", None, "A"), (2, "in/x/a.png", "png", 1, "B"), (3, "in/c.png", "png", 1, "C")], DOC), 0)
+    assert {r.out_path for r in run.outputs().collect()} == {"dist/a.webp", "dist/c.webp"}  # a NULL check does not fail a row
+    assert [(r.path, r.reason) for r in run.quarantined().collect()] == [("in/x/a.png", "output claimed twice: dist/a.webp")]
+    # a damaged entry is a miss: rendered anew, one output
+    entries = spark.read.parquet(f"{root}/cache/epoch=0").collect()
+    spark.createDataFrame([(*e[:2], bytearray(b"broken!!"), *e[3:]) for e in entries], entries and spark.read.parquet(f"{root}/cache/epoch=0").schema) \
+        .write.mode("overwrite").parquet(f"{root}/cache/epoch=0")
+    run(spark.createDataFrame([(1, "in/a.png", "png", 1, "A")], DOC), 1)
+    made = spark.read.parquet(f"{root}/outputs/epoch=1").collect()
+    assert [(r.out_path, r.status) for r in made] == [("dist/a.webp", "rebuild")]
+    assert made[0].payload_hash == [e.payload_hash for e in entries if e.key == made[0].key][0]
+    # a render that fails takes only its part along
+    good = run.render
+    run.render = lambda d: good(d.withColumn("content", F.when(F.col("content") == "BAD", F.raise_error(F.lit("cannot render")).cast("string")).otherwise(F.col("content"))))
+    rows = [(10 + i, f"in/n{i}.png", "png", 1, "BAD" if i == 3 else f"text {i}") for i in range(40)]
+    run(spark.createDataFrame(rows, DOC), 2)
+    lost = {r.path for r in run.quarantined().where("reason = 'render failed'").collect()}
+    done = {r.out_path for r in run.outputs().where("epoch = 2").collect()}
+    assert "in/n3.png" in lost and len(lost) < 12 and len(lost) + len(done) == 40 and run.config.errors
+
+
 def test_broken_config_keeps_the_last_good_one():
     answers = iter([1, ValueError("bad"), 3])
     def load():
