@@ -9,48 +9,69 @@ from .. import fixed
 from ..functions import color
 from ..functions.paths import extension
 from ..schemas import require
+from ..session import written
 
 C = F.col
-RANGES_PER_OCTAVE, OCTAVES = 1024, 1100
+RANGES_PER_OCTAVE, OCTAVES, SUB_RANGES = 1024, 1100, 1024
 
 
 def value_range(v: Column) -> Column:
     """Order-preserving integer range of a double: 1024 ranges per octave, either sign.
 
     A fixed function of the value, so every evaluation agrees, unlike split points
-    taken from a sketch.
+    taken from a sketch. Infinities and NaN (above all numbers) have end ranges.
     """
+    top = 2 * OCTAVES * RANGES_PER_OCTAVE
     size = F.floor(F.log2(F.abs(v)) * RANGES_PER_OCTAVE) + OCTAVES * RANGES_PER_OCTAVE
-    return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, size).otherwise(-size)
+    return (F.when(F.isnan(v), F.lit(top + 1)).when(v == float("inf"), F.lit(top)).when(v == float("-inf"), F.lit(-top))
+            .when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size)).cast("bigint")
+
+
+def _holding(totals: DataFrame, keys: list[str], part: str) -> DataFrame:
+    """The one or two parts of each group that hold the ranks ``_lo`` and ``_hi``, with the rows ``_before`` them."""
+    run = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
+    upto = totals.withColumn("_upto", C("_start") + F.sum("_pn").over(run)).withColumn("_before", C("_upto") - C("_pn"))
+    holds = lambda r: (C(r) >= C("_before")) & (C(r) < C("_upto"))
+    return upto.where(holds("_lo") | holds("_hi"))
+
+
+def _matched(rows: DataFrame, parts: DataFrame, keys: list[str], also: dict[str, str]) -> DataFrame:
+    """Rows of the parts, joined on the group (NULL is a group of its own) and on ``also``."""
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    test = [C(k).eqNullSafe(C(n)) for k, n in names.items()] + [C(a) == C(b) for a, b in also.items()]
+    return rows.join(parts.withColumnsRenamed(names), test).drop(*names.values(), *also.values())
 
 
 def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5,
                    out: str | None = None, count: str | None = None) -> DataFrame:
     """Exact interpolated quantile per group without gathering or ordering a group.
 
-    Values collapse to counts while still spread over (group, value). Totals per
-    value range locate the wanted ranks, and only the one or two ranges holding
-    them are ordered, each in its own task.
+    Values collapse to counts while still spread over (group, value), written once. Totals per
+    value range locate the wanted ranks; the one or two ranges holding them are cut again, into
+    ``SUB_RANGES`` equal parts between their own least and largest value, and only the parts
+    holding the ranks are ordered, each in its own task. NULLs do not count; NaN is above all numbers.
     """
     v = C(value).cast("double")
     counts = df.where(C(value).isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    binned = counts.withColumn("_b", value_range(C("_v")))
-    totals = binned.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))
-    run = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
+    binned = written(counts.withColumn("_b", value_range(C("_v"))), "counts")
+    totals = binned.groupBy(*keys, "_b").agg(F.sum("_n").alias("_pn"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     rank = F.lit(q) * (C("_all") - 1)
-    ranked = totals.withColumns({"_upto": F.sum("_bn").over(run), "_all": F.sum("_bn").over(whole)}).withColumns(
-        {"_before": C("_upto") - C("_bn"), "_rank": rank, "_lo": F.floor(rank), "_hi": F.ceil(rank)})
-    holds = lambda r: (C(r) >= C("_before")) & (C(r) < C("_upto"))
-    hot = ranked.where(holds("_lo") | holds("_hi")).select(*keys, "_b", "_before", "_rank", "_lo", "_hi", "_all")
-    inner = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = binned.join(hot, [*keys, "_b"]).withColumn("_upto", C("_before") + F.sum("_n").over(inner)).withColumn(
-        "_from", C("_upto") - C("_n"))
+    ranked = totals.withColumn("_all", F.sum("_pn").over(Window.partitionBy(*keys))).withColumns(
+        {"_start": F.lit(0).cast("bigint"), "_rank": rank, "_lo": F.floor(rank), "_hi": F.ceil(rank)})
+    facts = ["_rank", "_lo", "_hi", "_all"]
+    hot = _holding(ranked, keys, "_b").select(*keys, C("_b").alias("_hb"), C("_before").alias("_start"), "_least", "_most", *facts)
+    share = (C("_v") - C("_least")) / (C("_most") - C("_least"))
+    part = F.when(C("_least") == C("_most"), 0).otherwise(F.floor(share * SUB_RANGES)).cast("bigint")
+    inside = _matched(binned, hot, keys, {"_b": "_hb"}).withColumn("_p", part)
+    sums = inside.groupBy(*keys, "_b", "_p").agg(F.sum("_n").alias("_pn"), *[F.max(c).alias(c) for c in ("_start", *facts)])
+    final = _holding(sums, [*keys, "_b"], "_p").select(*keys, C("_b").alias("_hb"), C("_p").alias("_hp"), "_before")
+    inner = Window.partitionBy(*keys, "_b", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = _matched(inside, final, keys, {"_b": "_hb", "_p": "_hp"}).withColumn("_upto", C("_before") + F.sum("_n").over(inner)).withColumn("_from", C("_upto") - C("_n"))
     at = lambda r: F.max(F.when((C(r) >= C("_from")) & (C(r) < C("_upto")), C("_v")))
     ends = placed.groupBy(*keys).agg(at("_lo").alias("_a"), at("_hi").alias("_z"), F.max(C("_rank") - C("_lo")).alias("_f"),
                                      F.max("_all").alias("_all"))
-    return ends.select(*keys, (C("_a") + (C("_z") - C("_a")) * C("_f")).alias(out or value),
-                       *([C("_all").alias(count)] if count else []))
+    between = F.when((C("_a") == C("_z")) | (C("_f") == 0), C("_a")).otherwise(C("_a") + (C("_z") - C("_a")) * C("_f"))
+    return ends.select(*keys, between.alias(out or value), *([C("_all").alias(count)] if count else []))
 
 
 def iso_quality(runs: DataFrame, target: float = fixed.ISO_TARGET_SCORE) -> DataFrame:

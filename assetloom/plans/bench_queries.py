@@ -50,6 +50,18 @@ def k4_quantile(spark, sf):
     return K.exact_quantile(rows, ["flag"], "l_extendedprice", 0.9, "p90").withColumn("p90", F.round("p90", 6))
 
 
+NARROW = "1.7e9::DOUBLE + l_partkey + l_extendedprice / 1000000"
+
+
+@query("k4_narrow_quantile", f"""SELECT l_returnflag AS flag, round(quantile_cont(CASE WHEN l_orderkey % 9 = 0 THEN 'nan'::DOUBLE ELSE {NARROW} END, 0.5), 4) AS p50
+    FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_returnflag""")
+def k4_narrow(spark, sf):
+    """Values within a ten-thousandth of each other, and NaN above them."""
+    v = E("if(l_orderkey % 9 = 0, double('NaN'), 1.7e9D + l_partkey + l_extendedprice / 1000000)")
+    rows = I.table(spark, sf, "lineitem").where("l_linestatus = 'F'").select(F.col("l_returnflag").alias("flag"), v.alias("v"))
+    return K.exact_quantile(rows, ["flag"], "v", 0.5, "p50").withColumn("p50", F.round("p50", 4))
+
+
 @query("k5_savings_table", ctes(BN, ISO) + "SELECT image, tool, round(1.0::DOUBLE - bytes::DOUBLE / source_bytes, 6) AS saved FROM iso")
 def k5(spark, sf):
     return K.savings_table(iso(spark, sf)).select("image", "tool", F.round("saved", 6).alias("saved"))
