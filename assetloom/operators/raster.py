@@ -18,6 +18,7 @@ from ..functions import color
 from ..schemas import require
 
 CHANNELS = ("r", "g", "b")
+BAND_LINES = 128
 
 
 def explode_array(df: DataFrame, array: str, width: int | Column, value: str = "value") -> DataFrame:
@@ -107,38 +108,101 @@ def _weight(src: Column, dst: Column, src_n: Column, dst_n: Column) -> Column:
             .otherwise(kernel))
 
 
-def _resample_axis(px: DataFrame, axis: str) -> DataFrame:
-    src_n, dst_n = ("w", "dw") if axis == "x" else ("h", "dh")
-    other = "y" if axis == "x" else "x"
-    lo, hi = _taps(F.col(axis), F.col(src_n), F.col(dst_n))
-    taps = (px.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi")
-            .withColumn("_d", F.explode(F.sequence("_lo", "_hi")))
-            .withColumn("_k", _weight(F.col(axis), F.col("_d"), F.col(src_n), F.col(dst_n))))
-    sums = taps.groupBy("asset_id", "w", "h", "dw", "dh", other, F.col("_d").alias(axis)).agg(
-        F.sum("_k").alias("_k"),
-        *[F.sum(F.col("_k") * F.col(c)).alias(c) for c in (*CHANNELS, "a")])
-    return sums.withColumns({c: F.col(c) / F.col("_k") for c in (*CHANNELS, "a")}).drop("_k")
+def _reached(d: Column, src_n: Column, dst_n: Column) -> tuple[Column, Column]:
+    """First and last source sample that destination ``d`` is made of."""
+    scale = src_n.cast("double") / dst_n
+    reach = 3.0 * F.greatest(scale, F.lit(1.0))
+    centre = (d + 0.5) * scale - 0.5
+    return (F.greatest(F.lit(0), F.ceil(centre - reach).cast("int")),
+            F.least(src_n.cast("int") - 1, F.floor(centre + reach).cast("int")))
 
 
-def resample(px: DataFrame, depth: int = 8) -> DataFrame:
-    """Separable Lanczos-3 to ``dw x dh`` in linear light; alpha linear, untransformed.
+def _mixed(values: Column, weights: Column) -> Column:
+    """Weighted mean of samples over those that exist; NULL if none does."""
+    pair = F.zip_with(values, weights, lambda v, k: F.struct((v * k).alias("v"), F.when(v.isNotNull(), k).alias("k")))
+    zero = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("k"), F.lit(0).alias("n"))
+    total = F.aggregate(pair, zero, lambda acc, p: F.when(p["k"].isNull(), acc).otherwise(
+        F.struct((acc["v"] + p["v"]).alias("v"), (acc["k"] + p["k"]).alias("k"), (acc["n"] + 1).alias("n"))),
+        lambda acc: F.when(acc["n"] > 0, acc["v"] / acc["k"]))
+    return total
 
-    Each source sample is fanned out to the few destinations it reaches and
-    summed, so no kernel table is built, joined or broadcast, and both passes
-    spread over (line, column) keys however large one raster is. Samples outside
-    the raster do not exist; weights are renormalised over those that do.
-    Equal sizes use a single tap and come back unchanged.
+
+def resample_lines(lines: DataFrame, depth: int = 8, band_lines: int = BAND_LINES) -> DataFrame:
+    """Separable Lanczos-3 of scanlines to ``dw x dh`` in linear light; alpha linear, untransformed.
+
+    The x pass is an expression within each line. For the y pass every line is copied to the bands of destination
+    lines it reaches, and one shuffle on (asset, band) brings a band's lines together: as many destination lines as
+    about ``band_lines`` source lines make, plus the reach of the kernel on both sides. Rasters that keep their height
+    skip that shuffle, and those that keep their size come back as they are. Samples outside the raster do not exist;
+    weights are renormalised over those that do.
     """
+    require(lines, "asset_id", "w", "h", "y", "dw", "dh", *CHANNELS, "a")
+    top, c = float(2 ** depth - 1), F.col
+    planes = (*CHANNELS, "a")
+    dims = ["asset_id", c("dw").cast("int").alias("w"), c("dh").cast("int").alias("h")]
+    same = (c("w") == c("dw")) & (c("h") == c("dh"))
+    untouched = lines.where(same).select(*dims, "y", *planes)
+    linear = lines.where(~same).withColumns({
+        **{n: F.transform(n, lambda v: F.when(v.isNotNull(), color.decode_sample(v, depth))) for n in CHANNELS}, "a": F.transform("a", lambda v: v / top)})
+    across = linear.withColumn("_t", F.when(c("w") != c("dw"), F.transform(F.sequence(F.lit(0), c("dw").cast("int") - 1), _tap))) \
+        .withColumns(_across(planes)).drop("_t")
+    level = across.where("h = dh").select(*dims, "y", *planes)
+    per_band = F.greatest(F.lit(1), F.floor(band_lines * c("dh") / c("h"))).cast("int")
+    lo, hi = _taps(c("y"), c("h"), c("dh"))
+    moved = (across.where("h <> dh").withColumns({"_lo": lo, "_hi": hi, "_per": per_band}).where("_lo <= _hi")
+             .withColumn("_band", F.explode(F.sequence(F.floor(c("_lo") / c("_per")), F.floor(c("_hi") / c("_per"))))))
+    bands = moved.groupBy("asset_id", "h", "dw", "dh", "_per", "_band").agg(F.array_sort(F.collect_list(F.struct("y", *planes))).alias("_ls"))
+    last = F.least(c("dh").cast("bigint"), (c("_band") + 1) * c("_per")) - 1
+    made = bands.select("asset_id", "dw", "dh", F.explode(F.transform(
+        F.sequence((c("_band") * c("_per")).cast("int"), last.cast("int")), _down(planes))).alias("_o")).where("_o is not null")
+    down = made.select(*dims, "_o.y", *[c(f"_o.{n}").alias(n) for n in planes])
+    coded = level.union(down).withColumns({
+        **{n: F.transform(n, lambda v: F.when(v.isNotNull(), color.encode_sample(v, depth))) for n in CHANNELS},
+        "a": F.transform("a", lambda v: F.when(v.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)) * top).cast("int")))})
+    return untouched.union(coded)
+
+
+def _tap(d: Column) -> Column:
+    """First sample and weights of a destination column."""
+    lo, hi = _reached(d, F.col("w"), F.col("dw"))
+    return F.struct(lo.alias("lo"), F.transform(F.sequence(lo, hi), lambda s: _weight(s, d, F.col("w"), F.col("dw"))).alias("k"))
+
+
+def _across(planes: tuple[str, ...]) -> dict[str, Column]:
+    """The x pass of every plane."""
+    def line(n: str) -> Column:
+        return F.transform("_t", lambda t: _mixed(F.slice(n, t["lo"] + 1, F.size(t["k"])), t["k"]))
+    return {n: F.when(F.col("w") == F.col("dw"), F.col(n)).otherwise(line(n)) for n in planes}
+
+
+def _down(planes: tuple[str, ...]):
+    """One destination line of a band: the y pass of every plane, over the lines that exist; NULL if none does."""
+    def line(d: Column) -> Column:
+        lo, hi = _reached(d, F.col("h"), F.col("dh"))
+        near = F.transform(F.filter("_ls", lambda one: one["y"].between(lo, hi)),
+                           lambda one: F.struct(_weight(one["y"], d, F.col("h"), F.col("dh")).alias("k"), one.alias("l")))
+        columns = F.sequence(F.lit(0), F.col("dw").cast("int") - 1)
+        # an array of one binds the lines and weights, so that they are worked out once per line and not once per sample
+        return F.transform(F.array(near), lambda m: F.when(F.size(m) > 0, F.struct(d.cast("int").alias("y"), *[
+            F.transform(columns, _column_mixer(m, n)).alias(n) for n in planes])))[0]
+    return line
+
+
+def _column_mixer(m: Column, plane: str):
+    return lambda x: _mixed(F.transform(m, lambda one: one["l"][plane][x]), F.transform(m, lambda one: one["k"]))
+
+
+def resample(px: DataFrame, depth: int = 8) -> DataFrame:
+    """Pixel form of :func:`resample_lines`: pixels are gathered to lines first, gaps filled with NULL samples."""
     require(px, "asset_id", "w", "h", "x", "y", "dw", "dh", *CHANNELS, "a")
-    top = float(2 ** depth - 1)
-    linear = px.withColumns({**{c: color.decode_sample(F.col(c), depth) for c in CHANNELS},
-                             "a": F.col("a") / top})
-    both = _resample_axis(_resample_axis(linear, "x"), "y")
-    coded = both.withColumns({
-        **{c: color.encode_sample(F.col(c), depth) for c in CHANNELS},
-        "a": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("a"))) * top).cast("int")})
-    return coded.select("asset_id", F.col("dw").cast("int").alias("w"),
-                        F.col("dh").cast("int").alias("h"), "x", "y", *CHANNELS, "a")
+    lines = px.groupBy("asset_id", "w", "h", "dw", "dh", "y").agg(
+        F.array_sort(F.collect_list(F.struct("x", "r", "g", "b", "a"))).alias("_p"))
+    at = F.map_from_entries(F.transform("_p", lambda p: F.struct(p["x"].alias("k"), p.alias("v"))))
+    gaps = F.transform(F.sequence(F.lit(0), F.col("w").cast("int") - 1), lambda x: F.try_element_at(at, x))
+    full = lines.withColumn("_p", F.when(F.size("_p") < F.col("w"), gaps).otherwise(F.col("_p")))
+    flat = full.select("asset_id", "w", "h", "dw", "dh", "y", *[F.col(f"_p.{c}").alias(c) for c in (*CHANNELS, "a")])
+    out = explode_pixels(resample_lines(flat, depth)).where("r is not null")
+    return out.select("asset_id", "w", "h", "x", "y", *CHANNELS, "a")
 
 
 def crop_center(px: DataFrame, tw: Column | int, th: Column | int) -> DataFrame:
@@ -159,6 +223,11 @@ def resize(px: DataFrame, mode: str, width: int | None = None, height: int | Non
     return crop_center(out, width, height) if mode == "fill" else out
 
 
+def resize_lines(lines: DataFrame, mode: str, width: int | None = None, height: int | None = None, percent: float | None = None) -> DataFrame:
+    """Any mode but ``fill`` (which also crops), on scanlines."""
+    return resample_lines(plan_resize(lines, mode, width, height, percent))
+
+
 def resize_fill(px: DataFrame, width: int, height: int) -> DataFrame:
     """Cover the box, then crop to it."""
     return resize(px, "fill", width, height)
