@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import hashing
-from ..functions.paths import expand_template, glob_matches, lexical_clean
-from ..functions.scalars import plural, short_hash
+from ..functions.paths import expand_template, extension, glob_matches, lexical_clean
+from ..functions.scalars import is_image_ext, plural, short_hash
 from ..schemas import require
 
 C = F.col
@@ -26,18 +26,30 @@ class Target:
     name: str | None = None
 
 
-def expand_targets(assets: DataFrame, targets: list[Target], path: str = "path") -> DataFrame:
+def _resolves(path: str, pattern: str, extra: list[str] | None) -> Column:
+    """Whether a source entry takes a path: a named file always, a directory or glob only images.
+
+    A directory (trailing slash) lists its top level.
+    """
+    wild = any(c in pattern for c in "*?[")
+    glob = pattern + "*" if pattern.endswith("/") and not wild else pattern
+    hit = glob_matches(C(path), glob, crosses_slash=False)
+    return hit & is_image_ext(extension(C(path)), extra) if wild or glob != pattern else hit
+
+
+def expand_targets(assets: DataFrame, targets: list[Target], path: str = "path", extra: list[str] | None = None) -> DataFrame:
     """Assets x matching source patterns, duplicates kept, ordered by target, pattern, path.
 
     Patterns are literals of the plan, compiled once per task: one scan of the
-    assets, no join, and rows only for real matches.
+    assets, no join, and rows only for real matches. Entries resolve like a scan:
+    globs and directories take image extensions (and ``extra``) only.
     """
     if len(targets) > fixed.MANIFEST_MAX_TARGETS:
         raise ValueError(f"build manifest has too many targets ({len(targets)})")
     entries = []
     for t_idx, target in enumerate(targets):
         for p_idx, pattern in enumerate(target.source):
-            entries.append(F.when(glob_matches(C(path), pattern, crosses_slash=False), F.struct(
+            entries.append(F.when(_resolves(path, pattern, extra), F.struct(
                 F.lit(t_idx).alias("target_idx"), F.lit(p_idx).alias("pattern_idx"),
                 F.lit(target.recipe).alias("recipe"), F.lit(target.out).alias("out"),
                 F.lit(target.name or DEFAULT_TEMPLATE).alias("template"))))
@@ -175,9 +187,9 @@ def materialize(plan: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def store(cache: DataFrame, new: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """Cache plus new entries, one per key; entries over ``max_bytes`` are not kept."""
+    """Cache plus new entries, one per key; those without a length or over ``max_bytes`` are not kept."""
     cols = ["key", "ext", "payload", "payload_len", "payload_hash"]
-    fits = new if max_bytes is None else new.where(C("payload_len") <= max_bytes)
+    fits = new.where(C("payload_len").isNotNull() if max_bytes is None else C("payload_len") <= max_bytes)
     fresh = fits.select(*cols).groupBy("key").agg(F.min(F.struct(*cols[1:])).alias("_e")).select("key", "_e.*")
     return cache.select(*cols).unionByName(fresh.join(cache.select("key"), "key", "left_anti"))
 

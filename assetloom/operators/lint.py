@@ -7,6 +7,7 @@ resolved while the plan is built, so no join or shuffle is needed to find anythi
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -306,11 +307,48 @@ def report_human(findings: DataFrame) -> DataFrame:
 
 
 def report_json(findings: DataFrame) -> DataFrame:
-    """One JSON object per finding (JSON lines); the summary is its own row elsewhere."""
-    body = F.to_json(F.struct("file", "rule", "severity", "message", C("command").alias("fix")))
+    """One JSON object per finding (JSON lines); an absent fix or saving is null. The summary is its own row elsewhere."""
+    saved = C("bytes_saved") if "bytes_saved" in findings.columns else F.lit(None).cast("bigint")
+    body = F.to_json(F.struct("file", "rule", "severity", "message", C("command").alias("fix"), saved.alias("bytes_saved")),
+                     {"ignoreNullFields": "false"})
     return fix_command(findings).select("file", "severity_rank", "rule", body.alias("json"))
 
 
+def write_report(parts: list[tuple[str, DataFrame]], head: str, tail: str, directory: str) -> None:
+    """One document as numbered text files that are concatenated in order of name: head, sections of JSON rows, tail.
+
+    ``parts`` are the opening text of a section and its rows (column ``json``). The least row of a section is written by
+    itself, all others after a comma each, by the tasks that hold them; nothing is gathered.
+    """
+    spark = parts[0][1].sparkSession
+    spark.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(f"{directory}/00-head")
+    for i, (opening, rows) in enumerate(parts, 1):
+        first = spark.createDataFrame([(opening,)], "value string")
+        first.coalesce(1).write.mode("overwrite").text(f"{directory}/{i:02d}-a")
+        lead = rows.orderBy("json").limit(1)
+        lead.select(C("json").alias("value")).coalesce(1).write.mode("overwrite").text(f"{directory}/{i:02d}-b")
+        top = lead.select(C("json").alias("_first"), F.lit(1).alias("_n"))
+        numbered = rows.select("json").withColumn("_copy", F.lit(1)).groupBy("json").agg(F.sum("_copy").alias("_c"))
+        rest = numbered.join(F.broadcast(top), C("json") == C("_first"), "left").select(
+            "json", F.explode(F.array_repeat(F.lit(0), (C("_c") - F.coalesce(C("_n"), F.lit(0))).cast("int"))))
+        rest.select(F.concat(F.lit(","), "json").alias("value")).write.mode("overwrite").text(f"{directory}/{i:02d}-c")
+    spark.createDataFrame([(tail,)], "value string").coalesce(1).write.mode("overwrite").text(f"{directory}/99-tail")
+
+
+def write_sarif(findings: DataFrame, directory: str, tool: str = "assetloom", base: str | None = None) -> None:
+    """A SARIF 2.1.0 document: the files under ``directory``, concatenated in order of path."""
+    rows = report_sarif(findings, base)
+    head = ('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":"%s"' % tool)
+    write_report([(',"rules":[', rows.where("section = 0")), (']}},"results":[', rows.where("section = 1"))], head, "]}]}", directory)
+
+
+def write_json(findings: DataFrame, facts: DataFrame, directory: str, max_warnings: int | None = None) -> None:
+    """A JSON document with findings, summary and ``passed``: the files under ``directory``, in order of path."""
+    summary = lint_summary(facts, findings).crossJoin(lint_gate(findings, max_warnings).select("passed")).first().asDict()  # one row
+    tail = '],"summary":%s,"passed":%s}' % (json.dumps({k: v for k, v in summary.items() if k != "passed"}), json.dumps(summary["passed"]))
+    write_report([('"findings":[', report_json(findings))], '{"version":1,', tail, directory)
+
+
 def report_sarif(findings: DataFrame, base: str | None = None) -> DataFrame:
     """SARIF 2.1.0 results, one per row, with rule rows ahead of them (``section`` orders)."""
     level = lambda s: F.when(s == "error", "error").when(s == "warn", "warning").otherwise("note")

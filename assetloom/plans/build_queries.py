@@ -19,11 +19,11 @@ TARGETS = [
     B.Target(("missing/**",), "web", "dist/none"),
 ]
 EXPANDED = """expanded AS (
-  SELECT *, 0 AS target_idx, 0 AS pattern_idx, 'web' AS recipe, 'dist/a' AS out_dir, '{stem}.{ext}' AS template FROM assets WHERE path LIKE 'assets/src1/%'
+  SELECT *, 0 AS target_idx, 0 AS pattern_idx, 'web' AS recipe, 'dist/a' AS out_dir, '{stem}.{ext}' AS template FROM assets WHERE path LIKE 'assets/src1/%' AND lower(ext) IN ('jpg', 'png', 'gif')
   UNION ALL SELECT *, 0, 1, 'web', 'dist/a', '{stem}.{ext}' FROM assets WHERE regexp_matches(path, '^assets/[^/]*/de/[^/]*\\.PNG$')
   UNION ALL SELECT *, 1, 0, 'gallery', 'dist/b', '{parent}-{stem}.{ext}' FROM assets WHERE path LIKE 'assets/%.jpg'
-  UNION ALL SELECT *, 2, 0, 'product', 'dist/c', '{stem}.{ext}' FROM assets WHERE regexp_matches(path, '^assets/src[^/]/en/d[0-4][^/]*$')
-  UNION ALL SELECT *, 2, 1, 'product', 'dist/c', '{stem}.{ext}' FROM assets WHERE path LIKE 'assets/%'),
+  UNION ALL SELECT *, 2, 0, 'product', 'dist/c', '{stem}.{ext}' FROM assets WHERE regexp_matches(path, '^assets/src[^/]/en/d[0-4][^/]*$') AND lower(ext) IN ('jpg', 'png', 'gif')
+  UNION ALL SELECT *, 2, 1, 'product', 'dist/c', '{stem}.{ext}' FROM assets WHERE path LIKE 'assets/%' AND lower(ext) IN ('jpg', 'png', 'gif')),
 named AS (SELECT *, regexp_extract(path, '([^/]*)\\.[^.]*$', 1) AS stem, regexp_extract(path, '([^/]*)/[^/]*$', 1) AS parent FROM expanded),
 placed AS (SELECT *, out_dir || '/' || CASE target_idx WHEN 1 THEN parent || '-' ELSE '' END || stem || '.' || '{ext}' AS out_sym,
   out_dir || '/' || CASE target_idx WHEN 1 THEN parent || '-' ELSE '' END || stem || '.webp' AS out_path FROM named)"""

@@ -218,6 +218,15 @@ def w4_stream(spark, sf):
     return ntz(drained(spark, sessions, "sessions"), "first_change", "last_change")
 
 
+@query("w4_debounce_global_stream", """WITH t AS (SELECT CAST(ts AS TIMESTAMP) AS t FROM events), o AS (SELECT t, t - lag(t) OVER (ORDER BY t) > INTERVAL '10 minutes' AS gap FROM t),
+    g AS (SELECT t, sum(coalesce(gap, true)::INT) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM o)
+    SELECT min(t) AS first_change, max(t) AS last_change, count(*) AS changes FROM g GROUP BY k
+    HAVING max(t) + INTERVAL '10 minutes' <= (SELECT date_trunc('millisecond', max(t)) - INTERVAL '10 minutes' FROM t)""")
+def w4_global_stream(spark, sf):
+    """All changes as one feed, in bursts."""
+    return ntz(drained(spark, W.debounce_stream(change_stream(spark, sf), "10 minutes", "10 minutes"), "bursts"), "first_change", "last_change")
+
+
 @query("w5_late_data", ctes(EV) + """SELECT event_type, start, start + INTERVAL '1 hour' AS "end", count(*) AS changes FROM (SELECT *, date_trunc('hour', event_time) AS start FROM changes)
     WHERE start + INTERVAL '1 hour' <= (SELECT date_trunc('millisecond', max(event_time)) - INTERVAL '30 minutes' FROM changes) GROUP BY ALL""")
 def w5(spark, sf):

@@ -204,7 +204,7 @@ def l23_human(spark, sf):
 
 
 @query("l23_report_json", BASE + """SELECT file, rule, '{"file":"' || file || '","rule":"' || rule || '","severity":"' || severity || '","message":"' || message || '"' ||
-    coalesce(',"fix":"' || fix || ' ' || file || '"', '') || '}' AS json FROM found""")
+    ',"fix":' || coalesce('"' || fix || ' ' || file || '"', 'null') || ',"bytes_saved":null}' AS json FROM found""")
 def l23_json(spark, sf):
     return L.report_json(found(spark, sf)).select("file", "rule", "json")
 

@@ -78,11 +78,16 @@ def debounce(changes: DataFrame, gap_seconds: float, keys: list[str] | None = No
 
 
 def debounce_stream(changes: DataFrame, gap: str, delay: str, keys: list[str] | None = None) -> DataFrame:
-    """Streaming form: session windows closed once the watermark passes them."""
-    grouped = changes.withWatermark("event_time", delay).groupBy(
-        F.session_window("event_time", gap).alias("_w"), *(keys or []))
+    """Streaming form: session windows closed once the watermark passes them.
+
+    Without keys the whole feed is one session group (Spark wants a key, so a constant stands in); sessions are merged
+    within every input partition first, so that group sees bursts, not events.
+    """
+    group = keys or ["_feed"]
+    keyed = changes if keys else changes.withColumn("_feed", F.lit(0))
+    grouped = keyed.withWatermark("event_time", delay).groupBy(F.session_window("event_time", gap).alias("_w"), *group)
     return grouped.agg(F.min("event_time").alias("first_change"), F.max("event_time").alias("last_change"),
-                       F.count(F.lit(1)).alias("changes")).drop("_w")
+                       F.count(F.lit(1)).alias("changes")).drop("_w", "_feed")
 
 
 def dedup_stream(changes: DataFrame, keys: list[str], delay: str) -> DataFrame:

@@ -142,3 +142,29 @@ def test_hash_ignores_param_order(spark):
     h = lambda m, plan="preserve": B.recipe_hash(steps(m), plan).first().recipe_hash
     assert h("map('a','1','b','2')") == h("map('b','2','a','1')") != h("map('a','1','b','3')")
     assert h("map('a','1')") != h("map('a','1')", "decide")
+
+
+def test_targets_resolve_like_a_scan(spark):
+    assets = spark.createDataFrame([(p,) for p in ("photos/a.png", "photos/b.txt", "photos/x/c.png", "notes/d.txt", "e.webp")], "path STRING")
+    targets = [B.Target(("photos/", "photos/**", "notes/d.txt", "*.webp"), "web", "o")]
+    got = lambda **kw: sorted((r.pattern_idx, r.path) for r in B.expand_targets(assets, targets, **kw).collect())
+    assert got() == [(0, "photos/a.png"), (1, "photos/a.png"), (1, "photos/x/c.png"), (2, "notes/d.txt")]
+    assert (3, "e.webp") in got(extra=["webp"])
+
+
+def test_report_documents_parse(spark, tmp_path):
+    import glob
+    import json
+    facts = spark.createDataFrame([("a.png", 1), ("b.png", 2)], "file STRING, bytes BIGINT")
+    row = ("gps-metadata-leak", "error", 0, 'says "hi"')
+    schema = "file STRING, rule STRING, severity STRING, severity_rank INT, message STRING, fix STRING"
+    for n, rows in enumerate(([], [("a.png", *row, None)], [("a.png", *row, "clean --gps"), ("b.png", *row, None), ("b.png", *row, None)])):
+        found = spark.createDataFrame(rows, schema)
+        read = lambda d: json.loads("".join(open(f).read() for f in sorted(glob.glob(f"{d}/*/part-*"))))
+        L.write_sarif(found, f"{tmp_path}/s{n}")
+        run = read(f"{tmp_path}/s{n}")["runs"][0]
+        assert len(run["results"]) == n + (n == 2) and len(run["tool"]["driver"]["rules"]) == min(n, 1)
+        L.write_json(found, facts, f"{tmp_path}/j{n}")
+        doc = read(f"{tmp_path}/j{n}")
+        assert len(doc["findings"]) == len(rows) and doc["passed"] == (not rows) and doc["summary"]["files_scanned"] == 2
+        assert all("fix" in f and f["bytes_saved"] is None for f in doc["findings"])
