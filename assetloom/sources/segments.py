@@ -1,13 +1,14 @@
 """Container segment inventory.
 
-Walking a container is sequential, so one small Python table function lists the
-segments of a row; everything after it is relational.
+Walking a container is sequential, so one small Python function over Arrow batches
+lists the segments of a row; everything after it is relational.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def _jpeg(data: bytes) -> Iterator[tuple[str, int, int, int]]:
 def _png(data: bytes) -> Iterator[tuple[str, int, int, int]]:
     pos = 8
     while pos + 12 <= len(data):
-        size, kind = int.from_bytes(data[pos:pos + 4], "big"), data[pos + 4:pos + 8].decode("latin-1")
+        size, kind = int.from_bytes(data[pos:pos + 4], "big"), bytes(data[pos + 4:pos + 8]).decode("latin-1")
         if pos + 12 + size > len(data):
             return
         yield kind, pos, size, pos + 8
@@ -57,7 +58,7 @@ def _png(data: bytes) -> Iterator[tuple[str, int, int, int]]:
 def _riff(data: bytes) -> Iterator[tuple[str, int, int, int]]:
     pos = 12
     while pos + 8 <= len(data):
-        kind, size = data[pos:pos + 4].decode("latin-1"), int.from_bytes(data[pos + 4:pos + 8], "little")
+        kind, size = bytes(data[pos:pos + 4]).decode("latin-1"), int.from_bytes(data[pos + 4:pos + 8], "little")
         if pos + 8 + size > len(data):
             return
         yield kind, pos, size, pos + 8
@@ -93,53 +94,108 @@ def _gif(data: bytes) -> Iterator[tuple[str, int, int, int]]:
         yield kind, start, pos - start, start + 1
 
 
-def walk(data: bytes) -> Iterator[tuple[str, int, int, int]]:
+#: Readers by leading bytes: a test of the first 16 bytes, and a function from a container to its segments.
+READERS: list[tuple[Callable[[bytes], bool], Callable[[bytes], Iterator[tuple[str, int, int, int]]]]] = [
+    (lambda h: h[:3] == b"\xff\xd8\xff", _jpeg),
+    (lambda h: h[:8] == b"\x89PNG\r\n\x1a\n", _png),
+    (lambda h: h[:3] == b"GIF", _gif),
+    (lambda h: h[:4] == b"RIFF" and h[8:12] == b"WEBP", _riff),
+]
+
+
+def register_reader(test: Callable[[bytes], bool], read: Callable[[bytes], Iterator[tuple[str, int, int, int]]]) -> None:
+    """Add a reader of segments: ``test`` sees the first 16 bytes, ``read`` yields (kind, offset, length, payload start)."""
+    READERS.insert(0, (test, read))
+
+
+def walk(data: bytes, readers=None) -> Iterator[tuple[str, int, int, int]]:
     """(kind, offset, payload length, payload start) until the end or the first malformed length."""
-    if data[:3] == b"\xff\xd8\xff":
-        return _jpeg(data)
-    if data[:8] == b"\x89PNG\r\n\x1a\n":
-        return _png(data)
-    if data[:3] == b"GIF":
-        return _gif(data)
-    return _riff(data) if data[:4] == b"RIFF" and data[8:12] == b"WEBP" else iter(())
+    head = bytes(data[:16])
+    for test, read in READERS if readers is None else readers:
+        if test(head):
+            return read(data)
+    return iter(())
+
+
+SEGMENT = "array<struct<seg_idx: int, kind: string, offset: bigint, length: bigint, head: binary>>"
 
 
-@F.udtf(returnType="seg_idx INT, kind STRING, offset BIGINT, length BIGINT, head BINARY")
-class ContainerSegments:
-    """Segments of one container with the first bytes of each payload; one NULL row when it has none."""
+def _walker(head: int, readers):
+    kind = pa.list_(pa.struct([("seg_idx", pa.int32()), ("kind", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("head", pa.binary())]))
 
-    def eval(self, content: bytes):
-        data = bytes(content or b"")
-        idx = -1
-        for idx, (kind, offset, length, start) in enumerate(walk(data)):
-            yield idx, kind, offset, length, data[start:start + min(length, HEAD)]
-        if idx < 0:
-            yield None, None, None, None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for value in batch.column(batch.num_columns - 1):
+                data = memoryview(value.as_buffer()).cast("B") if value.is_valid else memoryview(b"")
+                out.append([(i, k, o, n, bytes(data[at:at + min(n, head)])) for i, (k, o, n, at) in enumerate(walk(data, readers))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], names=[*batch.schema.names[:-1], "segs"])
+    return run
 
 
-def segments(df: DataFrame, content: str = "content", key: str = "asset_id") -> DataFrame:
+def with_segments(df: DataFrame, content: str = "content", head: int = HEAD) -> DataFrame:
+    """``df`` with ``segs`` in place of the content: the segments of each row, with ``head`` bytes of every payload.
+
+    Containers arrive as Arrow buffers and are walked in place; nothing is copied but the heads.
+    """
+    rest = [c for c in df.columns if c != content]
+    wide = df.select(*rest, F.col(content).cast("binary").alias(content))
+    schema = ", ".join(f"`{c}` {wide.schema[c].dataType.simpleString()}" for c in rest)
+    return wide.mapInArrow(_walker(head, list(READERS)), f"{schema}, segs {SEGMENT}")
+
+
+def segments(df: DataFrame, content: str = "content", key: str = "asset_id", head: int = HEAD) -> DataFrame:
     """One row per (asset, segment); the content itself goes no further."""
-    listed = df.select(key, F.col(content).alias("_content")).lateralJoin(ContainerSegments(F.col("_content").outer()))
-    return listed.where("kind is not null").select(key, "seg_idx", "kind", "offset", "length", "head")
+    return with_segments(df.select(key, content), content, head).select(key, F.explode("segs").alias("s")).select(key, "s.*")
 
 
-def _be16(start: int) -> Column:
-    return F.conv(F.hex(F.substring("head", start + 1, 2)), 16, 10).cast("bigint")
+def _be16(head: Column, start: int) -> Column:
+    return F.conv(F.hex(F.substring(head, start + 1, 2)), 16, 10).cast("bigint")
 
 
-def _segment_aggregates() -> list[Column]:
-    kind, head = F.col("kind"), F.hex("head")
-    starts = lambda text: F.startswith(head, F.lit(text.encode().hex().upper()))
+def _byte(head: Column, at: int) -> Column:
+    return F.conv(F.hex(F.substring(head, at + 1, 1)), 16, 10).cast("int")
+
+
+def _tests(kind: Column, head: Column) -> dict[str, Column]:
+    """What a single segment says about its container."""
+    starts = lambda text: F.startswith(F.hex(head), F.lit(text.encode().hex().upper()))
+    flags = lambda bit: _byte(head, 0).bitwiseAND(F.lit(bit)) != 0
+    return {
+        "has_exif": (kind == "eXIf") | ((kind == "APP1") & starts("Exif")) | (kind == "EXIF"),
+        "has_icc": (kind == "iCCP") | ((kind == "APP2") & starts("ICC_PROFILE")) | (kind == "ICCP"),
+        "has_actl": kind == "acTL", "webp_anim": (kind == "ANIM") | ((kind == "VP8X") & flags(2)),
+        "webp_alpha": ((kind == "VP8X") & flags(16)) | ((kind == "VP8L") & (_byte(head, 4).bitwiseAND(F.lit(16)) != 0)),
+        "has_trns": kind == "tRNS",
+    }
+
+
+def _frame(kind: Column, head: Column) -> dict[str, Column]:
+    """Numbers that a JPEG frame header states."""
     sof = kind.rlike("^SOF")
-    flags = F.conv(F.hex(F.substring("head", 1, 1)), 16, 10).cast("int")
-    return [
-        F.bool_or((kind == "eXIf") | ((kind == "APP1") & starts("Exif")) | (kind == "EXIF")).alias("has_exif"),
-        F.bool_or((kind == "iCCP") | ((kind == "APP2") & starts("ICC_PROFILE")) | (kind == "ICCP")).alias("has_icc"),
-        F.max(F.when(sof, _be16(3))).alias("sof_width"), F.max(F.when(sof, _be16(1))).alias("sof_height"),
-        F.max(F.when(sof, F.conv(F.hex(F.substring("head", 6, 1)), 16, 10).cast("int"))).alias("components"),
-        F.bool_or(kind == "acTL").alias("has_actl"), F.count_if(kind == "image").alias("frames"),
-        F.bool_or((kind == "ANIM") | ((kind == "VP8X") & (flags.bitwiseAND(F.lit(2)) != 0))).alias("webp_anim"),
-        F.bool_or((kind == "VP8X") & (flags.bitwiseAND(F.lit(16)) != 0)).alias("webp_alpha")]
+    return {"sof_width": F.when(sof, _be16(head, 3)), "sof_height": F.when(sof, _be16(head, 1)), "components": F.when(sof, _byte(head, 5))}
+
+
+def _segment_aggregates() -> list[Column]:
+    kind, head = F.col("kind"), F.col("head")
+    return [*[F.bool_or(c).alias(n) for n, c in _tests(kind, head).items()], *[F.max(c).alias(n) for n, c in _frame(kind, head).items()],
+            F.count_if(kind == "image").alias("frames")]
+
+
+def _segment_columns() -> dict[str, Column]:
+    """The same facts from the array of one row, so that nothing is shuffled."""
+    numbers = {n: F.array_max(F.transform("segs", _frame_number(n))) for n in ("sof_width", "sof_height", "components")}
+    return {**_any_segment(), **numbers, "frames": F.size(F.filter("segs", lambda s: s["kind"] == "image"))}
+
+
+def _any_segment() -> dict[str, Column]:
+    def holds(name: str) -> Column:
+        return F.exists("segs", lambda s: F.coalesce(_tests(s["kind"], s["head"])[name], F.lit(False)))
+    return {n: holds(n) for n in ("has_exif", "has_icc", "has_actl", "webp_anim", "webp_alpha", "has_trns")}
+
+
+def _frame_number(name: str):
+    return lambda s: _frame(s["kind"], s["head"])[name]
 
 
 def segment_facts(segs: DataFrame, key: str = "asset_id") -> DataFrame:
@@ -157,21 +213,21 @@ def is_animated(facts: DataFrame, fmt: str = "format") -> DataFrame:
 def asset_info(df: DataFrame, content: str = "content", key: str = "asset_id") -> DataFrame:
     """Format, size, colour layout and metadata presence of every asset, without decoding.
 
-    Header facts ride along with the segment rows, so the bytes are read once and only
-    short rows are shuffled; assets without any segment keep their row.
+    Header facts are expressions, segment facts are read off the walked segments of the same row: one pass over the
+    bytes and no shuffle. Assets without any segment keep their row.
     """
     body = F.col(content)
     byte = lambda i: F.conv(F.hex(F.substring(body, i + 1, 1)), 16, 10).cast("int")
     base = header_dims(df.withColumn("format", sniff_format(body)), content)
     png = F.col("format") == "png"
+    known = F.col("format").isin("png", "jpeg", "gif", "webp")
     flat = base.select(key, "format", F.octet_length(body).cast("bigint").alias("file_bytes"), "width", "height",
                        F.when(png, F.greatest(byte(24), F.lit(8))).otherwise(F.lit(8)).alias("bit_depth"),
-                       F.when(png, byte(25)).alias("_ct"), body.alias("_content"))
-    kept = [c for c in flat.columns if c not in (key, "_content")]
-    listed = flat.lateralJoin(ContainerSegments(F.col("_content").outer()))
-    joined = is_animated(listed.groupBy(key).agg(*[F.any_value(c).alias(c) for c in kept], *_segment_aggregates()))
+                       F.when(png, byte(25)).alias("_ct"), F.when(known, body).alias("_content"))  # only what has segments goes to Python
+    joined = is_animated(with_segments(flat, "_content").withColumns(_segment_columns()).drop("segs"))
     fmt = F.col("format")
-    channels = (F.when(fmt == "png", F.when(F.col("_ct") == 0, 1).when(F.col("_ct") == 4, 2).when(F.col("_ct") == 6, 4).otherwise(3))
+    channels = (F.when(fmt == "png", F.when(F.col("_ct") == 0, F.when(F.col("has_trns"), 2).otherwise(1)).when(F.col("_ct") == 4, 2)
+                       .when((F.col("_ct") == 6) | F.col("has_trns"), 4).otherwise(3))
                 .when(fmt == "jpeg", F.when(F.col("components") == 1, 1).otherwise(3))
                 .when(fmt == "gif", 4).when(fmt == "webp", F.when(F.col("webp_alpha"), 4).otherwise(3)).when(fmt == "bmp", 3))
     w, h = F.coalesce("width", "sof_width"), F.coalesce("height", "sof_height")
