@@ -29,19 +29,28 @@ def contained_in(df: DataFrame, root: str, path: str = "path") -> DataFrame:
 
 def scan_assets(spark: SparkSession, root: str, recursive: bool = False, glob: str | None = None,
                 content: bool = False, extra: list[str] | None = None) -> DataFrame:
-    """Asset rows of a file, directory or glob; finding nothing is an error.
+    """Asset rows of a file, directory or glob, by path (which is also the ``asset_id``).
 
-    A directory lists its top level unless ``recursive``. Content is only read when
-    asked for, otherwise the scan prunes it and touches file metadata alone. Spark's
-    file index leaves zero-byte files out, so those never appear here.
+    A named file is taken whatever its extension. A directory lists its top level unless
+    ``recursive``; an empty one gives an empty result, a glob that matches nothing is an
+    error. ``**`` crosses directories. Content is only read when asked for, otherwise the
+    scan prunes it and touches file metadata alone. Spark's file index leaves zero-byte
+    files out, so those never appear here.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    rows = reader.load(f"{root.rstrip('/')}/{glob}" if glob else root)
+    root = root.rstrip("/") or "/"
+    deep = glob is not None and "**" in glob
+    base = glob.split("**")[0] if deep else glob  # what is listed below "**" is matched by the whole pattern
+    wild = base is not None and any(c in base for c in "*?[{")
+    top = root if not base or (deep and wild) else f"{root}/{base}".rstrip("/")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive or deep).lower())
+    rows = reader.load(top)
     rows = rows.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("bytes"),
                        F.col("modificationTime").alias("mtime"), *(["content"] if content else []))
-    rows = filter_asset_ext(path_parts(rows), extra=extra)
-    rows = rows.withColumn("asset_id", F.xxhash64("path"))
-    if rows.limit(1).isEmpty():
+    if deep:
+        rows = rows.where(paths.glob_matches(F.substring("path", F.lit(len(root) + 2), F.length("path")), glob, crosses_slash=False))
+    rows = path_parts(rows)
+    rows = rows.where(is_image_ext(F.col("ext"), extra) | (F.col("path") == root)).withColumn("asset_id", F.col("path"))
+    if glob and rows.limit(1).isEmpty():
         raise FileNotFoundError(f"no assets under {root}" + (f" matching {glob}" if glob else ""))
     return rows
 
