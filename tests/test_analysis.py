@@ -25,7 +25,7 @@ def brute(w, h, fn):
     return {
         "entropy": -sum(c / n * math.log2(c / n) for c in hist.values()),
         "bimodality": sum(sorted(hist.values())[-2:]) / n,
-        "unique_colors": min(len({p[:3] for p in flat}), 4096), "unique_saturated": len({p[:3] for p in flat}) >= 4096,
+        "unique_colors": len({p[:3] for p in flat}), "unique_saturated": len({p[:3] for p in flat}) >= 4096,
         "gray_ratio": sum(max(p[:3]) - min(p[:3]) <= 12 for p in flat) / n,
         "sat_low_ratio": sum(max(p[:3]) - min(p[:3]) <= 32 for p in flat) / n,
         "alpha_transparent": sum(p[3] == 0 for p in flat) / n, "alpha_translucent": sum(0 < p[3] < 255 for p in flat) / n,

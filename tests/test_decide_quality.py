@@ -47,10 +47,15 @@ def test_shortlist_matrix(spark):
             ("mixed-safe", False, "web", "size-budget", True, True), ("lossy", False, "docs", "fast", True, True), ("lossy", False, "web", "size-budget", True, True)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
                                "i INT, bucket STRING, has_alpha BOOLEAN, profile STRING, mode STRING, webp_lossy BOOLEAN, avif BOOLEAN")
-    got = {}
-    for r in D.format_shortlist(df).orderBy("i", "ord").collect():
-        got.setdefault(r.i, []).append(f"{r.fmt}/{r.disposition}")
-    assert got == {0: ["avif/lossy", "webp/lossy", "jpeg/lossy"], 1: ["webp/lossless", "png/lossless"],
+    def lists(**kw):
+        out = {}
+        for r in D.format_shortlist(df, **kw).orderBy("i", "ord").collect():
+            out.setdefault(r.i, []).append(f"{r.fmt}/{r.disposition}")
+        return out
+    whole = lists()
+    assert whole[2] == ["avif/lossy", "webp/lossy", "webp/lossless", "png/lossless", "jpeg/lossy"]
+    assert whole[3] == ["webp/lossy", "webp/lossless", "png/lossless", "jpeg/lossy", "avif/lossy"]
+    assert lists(max_entries=3) == {0: ["avif/lossy", "webp/lossy", "jpeg/lossy"], 1: ["webp/lossless", "png/lossless"],
                    2: ["avif/lossy", "webp/lossy", "webp/lossless"], 3: ["webp/lossy", "webp/lossless", "png/lossless"],
                    4: ["webp/lossless", "png/lossless"], 5: ["webp/lossy", "jpeg/lossy", "avif/lossy"]}
 
