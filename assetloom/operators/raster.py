@@ -8,8 +8,11 @@ operator needs a join to learn it.
 
 from __future__ import annotations
 
-import math
+import sys
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +20,11 @@ from .. import fixed
 from ..functions import color
 from ..schemas import require
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # its Python functions travel with the job
+
 CHANNELS = ("r", "g", "b")
 BAND_LINES = 128
+DECODE_CUT, ENCODE_CUT = fixed.SRGB_DECODE_CUT, fixed.SRGB_ENCODE_CUT
 
 
 def explode_array(df: DataFrame, array: str, width: int | Column, value: str = "value") -> DataFrame:
@@ -99,97 +105,87 @@ def _taps(src: Column, src_n: Column, dst_n: Column) -> tuple[Column, Column]:
     return F.when(same, src).otherwise(lo), F.when(same, src).otherwise(hi)
 
 
-def _weight(src: Column, dst: Column, src_n: Column, dst_n: Column) -> Column:
-    scale = src_n.cast("double") / dst_n
-    t = (src + 0.5 - (dst + 0.5) * scale) / F.greatest(scale, F.lit(1.0))
-    pt = t * math.pi
-    kernel = F.sin(pt) * F.sin(pt / 3.0) * 3.0 / (pt * pt)
-    return (F.when(F.abs(t) < 1e-12, F.lit(1.0)).when(F.abs(t) >= 3.0, F.lit(0.0))
-            .otherwise(kernel))
+def _to_linear(v: np.ndarray) -> np.ndarray:
+    return np.where(v <= DECODE_CUT, v / 12.92, ((np.maximum(v, 0.0) + 0.055) / 1.055) ** 2.4)
 
 
-def _reached(d: Column, src_n: Column, dst_n: Column) -> tuple[Column, Column]:
-    """First and last source sample that destination ``d`` is made of."""
-    scale = src_n.cast("double") / dst_n
-    reach = 3.0 * F.greatest(scale, F.lit(1.0))
-    centre = (d + 0.5) * scale - 0.5
-    return (F.greatest(F.lit(0), F.ceil(centre - reach).cast("int")),
-            F.least(src_n.cast("int") - 1, F.floor(centre + reach).cast("int")))
+def _from_linear(v: np.ndarray) -> np.ndarray:
+    return np.where(v <= ENCODE_CUT, v * 12.92, 1.055 * np.maximum(v, 0.0) ** (1.0 / 2.4) - 0.055)
+
+
+def _lanczos(dst: np.ndarray, src: np.ndarray, dst_n: int, src_n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (destination x source), and which source samples are within reach."""
+    scale = src_n / dst_n
+    t = (src[None, :] + 0.5 - (dst[:, None] + 0.5) * scale) / max(scale, 1.0)
+    return np.where(np.abs(t) < 3.0, np.sinc(t) * np.sinc(t / 3.0), 0.0), np.abs(t) <= 3.0
 
 
-def _mixed(values: Column, weights: Column) -> Column:
-    """Weighted mean of samples over those that exist; NULL if none does."""
-    pair = F.zip_with(values, weights, lambda v, k: F.struct((v * k).alias("v"), F.when(v.isNotNull(), k).alias("k")))
-    zero = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("k"), F.lit(0).alias("n"))
-    total = F.aggregate(pair, zero, lambda acc, p: F.when(p["k"].isNull(), acc).otherwise(
-        F.struct((acc["v"] + p["v"]).alias("v"), (acc["k"] + p["k"]).alias("k"), (acc["n"] + 1).alias("n"))),
-        lambda acc: F.when(acc["n"] > 0, acc["v"] / acc["k"]))
-    return total
+def _pass(planes: np.ndarray, weights: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Weighted means along the last axis over the samples that exist (not NaN); NaN where none does."""
+    known = ~np.isnan(planes)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        if known.all():
+            return planes @ (weights / weights.sum(axis=1, keepdims=True)).T
+        there = known.astype(float)
+        mean = (np.where(known, planes, 0.0) @ weights.T) / (there @ weights.T)
+    return np.where(there @ reach.T.astype(float) > 0, mean, np.nan)
+
+
+def _band_resampler(depth: int):
+    top = float(2 ** depth - 1)
+    planes = (*CHANNELS, "a")
+
+    def run(key, rows):
+        _, w, h, dw, dh, per, band = (k.as_py() for k in key)
+        y = rows["y"].to_numpy()
+        raw = np.stack([rows[n].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(y), -1) for n in planes])
+        linear = raw / top
+        linear[:3] = _to_linear(linear[:3])
+        if w != dw:
+            linear = _pass(linear, *_lanczos(np.arange(dw), np.arange(w), dw, w))
+        lines = np.arange(band * per, min(dh, (band + 1) * per))
+        if h != dh:
+            linear = np.swapaxes(_pass(np.swapaxes(linear, 1, 2), *_lanczos(lines, y, dh, h)), 1, 2)
+        else:
+            linear, lines = linear[:, np.argsort(y)], np.sort(y)
+        linear = np.clip(linear, 0.0, 1.0)
+        linear[:3] = _from_linear(linear[:3])
+        out = np.floor(linear * top + 0.5)
+        kept = ~np.isnan(out[3]).all(axis=1)
+        columns = [pa.array(lines[kept], pa.int32())]
+        for plane in out:
+            flat = plane[kept].ravel()
+            gaps = np.isnan(flat)
+            values = pa.array(np.where(gaps, 0, flat).astype(np.int32), mask=gaps)
+            columns.append(pa.ListArray.from_arrays(pa.array(np.arange(kept.sum() + 1) * int(dw), pa.int32()), values))
+        ids = [pa.array([key[0].as_py()] * int(kept.sum()), rows["asset_id"].type), *[pa.array(np.full(kept.sum(), v), pa.int32()) for v in (dw, dh)]]
+        return pa.table([*ids, *columns], names=["asset_id", "w", "h", "y", *planes])
+    return run
 
 
 def resample_lines(lines: DataFrame, depth: int = 8, band_lines: int = BAND_LINES) -> DataFrame:
     """Separable Lanczos-3 of scanlines to ``dw x dh`` in linear light; alpha linear, untransformed.
 
-    The x pass is an expression within each line. For the y pass every line is copied to the bands of destination
-    lines it reaches, and one shuffle on (asset, band) brings a band's lines together: as many destination lines as
-    about ``band_lines`` source lines make, plus the reach of the kernel on both sides. Rasters that keep their height
-    skip that shuffle, and those that keep their size come back as they are. Samples outside the raster do not exist;
-    weights are renormalised over those that do.
+    Every line is copied to the bands of destination lines it reaches, and one shuffle on (asset, band) brings a band
+    together: as many destination lines as about ``band_lines`` source lines make, plus the reach of the kernel on both
+    sides. Both passes over a band are small matrix products. Rasters that keep their size skip the shuffle and come back
+    as they are. Samples outside the raster do not exist; weights are renormalised over those that do.
     """
     require(lines, "asset_id", "w", "h", "y", "dw", "dh", *CHANNELS, "a")
-    top, c = float(2 ** depth - 1), F.col
-    planes = (*CHANNELS, "a")
-    dims = ["asset_id", c("dw").cast("int").alias("w"), c("dh").cast("int").alias("h")]
+    c, planes = F.col, (*CHANNELS, "a")
+    dims = [c("dw").cast("int").alias("w"), c("dh").cast("int").alias("h")]
     same = (c("w") == c("dw")) & (c("h") == c("dh"))
-    untouched = lines.where(same).select(*dims, "y", *planes)
-    linear = lines.where(~same).withColumns({
-        **{n: F.transform(n, lambda v: F.when(v.isNotNull(), color.decode_sample(v, depth))) for n in CHANNELS}, "a": F.transform("a", lambda v: v / top)})
-    across = linear.withColumn("_t", F.when(c("w") != c("dw"), F.transform(F.sequence(F.lit(0), c("dw").cast("int") - 1), _tap))) \
-        .withColumns(_across(planes)).drop("_t")
-    level = across.where("h = dh").select(*dims, "y", *planes)
+    whole = lambda n: c(n).cast("array<int>").alias(n)
+    untouched = lines.where(same).select("asset_id", *dims, c("y").cast("int").alias("y"), *[whole(n) for n in planes])
     per_band = F.greatest(F.lit(1), F.floor(band_lines * c("dh") / c("h"))).cast("int")
     lo, hi = _taps(c("y"), c("h"), c("dh"))
-    moved = (across.where("h <> dh").withColumns({"_lo": lo, "_hi": hi, "_per": per_band}).where("_lo <= _hi")
-             .withColumn("_band", F.explode(F.sequence(F.floor(c("_lo") / c("_per")), F.floor(c("_hi") / c("_per"))))))
-    bands = moved.groupBy("asset_id", "h", "dw", "dh", "_per", "_band").agg(F.array_sort(F.collect_list(F.struct("y", *planes))).alias("_ls"))
-    last = F.least(c("dh").cast("bigint"), (c("_band") + 1) * c("_per")) - 1
-    made = bands.select("asset_id", "dw", "dh", F.explode(F.transform(
-        F.sequence((c("_band") * c("_per")).cast("int"), last.cast("int")), _down(planes))).alias("_o")).where("_o is not null")
-    down = made.select(*dims, "_o.y", *[c(f"_o.{n}").alias(n) for n in planes])
-    coded = level.union(down).withColumns({
-        **{n: F.transform(n, lambda v: F.when(v.isNotNull(), color.encode_sample(v, depth))) for n in CHANNELS},
-        "a": F.transform("a", lambda v: F.when(v.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)) * top).cast("int")))})
-    return untouched.union(coded)
-
-
-def _tap(d: Column) -> Column:
-    """First sample and weights of a destination column."""
-    lo, hi = _reached(d, F.col("w"), F.col("dw"))
-    return F.struct(lo.alias("lo"), F.transform(F.sequence(lo, hi), lambda s: _weight(s, d, F.col("w"), F.col("dw"))).alias("k"))
-
-
-def _across(planes: tuple[str, ...]) -> dict[str, Column]:
-    """The x pass of every plane."""
-    def line(n: str) -> Column:
-        return F.transform("_t", lambda t: _mixed(F.slice(n, t["lo"] + 1, F.size(t["k"])), t["k"]))
-    return {n: F.when(F.col("w") == F.col("dw"), F.col(n)).otherwise(line(n)) for n in planes}
-
-
-def _down(planes: tuple[str, ...]):
-    """One destination line of a band: the y pass of every plane, over the lines that exist; NULL if none does."""
-    def line(d: Column) -> Column:
-        lo, hi = _reached(d, F.col("h"), F.col("dh"))
-        near = F.transform(F.filter("_ls", lambda one: one["y"].between(lo, hi)),
-                           lambda one: F.struct(_weight(one["y"], d, F.col("h"), F.col("dh")).alias("k"), one.alias("l")))
-        columns = F.sequence(F.lit(0), F.col("dw").cast("int") - 1)
-        # an array of one binds the lines and weights, so that they are worked out once per line and not once per sample
-        return F.transform(F.array(near), lambda m: F.when(F.size(m) > 0, F.struct(d.cast("int").alias("y"), *[
-            F.transform(columns, _column_mixer(m, n)).alias(n) for n in planes])))[0]
-    return line
-
-
-def _column_mixer(m: Column, plane: str):
-    return lambda x: _mixed(F.transform(m, lambda one: one["l"][plane][x]), F.transform(m, lambda one: one["k"]))
+    sized = lines.where(~same).select("asset_id", *[c(n).cast("int").alias(n) for n in ("w", "h", "dw", "dh", "y")], *[whole(n) for n in planes])
+    moved = (sized.withColumns({"_lo": lo, "_hi": hi, "_per": per_band}).where("_lo <= _hi")
+             .withColumn("_band", F.explode(F.sequence(F.floor(c("_lo") / c("_per")), F.floor(c("_hi") / c("_per"))))).drop("_lo", "_hi"))
+    kind = lines.schema["asset_id"].dataType.simpleString()
+    made = moved.groupBy("asset_id", "w", "h", "dw", "dh", "_per", "_band").applyInArrow(
+        _band_resampler(depth), f"asset_id {kind}, w int, h int, y int, r array<int>, g array<int>, b array<int>, a array<int>")
+    return untouched.union(made)
 
 
 def resample(px: DataFrame, depth: int = 8) -> DataFrame:

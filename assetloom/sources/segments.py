@@ -6,14 +6,18 @@ lists the segments of a row; everything after it is relational.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sniff import header_dims, sniff_format
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # its Python functions travel with the job
+
 HEAD = 32
 JPEG_NAMES = {0xFE: "COM", 0xDB: "DQT", 0xC4: "DHT", 0xDD: "DRI", 0xDA: "SOS"}
 STANDALONE = {0x01, 0xD8, 0xD9, *range(0xD0, 0xD8)}

@@ -109,3 +109,15 @@ def test_scanlines_round_trip(make_px):
     px = make_px({1: (5, 3, lambda x, y: (x, y, x + y, 255)), 2: (1, 2, lambda x, y: (9, 8, 7, 0))})
     back = R.explode_pixels(R.collect_scanlines(px)).select(*px.columns)
     assert sorted(back.collect()) == sorted(px.collect())
+
+
+def test_resampling_plan_and_bands(spark):
+    from assetloom.operators import raster as R
+    lines = spark.range(300).selectExpr("7L as asset_id", "8 as w", "300 as h", "cast(id as int) as y", *[
+        f"transform(sequence(0, 7), x -> cast((x * {k} + id * 3) % 256 as int)) as {c}" for k, c in ((5, "r"), (9, "g"), (2, "b"))], "array_repeat(255, 8) as a")
+    sized = R.plan_resize(lines, "exact", 5, 40)
+    one = {r.y: (r.r, r.g, r.b, r.a) for r in R.resample_lines(sized, band_lines=10 ** 6).collect()}
+    many = {r.y: (r.r, r.g, r.b, r.a) for r in R.resample_lines(sized, band_lines=16).collect()}
+    assert one == many and sorted(one) == list(range(40)) and {len(v[0]) for v in one.values()} == {5}
+    plan = R.resample_lines(sized)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "FlatMapGroupsInArrow" in plan
