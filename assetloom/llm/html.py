@@ -28,8 +28,10 @@ CONTAINER = {"article", "main", "section", "div", "td", "body", "html", "center"
 UNWANTED = set("ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs "
                "footer cookie cookies consent notice notices alert popup modal overlay social share sharing comment comments disqus reply replies respond related "
                "recommended newsletter subscribe subscription signup login widget toolbar pagination pager copyright masthead skip".split())
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form", "presentation-ad"}
-HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
+LAYOUT = {"has", "with", "without", "no", "is", "layout", "page", "js", "wp"}
+#: What an article-like element itself may say it is, if not the article.
+UNWANTED_REGION = {"ad", "ads", "advert", "advertisement", "sponsored", "promo", "comment", "comments", "reply", "related", "recommended"}
 #: Reach and width of the smoothing, in lines.
 REACH, SIGMA = 2, 1.0
 #: Part of the marked text that a container must hold to be the region, where no article-like element is.
@@ -42,16 +44,26 @@ _CUT_TAG = re.compile(r"<[/!?A-Za-z][^<>]*\Z")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def _named_unwanted(value: str, words: set[str]) -> bool:
+    """Whether a class or id says so; names like ``has-sidebar`` speak of the layout around."""
+    for name in value.split():
+        parts = [x.lower() for x in _WORD.findall(name)]
+        if parts and parts[0] not in LAYOUT and not words.isdisjoint(parts):
+            return True
+    return False
+
+
 def _unwanted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     if tag in ("body", "html"):
         return False
+    words = UNWANTED_REGION if tag in REGION else UNWANTED
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         if not value:
             continue
         if name in ("class", "id"):
-            if not UNWANTED.isdisjoint(x.lower() for x in _WORD.findall(value)):
+            if _named_unwanted(value, words):
                 return True
         elif (name == "role" and value.lower() in ROLES) or (name == "style" and _HIDDEN.search(value.lower())):
             return True

@@ -178,6 +178,8 @@ def test_main_text():
     plain = "<body><ul><li><a href=a>One</a><li><a href=b>Two</a></ul><div><p>" + "Some words of the story. " * 9 + "<p>" + "It goes on and on. " * 9 + "</div><div class=sidebar>Other things</div>"
     text = html.main_text(plain)
     assert text.startswith("Some words") and "One" not in text and "Other" not in text and text.count("\n") == 1
+    laid_out = "<body><div class='wrap has-sidebar'><main class='page with-comments'><p>Kept text of some length.</p></main><div id='Sidebar'>no</div></div>"
+    assert html.main_text(laid_out) == "Kept text of some length."
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav>x</nav>") == ""
     assert html.main_text("<article><p>cut off text here <a hre") == "cut off text here"
     assert html.main_text("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
