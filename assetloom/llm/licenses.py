@@ -183,8 +183,11 @@ def train(unknown: list[str], seed: int = 3, rounds: int = 300) -> Classifier:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = UNKNOWN_SAMPLE) -> Classifier:
     """Train with at most ``sample`` paragraphs of the corpus (one per document, by hash) as examples of "unknown"."""
     order = F.xxhash64(F.col(f"`{doc_id}`").cast("string"), F.lit("licence"))
-    drawn = docs.select(order.alias("o"), F.col(f"`{text}`").alias("text")).where("text is not null and text <> ''")
-    line = F.element_at(F.split("text", "\n"), (F.pmod(F.col("o"), F.size(F.split("text", "\n"))) + 1).cast("int"))
+    share = min(1.0, 2.0 * sample / max(1, docs.count()))  # about twice the sample is hashed in, so few rows reach the driver
+    drawn = (docs.select(order.alias("o"), F.col(f"`{text}`").alias("text")).where("text is not null and text <> ''")
+             .where(F.pmod("o", F.lit(1_000_000)) < int(share * 1_000_000) + 1))
+    lines = F.split("text", "\n")
+    line = F.element_at(lines, (F.pmod(F.shiftright("o", 20), F.size(lines)) + 1).cast("int"))
     rows = drawn.select("o", line.alias("p")).orderBy("o", "p").limit(sample).collect()
     return train([r.p for r in rows])
 
