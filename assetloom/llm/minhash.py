@@ -24,6 +24,8 @@ JACCARD = (100, 80)
 BANDS, ROWS = 20, 5
 #: Members verified against one copy of their hub's text.
 HUB_SHARE = 256
+#: Members of a bucket in one block of the remaining comparisons.
+BLOCK = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -133,6 +135,52 @@ def _verifier(words: int, jaccard: tuple[int, int]):
     return verify
 
 
+def _block_linker(words: int, jaccard: tuple[int, int]):
+    def run(key, rows):
+        h, i, j = key[0].as_py(), key[1].as_py(), key[2].as_py()
+        own, group, n = rows["own"].to_numpy(), rows["g"].to_numpy(), rows["n"].to_numpy()
+        bands = np.array(rows["bands"].to_pylist(), np.int64)
+        sets = [shingle_set(x, words) for x in rows["text"].to_pylist()]
+        here = int(np.flatnonzero((bands == h).all(axis=0))[0])  # the band that this bucket is of
+        root = {int(g): int(g) for g in group}
+
+        def find(g: int) -> int:
+            while root[g] != g:
+                root[g] = root[root[g]]
+                g = root[g]
+            return g
+        out = []
+        for a in np.flatnonzero(own == i):
+            other = (own == j) & (group != group[a]) & (jaccard[0] * np.minimum(n, n[a]) >= jaccard[1] * np.maximum(n, n[a]))
+            if i == j:
+                other &= np.arange(len(own)) > a
+            for b in np.flatnonzero(other & ~(bands[:, :here] == bands[a, :here]).any(axis=1)):
+                x, y = find(int(group[a])), find(int(group[b]))
+                if x != y:
+                    common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    if jaccard[0] * common >= jaccard[1] * (len(sets[a]) + len(sets[b]) - common):
+                        out.append((int(group[a]), int(group[b])))
+                        root[max(x, y)] = min(x, y)
+        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    return run
+
+
+def linked_groups(members: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, jaccard: tuple[int, int], block: int = BLOCK) -> DataFrame:
+    """Pairs of groups ``a, b`` that are linked by members of one bucket: ``members`` has ``h, uid, g``.
+
+    The members of a bucket are dealt to blocks of about ``block``, and every pair of blocks is compared in one task,
+    which holds two blocks at most and returns only links that join groups. A pair of members is looked at in the first
+    bucket they share. No pair leaves a task unless it is such a link.
+    """
+    sizes = members.groupBy("h").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "h").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    tiles = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .select("h", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "uid", "g")
+    facts = sketches.select("uid", F.col("n_shingles").alias("n"), "bands").join(texts, "uid")
+    full = tiles.join(facts.join(members.select("uid").distinct(), "uid", "left_semi"), "uid")
+    return full.select("h", "i", "j", "own", "g", "n", "bands", "text").groupBy("h", "i", "j").applyInArrow(_block_linker(words, jaccard), "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, jaccard: tuple[int, int]) -> DataFrame:
     """Of the pairs ``a, b`` of uids, those whose full shingle sets are similar enough.
 
@@ -155,8 +203,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, jaccard: tuple[int, int
 
     Rows are linked if ``jaccard[0] * |A & B| >= jaccard[1] * |A | B|`` on their sets of ``words``-word shingles.
     Rows of equal sets collapse first, by a 160-bit digest of the full set. In each band bucket every class is then
-    compared with the smallest one; what is left are pairs of a bucket in different components, which are compared
-    one by one, so no pair that shares a bucket goes unseen unless it is linked already.
+    compared with the smallest one. What is left are buckets with several components: their members are compared block
+    by block, so no pair that shares a bucket goes unseen unless it is linked already.
 
     ``component_id`` is the smallest doc_id reachable and ``kept`` marks one row of each component: that of the
     smallest doc_id (nulls last), the first one if rows repeat it. Null, empty and blank texts have no set and are
@@ -168,32 +216,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, jaccard: tuple[int, int
     sketches = written(texts.mapInArrow(_sketcher(words, bands, rows), "uid bigint, n_shingles bigint, same binary, bands array<bigint>"), "sketches")
     classes = written(sketches.where("same is not null").groupBy("same").agg(F.min("uid").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = sketches.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
-    buckets = reps.select("uid", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "h"))
-    lead = buckets.groupBy("band", "h").agg(F.min("uid").alias("a"), F.count("*").alias("c")).where("c > 1").select("band", "h", "a")
-    shared = written(buckets.join(lead, ["band", "h"]), "buckets")
+    buckets = reps.select("uid", F.explode("bands").alias("h"))  # the band is part of the hash
+    lead = written(buckets.groupBy("h").agg(F.min("uid").alias("a"), F.count("*").alias("c")).where("c > 1").select("h", "a"), "leads")
+    shared = written(buckets.join(lead, "h"), "buckets")
     first = written(verified(shared.where("uid <> a").select("a", F.col("uid").alias("b")).distinct(), texts, words, jaccard), "links")
-    groups = connected_components(first)
-    left, right = _open(shared, groups, "1"), _open(shared, groups, "2")
-    close = (jaccard[0] * F.least("n1", "n2") >= jaccard[1] * F.greatest("n1", "n2"))
-    rest = (left.join(right, ["band", "h"]).where((F.col("uid1") < F.col("uid2")) & (F.col("g1") != F.col("g2")) & close
-                                                  & (F.col("uid1") != F.col("a1")))
-            .select(F.col("uid1").alias("a"), F.col("uid2").alias("b")).distinct())
-    second = verified(rest, texts, words, jaccard)
-    over = connected_components(first.union(second))
-    rep_group = classes.join(over.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("grp"))
+    groups = written(connected_components(first), "groups")
+    held = shared.join(groups.withColumnRenamed("node", "uid"), "uid", "left").select("h", "uid", F.coalesce("component", "uid").alias("g"))
+    several = held.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("h")
+    left = written(held.join(several, "h"), "open")
+    joined = connected_components(written(linked_groups(left, sketches, texts, words, jaccard), "links"))
+    over = (groups.select(F.col("node").alias("rep"), "component")
+            .join(joined.select(F.col("node").alias("component"), F.col("component").alias("c2")), "component", "full")
+            .select(F.coalesce("rep", "component").alias("rep"), F.coalesce("c2", "component").alias("component")).distinct())
+    rep_group = classes.join(over, "rep", "left").select("same", F.coalesce("component", "rep").alias("grp"))
     member = sketches.join(rep_group, "same", "left").select("uid", "n_shingles", F.coalesce("grp", -F.col("uid") - 1).alias("grp"))
     out = member.join(source.select("uid", field("row", doc_id).alias("id")), "uid")
     decided = with_heads(out).select("uid", "n_shingles", "component_id", "kept")
     return source.join(decided, "uid")
 
 
-def _open(shared: DataFrame, groups: DataFrame, mark: str) -> DataFrame:
-    """Members of the buckets that hold more than one component, with their component."""
-    held = shared.join(groups.withColumnRenamed("node", "uid"), "uid", "left").withColumn("g", F.coalesce("component", "uid"))
-    several = held.groupBy("band", "h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("band", "h")
-    return held.join(several, ["band", "h"]).select("band", "h", *[F.col(c).alias(c + mark) for c in ("uid", "n", "g", "a")])
-
-
 def deduplicated(docs: DataFrame, words: int = WORDS, jaccard: tuple[int, int] = JACCARD) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates."""
     return restored(near_duplicates(docs, words, jaccard).where("kept"), docs.columns)
