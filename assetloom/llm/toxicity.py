@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .minhash import shingle_set
 
 #: Bounds of the labelled sample: documents per class and characters in all. Scoring itself has no bound.
-TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS = 2000, 4000, 12_000_000
+TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS = 1500, 3000, 8_000_000
 #: Tokens that the chain is trained on.
 TRAIN_TOKENS = 400_000
 #: A sequence is a line; longer lines are cut into chains of so many tokens.
@@ -144,19 +144,28 @@ def _marked_features(texts: list[str], toxic: np.ndarray) -> set[str]:
     seen: set[tuple[int, bool]] = set()
     hits, misses = Counter(), Counter()
     n = [0, 0]
-    for text, bad in zip(texts, toxic, strict=True):
-        s = shingle_set(text, 3)
-        key = (int(s.min()) if len(s) else 0, bool(bad))
-        if key in seen:
-            continue
-        seen.add(key)
-        n[bool(bad)] += 1
-        (hits if bad else misses).update({f for w in set(text.split()) for f in features(w)})
+    for wanted in (True, False):  # toxic texts first: only their features need counts in clean ones
+        for text, bad in zip(texts, toxic, strict=True):
+            if bool(bad) != wanted:
+                continue
+            s = shingle_set(text, 3)
+            key = (int(s.min()) if len(s) else 0, wanted)
+            if key in seen:
+                continue
+            seen.add(key)
+            n[wanted] += 1
+            found = {f for w in set(text.split()) for f in features(w)}
+            if wanted:
+                hits.update(found)
+            else:
+                misses.update(f for f in found if f in hits)
+        if wanted:
+            hits = Counter({f: t for f, t in hits.items() if t >= 3})
     marked = set()
     share = n[1] / max(1, sum(n))
     for f, t in hits.items():
         c = misses.get(f, 0)
-        if t < 3 or t <= c:
+        if t <= c:
             continue
         p = t / (t + c)
         gain = 2 * (t * np.log(p / share) + (c * np.log((1 - p) / (1 - share)) if c else 0.0))
@@ -165,6 +174,32 @@ def _marked_features(texts: list[str], toxic: np.ndarray) -> set[str]:
     return marked
 
 
+def _training_chains(texts: list[str], toxic: np.ndarray, rng: np.random.Generator) -> list[tuple[list[str], list[int]]]:
+    """Labelled chains within the token bound: half with toxic tokens, half without, in random order."""
+    marked = _marked_features(texts, toxic)
+    verdict: dict[str, int] = {}
+    one: dict[str, str] = {}
+    half, out = TRAIN_TOKENS // 2, []
+    room = [half, half]
+    for k in rng.permutation(len(texts)):
+        for seq in chains_of(texts[k]):
+            if toxic[k]:
+                for w in seq:
+                    if w not in verdict:
+                        verdict[w] = int(not marked.isdisjoint(features(w)))
+                y = [verdict[w] for w in seq]
+            else:
+                y = [0] * len(seq)
+            side = int(any(y))
+            if room[side] > 0:
+                room[side] -= len(seq)
+                out.append(([one.setdefault(w, w) for w in seq], y))
+        if max(room) <= 0:
+            break
+    rng.shuffle(out)
+    return out
+
+
 def train(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 10, seed: int = 7) -> Chain:
     """A chain from labelled texts; ``prior`` is the share of toxic documents that scores are calibrated to.
 
@@ -175,35 +210,21 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 10, s
     if not toxic.any() or toxic.all():
         chain.calibration = np.array([LIMIT if len(toxic) and toxic.all() else -LIMIT, 0.0, 0.0])
         return chain
-    marked = _marked_features(texts, toxic)
     rng = np.random.default_rng(seed)
-    sequences: list[tuple[list[str], list[int]]] = []
-    plain: list[tuple[list[str], list[int]]] = []
-    for text, bad in zip(texts, toxic, strict=True):
-        for seq in chains_of(text):
-            y = [int(bad and not marked.isdisjoint(features(w))) for w in seq]
-            (sequences if any(y) else plain).append((seq, y))
-    rng.shuffle(sequences)
-    rng.shuffle(plain)
-    budget, chosen = TRAIN_TOKENS // 2, []
-    for pool, room in ((sequences, budget), (plain, TRAIN_TOKENS - budget)):
-        for seq, y in pool:
-            if room <= 0:
-                break
-            chosen.append((seq, y))
-            room -= len(seq)
+    chosen = _training_chains(texts, toxic, rng)
     count = Counter(f for seq, _ in chosen for w in set(seq) for f in features(w))
     index = {f: i for i, f in enumerate(sorted(f for f, c in count.items() if c >= 3))}
-    rng.shuffle(chosen)
+    del count
     weight, bias, step = np.zeros(len(index)), 0.0, np.zeros((2, 2))
     g_w, g_b, g_s = np.full(len(index), 1e-6), 1e-6, np.full((2, 2), 1e-6)
     batches = []
     for k in range(0, len(chosen), 400):
         part = chosen[k:k + 400]
-        ids = [[index[f] for f in features(w) if f in index] for seq, _ in part for w in seq]
+        known = {w: [index[f] for f in features(w) if f in index] for seq, _ in part for w in seq}
+        ids = [known[w] for seq, _ in part for w in seq]
         flat = np.fromiter((i for x in ids for i in x), np.int64)
         owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-        batches.append((flat, owner, np.array([v for _, y in part for v in y], float), np.array([len(seq) for seq, _ in part], np.int64)))
+        batches.append((flat.astype(np.int32), owner.astype(np.int32), np.array([v for _, y in part for v in y], float), np.array([len(seq) for seq, _ in part], np.int64)))
     for _ in range(epochs):
         for flat, owner, y, lengths in batches:
             e = np.clip(bias + np.bincount(owner, weight[flat], len(y)), -LIMIT, LIMIT)
