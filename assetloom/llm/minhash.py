@@ -176,8 +176,9 @@ def linked_groups(members: DataFrame, sketches: DataFrame, texts: DataFrame, wor
     dealt = members.join(sizes, "h").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     tiles = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("h", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "uid", "g")
-    facts = sketches.select("uid", F.col("n_shingles").alias("n"), "bands").join(texts, "uid")
-    full = tiles.join(facts.join(members.select("uid").distinct(), "uid", "left_semi"), "uid")
+    open_ = members.select("uid").distinct()
+    facts = texts.join(open_, "uid", "left_semi").join(sketches.select("uid", F.col("n_shingles").alias("n"), "bands").join(open_, "uid", "left_semi"), "uid")
+    full = tiles.join(facts, "uid")
     return full.select("h", "i", "j", "own", "g", "n", "bands", "text").groupBy("h", "i", "j").applyInArrow(_block_linker(words, jaccard), "a bigint, b bigint")
 
 
@@ -219,6 +220,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, jaccard: tuple[int, int
     buckets = reps.select("uid", F.explode("bands").alias("h"))  # the band is part of the hash
     lead = written(buckets.groupBy("h").agg(F.min("uid").alias("a"), F.count("*").alias("c")).where("c > 1").select("h", "a"), "leads")
     shared = written(buckets.join(lead, "h"), "buckets")
+    # whole texts cross one shuffle here, at every size; the comparisons below read only those of candidates
+    texts = written(texts.join(shared.select("uid").distinct().hint("shuffle_hash"), "uid", "left_semi"), "texts")
     first = written(verified(shared.where("uid <> a").select("a", F.col("uid").alias("b")).distinct(), texts, words, jaccard), "links")
     groups = written(connected_components(first), "groups")
     held = shared.join(groups.withColumnRenamed("node", "uid"), "uid", "left").select("h", "uid", F.coalesce("component", "uid").alias("g"))
