@@ -1,6 +1,6 @@
 """Licence families of paragraphs: a trained classifier, confirmed against templates.
 
-Paragraphs (lines) become sparse word n-grams; a multinomial logistic regression over the n-grams of the templates and
+Paragraphs (lines, and blocks of lines) become sparse word n-grams; a multinomial logistic regression over the n-grams of the templates and
 the share of words that no template knows gives a probability per family and for "unknown". A temperature calibrates
 them on paragraphs that were not trained on, and a prediction stands only if a template of the family confirms it.
 """
@@ -75,6 +75,10 @@ FAMILIES = ("unknown", *TEMPLATES)
 UNKNOWN_SAMPLE = 4000
 #: Least calibrated probability, and least share of a template's word pairs found in the paragraph (or the reverse).
 PROBABILITY, COVERAGE = 0.5, 0.6
+#: Word pairs that a paragraph must have for the reverse: that it is a part of a template.
+PART_PAIRS = 2
+#: Least share of a line's word pairs in a family's templates for it to lie in a wrapped notice of that family.
+WRAPPED = 0.5
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 #: Words that name a family; n-grams alone cannot confirm one without such a word.
 NAMES = {
@@ -107,12 +111,18 @@ class Classifier:
         z = np.exp(z - z.max())
         return z / z.sum()
 
+    def agreement(self, words: list[str], family: str) -> tuple[float, float]:
+        """Best share of a template's word pairs that the paragraph has, and of the paragraph's that a template has."""
+        mine = frozenset(zip(words, words[1:], strict=False))
+        if not mine or NAMES[family].isdisjoint(words):
+            return 0.0, 0.0
+        shared = [(len(mine & t), len(t)) for t in self.pairs[family]]
+        part = max((n / len(mine) for n, _ in shared), default=0.0) if len(mine) >= PART_PAIRS else 0.0
+        return max((n / max(1, m) for n, m in shared), default=0.0), part
+
     def coverage(self, words: list[str], family: str) -> float:
         """Best agreement of the word pairs with a template: of the template's in the paragraph, or the reverse."""
-        if NAMES[family].isdisjoint(words):
-            return 0.0
-        mine = frozenset(zip(words, words[1:], strict=False))
-        return max((len(mine & t) / max(1, len(t)) for t in self.pairs[family]), default=0.0) if mine else 0.0
+        return max(self.agreement(words, family))
 
     def classify(self, paragraph: str) -> tuple[str, float, float]:
         """Family ("unknown" too), calibrated probability and coverage by a template of the family."""
@@ -138,11 +148,22 @@ def _variants(text: str, rng: np.random.Generator) -> list[list[str]]:
     return out
 
 
+def _parts(text: str, family: str, rng: np.random.Generator) -> list[list[str]]:
+    """Parts of a notice that name the family: its sentences, and runs of words as wrapping leaves them."""
+    whole = WORD.findall(text.lower())
+    runs = [WORD.findall(x.lower()) for x in re.split(r"[.:;] ", text)]
+    for _ in range(6):
+        n = int(rng.integers(PART_PAIRS + 1, 16))
+        at = int(rng.integers(0, max(1, len(whole) - n + 1)))
+        runs.append(whole[at:at + n])
+    return [w for w in runs if PART_PAIRS < len(w) < len(whole) and not NAMES[family].isdisjoint(w) for _ in range(3)]
+
+
 def train(unknown: list[str], seed: int = 3, rounds: int = 300) -> Classifier:
-    """Fit on variants of the templates and on paragraphs of the corpus that name no licence."""
+    """Fit on variants and parts of the templates and on paragraphs of the corpus that name no licence."""
     rng = np.random.default_rng(seed)
     named = set().union(*NAMES.values()) | {"license", "licence", "licensed", "copyright"}
-    rows: list[tuple[list[str], int]] = [(v, k) for k, f in enumerate(FAMILIES[1:], 1) for t in TEMPLATES[f] for v in _variants(t, rng)]
+    rows: list[tuple[list[str], int]] = [(v, k) for k, f in enumerate(FAMILIES[1:], 1) for t in TEMPLATES[f] for v in [*_variants(t, rng), *_parts(t, f, rng)]]
     plain = [w for w in (WORD.findall(x.lower()) for x in unknown) if w and named.isdisjoint(w)]
     common = sorted({w for f in TEMPLATES.values() for t in f for w in WORD.findall(t.lower())} - named)
     plain += [list(rng.choice(common, int(rng.integers(1, 12)))) for _ in range(400)]  # ordinary words of notices, in no order
@@ -192,27 +213,79 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int
     return train([r.p for r in rows])
 
 
+def blocks(lines: list[list[str]], apart: set[int]) -> Iterator[range]:
+    """Runs of two or more lines with words, between lines without a word and those set ``apart``."""
+    start = 0
+    for i in range(len(lines) + 1):
+        if i == len(lines) or not lines[i] or i in apart:
+            if i - start > 1:
+                yield range(start, i)
+            start = i + 1
+
+
+def wrapped(lines: list[list[str]], block: range, pairs: set) -> Iterator[range]:
+    """Runs of two or more lines of the block that agree with the pairs; pairs over a line break count for both lines."""
+    start = block.start
+    for i in range(block.start, block.stop + 1):
+        near = False
+        if i < block.stop:
+            w = [*(lines[i - 1][-1:] if i > block.start else ()), *lines[i], *(lines[i + 1][:1] if i + 1 < block.stop else ())]
+            near = sum(p in pairs for p in zip(w, w[1:], strict=False)) >= WRAPPED * (len(w) - 1)
+        if not near:
+            if i - start > 1:
+                yield range(start, i)
+            start = i + 1
+
+
+def notices(c: Classifier, text: str, memo: dict | None = None) -> list[dict]:
+    """Notices of a text: lines, and notices wrapped over several lines, by their first line.
+
+    A line that holds a whole notice stands for itself. The other lines are read as blocks between blank lines: the runs
+    that agree with a family's templates, and the block as it is. What is confirmed there takes in the lines of its
+    family that hold only a part.
+    """
+    memo = {} if memo is None else memo
+    lines = [WORD.findall(x) for x in text.lower().split("\n")]
+    naming = {w: f for f, ws in NAMES.items() for w in ws}
+    found: list[dict] = []
+    apart: set[int] = set()
+    for i, words in enumerate(lines):
+        if naming.keys().isdisjoint(words):  # without a naming word no template confirms, whatever the classifier says
+            continue
+        key = " ".join(words)
+        if key not in memo:
+            if len(memo) > 50_000:
+                memo.clear()
+            family, p, covered = c.classify(key)
+            memo[key] = family, p, covered, family != "unknown" and c.agreement(words, family)[0] >= COVERAGE
+        family, p, covered, whole = memo[key]
+        if family != "unknown":
+            found.append({"paragraph": i, "family": family, "probability": p, "coverage": covered})
+        if whole:
+            apart.add(i)
+    for block in blocks(lines, apart):
+        named = {naming[w] for i in block for w in lines[i] if w in naming}
+        runs = [(r, f) for f in FAMILIES[1:] if f in named for r in wrapped(lines, block, set().union(*c.pairs[f]))]
+        for run, wanted in [*runs, (block, None)] if named else ():
+            family, p, covered = c.classify(" ".join(w for i in run for w in lines[i]))
+            if family == "unknown" or wanted not in (None, family):
+                continue
+            if wanted is None and any(x["family"] == family and x["paragraph"] in block for x in found):
+                continue  # already found more closely
+            found = [x for x in found if x["family"] != family or x["paragraph"] not in run or x["paragraph"] in apart]
+            found.append({"paragraph": run.start, "family": family, "probability": p, "coverage": covered})
+    return sorted(found, key=lambda x: (x["paragraph"], FAMILIES.index(x["family"])))
+
+
 def _scanner(c: Classifier):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple[str, float, float]] = {}
+        memo: dict[str, tuple[str, float, float, bool]] = {}
         known = re.compile("|".join(sorted(map(re.escape, set().union(*NAMES.values())), key=len, reverse=True)))
         for batch in batches:
             out: list[list[dict]] = []
             for value in batch.column(batch.num_columns - 1):
-                found = []
                 text = value.as_py() or ""
-                for i, paragraph in enumerate(text.split("\n") if known.search(text.lower()) else ()):
-                    # without a naming word no template confirms, whatever the classifier says
-                    if not known.search(paragraph.lower()):
-                        continue
-                    if paragraph not in memo:
-                        if len(memo) > 50_000:
-                            memo.clear()
-                        memo[paragraph] = c.classify(paragraph)
-                    family, p, covered = memo[paragraph]
-                    if family != "unknown":
-                        found.append({"paragraph": i, "family": family, "probability": p, "coverage": covered})
-                out.append(found)
+                out.append(notices(c, text, memo) if known.search(text.lower()) else [])
             kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("coverage", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], names=[*batch.schema.names[:-1], "licences"])
     return run
@@ -221,7 +294,7 @@ def _scanner(c: Classifier):
 def scan(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:
     """``row`` (all columns) and ``licences``: paragraph number, family, probability and coverage of every notice.
 
-    One pass, no shuffle. A paragraph is a line. Null, empty and other texts without a notice have an empty list.
+    One pass, no shuffle. A paragraph is a line, or a block of lines numbered by its first one. Null, empty and other texts without a notice have an empty list.
     Repeated rows get equal lists; texts are read whole, paragraph by paragraph.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
