@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .minhash import shingle_set
 
-#: Bounds of the labelled sample: documents per class and characters in all. Scoring itself has no bound.
-TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS = 1500, 3000, 8_000_000
+#: Bounds of the labelled sample: documents per class, and characters of each class. Scoring itself has no bound.
+TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS = 2000, 4000, 12_000_000
 #: Tokens that the chain is trained on.
 TRAIN_TOKENS = 400_000
 #: A sequence is a line; longer lines are cut into chains of so many tokens.
@@ -266,26 +266,30 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS, sample_chars: int = SAMPLE_CHARS) -> Chain:
     """Train on a bounded sample of labelled documents that are not held out.
 
-    The sample is the first ``toxic_docs`` and ``clean_docs`` ids by hash, as far as their whole texts stay within
-    ``sample_chars`` characters. Null labels and null ids are left out; a document with several labels is toxic if one
-    of them says so.
+    Each class has its own order by hash and its own bounds: the first ``toxic_docs`` or ``clean_docs`` ids, as far as
+    their whole texts stay within ``sample_chars`` characters; a text that does not fit is passed over. Null labels and
+    null ids are left out; a document with several labels is toxic if one of them says so. A class that has labels but
+    no text is an error, since the scores would be constant; an empty table is not.
     """
     known = (labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{toxic}`").cast("int").alias("y"))
              .where("id is not null and y is not null").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")))
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    order = F.xxhash64(F.col("id").cast("string"), F.lit("sample"))
     counts = known.groupBy("y").count().collect()  # two rows
     n = {r["y"]: r["count"] for r in counts}
-    drawn = known.where("y = 1").orderBy(order).limit(toxic_docs).union(known.where("y = 0").orderBy(order).limit(clean_docs))
-    joined = texts.join(F.broadcast(drawn), "id")  # at most toxic_docs + clean_docs ids
-    lengths = joined.select("id", "y", F.length("text").alias("n")).orderBy(order).collect()
-    taken, used = [], 0
-    for r in lengths:
-        used += r.n
-        if used > sample_chars and taken:
-            break
-        taken.append(r.id)
-    rows = joined.where(F.col("id").isin(taken)).select("id", "y", "text").collect() if taken else []
+    lengths = texts.select("id", F.length("text").alias("n")).groupBy("id").agg(F.sum("n").alias("n"))
+    labelled = known.join(lengths, "id")
+    taken = []
+    for y, bound in ((1, toxic_docs), (0, clean_docs)):
+        order = F.xxhash64(F.col("id").cast("string"), F.lit("sample"), F.lit(y))
+        room = sample_chars
+        for r in labelled.where((F.col("y") == y) & (F.col("n") <= sample_chars)).select("id", "n").orderBy(order, "id").limit(bound).collect():
+            if r.n <= room:
+                room -= r.n
+                taken.append(r.id)
+    rows = texts.join(F.broadcast(known.where(F.col("id").isin(taken))), "id").select("id", "y", "text").collect() if taken else []
+    empty = [y for y in (1, 0) if n.get(y) and not any(r.y == y for r in rows)]
+    if empty and not docs.isEmpty():
+        raise ValueError(f"no text of at most {sample_chars} characters for the labels {toxic} = {empty}")
     rows.sort(key=lambda r: (str(r.id), r.text))
     prior = n.get(1, 0) / max(1, sum(n.values()))
     return train([r.text for r in rows], np.array([r.y == 1 for r in rows], bool), prior)

@@ -3,8 +3,36 @@
 from __future__ import annotations
 
 import textwrap
+import zlib
 
-from assetloom.llm import licenses
+import pytest
+
+from assetloom.llm import licenses, toxicity
+
+IDS = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]  # not held out
+
+
+# --- toxicity -------------------------------------------------------------------------------------------------------
+
+def _sampled(monkeypatch, docs, labels, **bounds) -> list[tuple[str, bool]]:
+    """Texts that the chain is trained on, and whether they count as toxic."""
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, prior: seen.extend(zip(texts, map(bool, toxic), strict=True)))
+    toxicity.fit(docs, labels, **bounds)
+    return seen
+
+
+def test_each_class_has_its_own_sample(spark, monkeypatch):
+    bad = set(IDS[:6])
+    long = IDS[6:10]  # none of them fits
+    docs = spark.createDataFrame([(i, ("x" * 5000 if i in long else f"{i:05d} " * 10)) for i in IDS], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i in bad)) for i in IDS], "doc_id bigint, toxic int")
+    seen = _sampled(monkeypatch, docs, labels, sample_chars=1200)
+    assert sum(toxic for _, toxic in seen) == 6 and sum(not toxic for _, toxic in seen) == 20
+    assert all(len(text) == 60 for text, _ in seen)
+    only_long = spark.createDataFrame([(i, int(i in long)) for i in IDS], "doc_id bigint, toxic int")
+    with pytest.raises(ValueError, match="no text"):
+        _sampled(monkeypatch, docs, only_long, sample_chars=1200)
 
 
 # --- licences -------------------------------------------------------------------------------------------------------
