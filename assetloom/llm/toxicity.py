@@ -273,20 +273,23 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """
     known = (labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{toxic}`").cast("int").alias("y"))
              .where("id is not null and y is not null").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")))
-    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     counts = known.groupBy("y").count().collect()  # two rows
     n = {r["y"]: r["count"] for r in counts}
-    lengths = texts.select("id", F.length("text").alias("n")).groupBy("id").agg(F.sum("n").alias("n"))
-    labelled = known.join(lengths, "id")
+    one = texts.where("id is not null").groupBy("id").agg(F.min(F.struct("h", F.length("text").alias("n"))).alias("t"))  # a row per id before any join
+    labelled = known.join(one, "id").select("id", "y", "t.*")
     taken = []
     for y, bound in ((1, toxic_docs), (0, clean_docs)):
         order = F.xxhash64(F.col("id").cast("string"), F.lit("sample"), F.lit(y))
         room = sample_chars
-        for r in labelled.where((F.col("y") == y) & (F.col("n") <= sample_chars)).select("id", "n").orderBy(order, "id").limit(bound).collect():
+        for r in labelled.where((F.col("y") == y) & (F.col("n") <= sample_chars)).orderBy(order, "id").limit(bound).collect():
             if r.n <= room:
                 room -= r.n
-                taken.append(r.id)
-    rows = texts.join(F.broadcast(known.where(F.col("id").isin(taken))), "id").select("id", "y", "text").collect() if taken else []
+                taken.append((r.id, r.h, r.y))
+    rows = []
+    if taken:
+        wanted = F.broadcast(docs.sparkSession.createDataFrame(taken, labelled.select("id", "h", "y").schema))
+        rows = texts.join(wanted, ["id", "h"]).groupBy("id", "h", "y").agg(F.first("text").alias("text")).collect()  # equal rows give one
     empty = [y for y in (1, 0) if n.get(y) and not any(r.y == y for r in rows)]
     if empty and not docs.isEmpty():
         raise ValueError(f"no text of at most {sample_chars} characters for the labels {toxic} = {empty}")

@@ -35,6 +35,16 @@ def test_each_class_has_its_own_sample(spark, monkeypatch):
         _sampled(monkeypatch, docs, only_long, sample_chars=1200)
 
 
+def test_repeated_rows_of_an_id_are_sampled_once(spark, monkeypatch):
+    hot = IDS[0]
+    rows = [(i, f"{i:05d} " * 10) for i in IDS] + [(hot, f"{hot:05d} " * 10)] * 50 + [(hot, f"other {k}") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i == hot)) for i in IDS], "doc_id bigint, toxic int")
+    seen = _sampled(monkeypatch, docs, labels, sample_chars=1200)
+    assert sum(toxic for _, toxic in seen) == 1 and sum(len(text) for text, _ in seen) <= 2 * 1200
+    assert seen == _sampled(monkeypatch, docs.repartition(7), labels, sample_chars=1200)
+
+
 # --- licences -------------------------------------------------------------------------------------------------------
 
 def test_parts_of_notices_and_wrapped_notices_are_found():
