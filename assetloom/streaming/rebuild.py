@@ -50,7 +50,7 @@ class StreamBuilder:
     and rows whose rendering fails.
     """
 
-    #: Parts that a failing render is repeated in, so that one bad row does not take the batch with it.
+    #: Parts that a failing render is repeated in, and each failing part again, down to single keys.
     RENDER_PARTS = 16
 
     def __init__(self, spark: SparkSession, root: str, targets: Callable[[], list[B.Target]], prepare: Callable[[DataFrame], DataFrame],
@@ -109,19 +109,27 @@ class StreamBuilder:
         self._write(aside.select(*batch.columns, "reason"), "quarantine", epoch)
 
     def _render(self, todo: DataFrame, epoch: int) -> None:
-        """Cache entries of this epoch; if rendering fails, part by part, leaving failing parts out."""
+        """Cache entries of this epoch; if rendering fails, part by part, leaving out the keys that fail alone."""
         try:
             self._write(self.render(todo), "cache", epoch)
             return
         except Exception as exc:  # any error of user code; the rows come back as "render failed"
             self.config.errors.append(str(exc).splitlines()[0])
         self.spark.createDataFrame([], CACHE).write.mode("overwrite").parquet(f"{self.root}/cache/epoch={epoch}")
-        for part in range(self.RENDER_PARTS):
-            some = todo.where(F.pmod(F.xxhash64("key"), F.lit(self.RENDER_PARTS)) == part)
+        self._render_parts(self._write(todo, "todo", epoch), epoch)
+
+    def _render_parts(self, todo: DataFrame, epoch: int, depth: int = 0) -> None:
+        """Parts by further digits of the keys' hash, until few keys are left, which are rendered one by one."""
+        few = [r.key for r in todo.select("key").limit(self.RENDER_PARTS + 1).collect()]
+        single = len(few) <= self.RENDER_PARTS
+        digit = F.pmod(F.xxhash64("key", F.lit(depth)), F.lit(self.RENDER_PARTS))
+        for some in [todo.where(F.col("key") == k) for k in few] if single else [todo.where(digit == p) for p in range(self.RENDER_PARTS)]:
             try:
                 self.render(some).write.mode("append").parquet(f"{self.root}/cache/epoch={epoch}")
             except Exception as exc:
                 self.config.errors.append(str(exc).splitlines()[0])
+                if not single:
+                    self._render_parts(some, epoch, depth + 1)
 
     def _write(self, df: DataFrame, table: str, epoch: int) -> DataFrame:
         path = f"{self.root}/{table}/epoch={epoch}"
