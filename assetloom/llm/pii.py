@@ -119,8 +119,10 @@ def bootstrap(instances: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT
     1 for their kind), if it has at least ``support`` of them; the score of a look-alike is one minus the product of the
     doubts of its patterns with at least ``pattern`` confidence. A pattern seen very often is summed before the shuffle.
     """
-    nodes = written(instances.groupBy("value").agg(F.max("kind").alias("kind"), F.array_distinct(F.flatten(F.collect_set("patterns"))).alias("patterns")), "instances")
-    links = written(nodes.select("value", "kind", F.explode("patterns").alias("pattern")), "pattern-links")
+    # rows, never arrays: a value may stand in any number of contexts; one without a context still tells its kind
+    seen = written(instances.select("value", "kind", F.explode_outer("patterns").alias("pattern")).distinct(), "instances")
+    known = seen.groupBy("value").agg(F.max("kind").alias("kind"))
+    links = written(seen.where("pattern is not null").select("value", "pattern").distinct().join(known, "value").select("value", "kind", "pattern"), "pattern-links")
     kinds = F.explode(F.array(*[F.lit(i) for i in range(len(KINDS))]))
     count = links.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     seeds = links.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("known"))

@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 
-from assetloom.llm import licenses, toxicity
+from assetloom.llm import licenses, pii, toxicity
 
 IDS = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]  # not held out
 
@@ -60,3 +60,23 @@ def test_parts_of_notices_and_wrapped_notices_are_found():
             assert found("\n".join([prose, *lines, prose])) == [(1, family)]
     assert found("Released under the MIT License.\nReleased under the MIT License.") == [(0, "MIT"), (1, "MIT")]
     assert found("all seats\nare reserved\nfor the people of the house") == []
+
+
+# --- personal data --------------------------------------------------------------------------------------------------
+
+def test_contexts_of_a_frequent_value_are_never_one_array(spark, monkeypatch):
+    plans, links = [], []
+    real = pii.written
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().toString().lower())
+        out = real(df, name)
+        if name == "pattern-links":
+            links.append(out)
+        return out
+    monkeypatch.setattr(pii, "written", kept)
+    rows = [("hot", None, [f"p{i}", f"q{i % 3}"]) for i in range(500)] + [("hot", 2, []), ("cold", None, ["p1"]), ("bare", 1, [])]
+    pii.bootstrap(spark.createDataFrame(rows, "value string, kind int, patterns array<string>"), rounds=1).collect()
+    got = {(r.value, r.kind, r.pattern) for r in links[0].collect()}
+    assert got == {("hot", 2, f"p{i}") for i in range(500)} | {("hot", 2, f"q{i}") for i in range(3)} | {("cold", None, "p1")}
+    assert links[0].count() == len(got) and not any("collect_set" in p or "collect_list" in p for p in plans)
