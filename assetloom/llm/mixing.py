@@ -69,15 +69,19 @@ def poisson_count(pieces: Column, cdf: Column, u) -> Column:
     return F.aggregate(draws, F.lit(0), lambda acc, x: acc + F.aggregate(cdf, F.lit(0), lambda n, c: n + (c <= x).cast("int")))
 
 
-def replicate(docs: DataFrame, rates: DataFrame, seed: int = SEED, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+def replicate(docs: DataFrame, rates: DataFrame, seed: int = SEED, doc_id: str = "doc_id", source: str = "source", text: str = "text",
+              keep: list[str] | None = None) -> DataFrame:
     """Every document ``n`` times, in a global random order; adds ``copy`` (from 1) and ``shuffle_key``.
 
+    ``row`` has the columns ``keep``, all without it.
+
     The rates (one row per source) are a written table, so the planner knows their size: it broadcasts them if they are
     small and otherwise joins by shuffles that AQE splits where one source is hot. Rows that repeat a ``doc_id`` draw
-    the same count; a null id counts as an empty one. Documents whose count is 0 are not in the mixture.
+    the same count; rows without an id draw by their source and text, so only equal ones draw the same. Documents whose count is 0 are not in the mixture.
     """
-    key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), F.col(f"`{source}`").alias("s"))
+    own = F.md5(F.to_json(F.struct(F.col(f"`{source}`").alias("s"), F.col(f"`{text}`").alias("t"))).cast("binary"))
+    key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.concat(F.lit("null:"), own))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), key.alias("key"), F.col(f"`{source}`").alias("s"))
     joined = row.join(rates, F.col("s").eqNullSafe(F.col("src")))
     n = poisson_count(F.col("pieces"), F.col("cdf"), lambda j: uniform(F.lit(str(seed)), F.col("key"), j.cast("string")))
     copies = joined.withColumn("n", n).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
@@ -87,4 +91,5 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = SEED, doc_id: str =
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture with the columns of ``docs``: what a training run reads."""
-    return replicate(docs, source_rates(docs, **options)).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    names = {k: options[k] for k in ("source", "text") if k in options}
+    return replicate(docs, source_rates(docs, **options), **names).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -159,5 +159,5 @@ FROM (SELECT doc_id, source, unnest(range(1, n + 1)) AS copy FROM counts)
 @query("op10_mix", MIX_SQL)
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.replicate(docs.select("doc_id", "source"), mixing.source_rates(docs))
+    mixed = mixing.replicate(docs, mixing.source_rates(docs), keep=["doc_id", "source"])
     return mixed.select(field("row", "doc_id").alias("doc_id"), field("row", "source").alias("source"), "copy", "shuffle_key")

@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 
-from assetloom.llm import licenses, pii, toxicity
+from assetloom.llm import licenses, mixing, pii, toxicity
 
 IDS = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]  # not held out
 
@@ -80,3 +80,11 @@ def test_contexts_of_a_frequent_value_are_never_one_array(spark, monkeypatch):
     got = {(r.value, r.kind, r.pattern) for r in links[0].collect()}
     assert got == {("hot", 2, f"p{i}") for i in range(500)} | {("hot", 2, f"q{i}") for i in range(3)} | {("cold", None, "p1")}
     assert links[0].count() == len(got) and not any("collect_set" in p or "collect_list" in p for p in plans)
+
+
+# --- mixing ---------------------------------------------------------------------------------------------------------
+
+def test_rows_without_an_id_draw_their_own_counts(spark):
+    docs = spark.createDataFrame([(None, f"text {i:04d}", "s") for i in range(2000)], "doc_id bigint, text string, source string")
+    rows = mixing.replicate(docs, mixing.source_rates(docs, budget=0.6)).select("row.text", "shuffle_key").collect()
+    assert abs(len(rows) / 2000 - 0.6) < 0.08 and len({r.shuffle_key for r in rows}) == len(rows)
