@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, licenses, linededup, minhash, mixing, packing, pii, toxicity, vectors
+from . import conversation, html, language, licenses, linededup, minhash, mixing, packing, pii, spelling, toxicity, vectors
 from .common import field, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,23 @@ def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.replicate(docs, mixing.source_rates(docs), keep=["doc_id", "source"])
     return mixed.select(field("row", "doc_id").alias("doc_id"), field("row", "source").alias("source"), "copy", "shuffle_key")
+
+
+@query("op11_spelling")
+def op11(spark, sf_dir):
+    words = spelling.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.variants(words)
+
+
+@query("op12_language")
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    named = language.identify(docs, language.fit(docs), keep=["doc_id"])
+    doc_id = field("row", "doc_id")
+    return named.select(doc_id.alias("doc_id"), toxicity.held_out(doc_id).alias("held_out"), "lang_pred", "score")
+
+
+@query("op13_conversation")
+def op13(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversation.digested(conversation.repair(conversation.damaged(rows), ids=rows))
