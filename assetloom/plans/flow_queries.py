@@ -12,6 +12,7 @@ from ..operators import recipes as P
 from ..session import fresh_dir
 from ..sources import outputs as SO
 from ..streaming import changes as W
+from ..operators.render import RenderError, render_rows
 from ..streaming.rebuild import StreamBuilder, run_available
 from . import inputs as I
 from . import lint_queries as LQ
@@ -274,6 +275,21 @@ def w7(spark, sf):
     return build_stream(spark, sf).quarantined().where("reason = 'check failed'").select("asset_id", "path")
 
 
+@query("w7_render_errors", ctes(AS, EXPANDED, KEYED, CLAIMS) + """SELECT asset_id, path, 'cannot render ' || bytes || ' bytes' AS error FROM claims
+    WHERE claim = 1 AND bytes % 17 = 0""")
+def w7_render_errors(spark, sf):
+    """Rows that a row renderer refuses (a length that 17 divides), set aside by one job per batch."""
+    def render(row: dict) -> tuple[str, bytes]:
+        if row["bytes"] % 17 == 0:
+            raise RenderError(f"cannot render {row['bytes']} bytes")
+        return "webp", b"out:" + row["content"].encode()
+    root = fresh_dir(spark, "rebuild")
+    run = builder(spark, root, failing=lambda: F.col("bytes") < 50)
+    run.render = lambda todo: render_rows(todo, render, ["bytes", "content"])
+    run_available(doc_stream(spark, sf), f"{root}/checkpoint", each=run)
+    return run.quarantined().where("reason = 'render failed'").select("asset_id", "path", "error")
+
+
 @query("w10_stream_dedup", ctes(EV) + "SELECT DISTINCT path FROM changes")
 def w10(spark, sf):
     return drained(spark, W.dedup_stream(change_stream(spark, sf), ["path"], "30 days").select("path"), "dedup")

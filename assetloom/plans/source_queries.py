@@ -42,6 +42,17 @@ def s3_urls(spark, sf):
                                               P.file_name(F.substring_index("url", "?", 1)).alias("name"))
 
 
+@query("s1_scan_assets", """SELECT 'd' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' ELSE '.txt' END AS name,
+    CASE WHEN doc_id % 7 = 0 THEN 0 ELSE strlen(coalesce(text, '')) END AS bytes FROM documents WHERE doc_id % 3 < 2""")
+def s1(spark, sf):
+    """Every document as a loose file, a seventh of them empty, listed again: image names only, empty files too."""
+    root = fresh_dir(spark, "scan").removeprefix("file://")
+    name = E("concat('d', doc_id, case doc_id % 3 when 0 then '.png' when 1 then '.JPG' else '.txt' end)")
+    payload = E("case when doc_id % 7 = 0 then '' else coalesce(text, '') end").cast("binary")
+    SO.write_files(I.table(spark, sf, "documents").select(name.alias("out_name"), payload.alias("payload")), root, overwrite=True)
+    return SA.scan_assets(spark, root).select("name", "bytes")
+
+
 MESSY = "msg AS (SELECT *, CASE bytes % 4 WHEN 0 THEN path WHEN 1 THEN './' || replace(path, '/', '//') WHEN 2 THEN 'x/../' || path ELSE '../' || path END AS messy FROM assets)"
 
 

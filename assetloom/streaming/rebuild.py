@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import build as B
-from ..schemas import CACHE
+from ..operators.render import RENDERED, split_errors
 
 
 def run_available(stream: DataFrame, checkpoint: str, out: str | None = None,
@@ -47,12 +47,12 @@ class StreamBuilder:
     other epochs only, so a replayed batch produces the same files again. Outputs
     refresh; the lock is left alone. Set aside with a reason, while the loop goes on:
     rows that fail ``checks`` (NULL does not fail), later claimants of an output path,
-    and rows whose rendering fails.
+    and rows for whose key ``render`` returned an ``error`` or nothing (see
+    ``operators.render``). An exception of the render job itself (lost executors, a full
+    disk, a broken renderer) is no row's fault: it ends the batch, which sets nothing
+    aside and is repeated under the same epoch when the stream starts again.
     """
 
-    #: Parts that a failing render is repeated in, and each failing part again, down to single keys.
-    RENDER_PARTS = 16
-
     def __init__(self, spark: SparkSession, root: str, targets: Callable[[], list[B.Target]], prepare: Callable[[DataFrame], DataFrame],
                  render: Callable[[DataFrame], DataFrame], failing: Callable[[], F.Column] | None = None) -> None:
         self.spark, self.root = spark, root
@@ -71,7 +71,7 @@ class StreamBuilder:
 
     def cache(self, before: int = 2 ** 62, keys: DataFrame | None = None) -> DataFrame:
         """Sound cache entries of earlier epochs, the newest per key; with ``keys`` only those are read and hashed."""
-        sound = B.verify_cache(self._read("cache", CACHE, before), keys)
+        sound = B.verify_cache(split_errors(self._read("cache", RENDERED, before))[0], keys)
         columns = [c for c in sound.columns if c not in ("key", "epoch")]
         return sound.groupBy("key").agg(F.max_by(F.struct(*columns), "epoch").alias("_e")).select("key", "_e.*")
 
@@ -82,7 +82,7 @@ class StreamBuilder:
         return rows.groupBy("out_path").agg(latest).select("out_path", "_l.*")
 
     def quarantined(self) -> DataFrame:
-        """Rows set aside, with ``reason``."""
+        """Rows set aside, with ``reason`` and, where rendering failed, ``error``."""
         return self.spark.read.parquet(f"{self.root}/quarantine")
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
@@ -97,39 +97,23 @@ class StreamBuilder:
         inputs = self._write(self.prepare(won), "inputs", epoch)
         known = self.cache(before=epoch, keys=inputs)
         plan = B.plan_build(inputs, known)
-        self._render(plan.where("status = 'rebuild'").dropDuplicates(["key"]), epoch)  # render once per key
-        fresh = self._read("cache", CACHE, epoch + 1).where(F.col("epoch") == epoch).drop("epoch")
+        todo = plan.where("status = 'rebuild'").dropDuplicates(["key"])  # render once per key
+        self._write(self._padded(self.render(todo)), "cache", epoch)
+        fresh, failed = split_errors(self._read("cache", RENDERED, epoch + 1).where(F.col("epoch") == epoch).drop("epoch"))
         done = known.unionByName(fresh)
         made = B.materialize(plan, done).select("out_path", "key", "payload_len", "payload_hash", "status")
         self._write(made, "outputs", epoch)
-        lost = plan.join(done.select("key"), "key", "left_anti")
+        lost = (plan.join(done.select("key"), "key", "left_anti").join(failed.groupBy("key").agg(F.min("error").alias("error")), "key", "left")
+                .withColumn("error", F.coalesce("error", F.lit("nothing rendered"))))
         aside = (rows.where("_bad").withColumn("reason", F.lit("check failed"))
                  .unionByName(claimed.where("_second").withColumn("reason", F.concat(F.lit("output claimed twice: "), "out_path")), allowMissingColumns=True)
                  .unionByName(lost.withColumn("reason", F.lit("render failed")), allowMissingColumns=True))
-        self._write(aside.select(*batch.columns, "reason"), "quarantine", epoch)
+        self._write(aside.select(*batch.columns, "reason", "error"), "quarantine", epoch)
 
-    def _render(self, todo: DataFrame, epoch: int) -> None:
-        """Cache entries of this epoch; if rendering fails, part by part, leaving out the keys that fail alone."""
-        try:
-            self._write(self.render(todo), "cache", epoch)
-            return
-        except Exception as exc:  # any error of user code; the rows come back as "render failed"
-            self.config.errors.append(str(exc).splitlines()[0])
-        self.spark.createDataFrame([], CACHE).write.mode("overwrite").parquet(f"{self.root}/cache/epoch={epoch}")
-        self._render_parts(self._write(todo, "todo", epoch), epoch)
-
-    def _render_parts(self, todo: DataFrame, epoch: int, depth: int = 0) -> None:
-        """Parts by further digits of the keys' hash, until few keys are left, which are rendered one by one."""
-        few = [r.key for r in todo.select("key").limit(self.RENDER_PARTS + 1).collect()]
-        single = len(few) <= self.RENDER_PARTS
-        digit = F.pmod(F.xxhash64("key", F.lit(depth)), F.lit(self.RENDER_PARTS))
-        for some in [todo.where(F.col("key") == k) for k in few] if single else [todo.where(digit == p) for p in range(self.RENDER_PARTS)]:
-            try:
-                self.render(some).write.mode("append").parquet(f"{self.root}/cache/epoch={epoch}")
-            except Exception as exc:
-                self.config.errors.append(str(exc).splitlines()[0])
-                if not single:
-                    self._render_parts(some, epoch, depth + 1)
+    @staticmethod
+    def _padded(rendered: DataFrame) -> DataFrame:
+        """Rendered rows with an ``error`` column, which a renderer that cannot fail need not have."""
+        return rendered if "error" in rendered.columns else rendered.withColumn("error", F.lit(None).cast("string"))
 
     def _write(self, df: DataFrame, table: str, epoch: int) -> DataFrame:
         path = f"{self.root}/{table}/epoch={epoch}"
