@@ -184,6 +184,38 @@ def test_main_text():
     assert html.main_text("<article><p>cut off text here <a hre") == "cut off text here"
     assert html.main_text("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
+LONG = "This is a long paragraph of an article with quite many words, so that it is text and no menu. " * 3
+PARA = f"<p>{LONG}</p>"
+
+
+def _cut(page: str) -> list[str]:
+    return [x[:12] for x in html.main_text(page).split("\n")]
+
+
+def test_names_of_the_layout_and_of_other_things_keep_their_text():
+    text = "This is a lo"
+    assert _cut(f"<body><nav><a href=x>Home</a></nav><div class='main sidebar-right'><h1>Title</h1>{PARA}{PARA}</div></body>") == ["Title", text, text]
+    assert _cut(f"<body><article>{PARA}<div class='share-price'>The price is 12</div><p class='notice-board'>On the board</p>{PARA}</article></body>") == [text, "The price is", "On the board", text]
+    assert _cut(f"<body><div class='wrapper right-sidebar'><div>{PARA}{PARA}</div></div><p>foot</p></body>") == [text, text]
+    assert _cut(f"<body><article class='post'><div class='share'>{PARA}{PARA}</div></article></body>") == [text, text]
+
+
+def test_claims_that_hold_go():
+    text = "This is a lo"
+    for name in ("ad", "ad-box", "sidebar left", "cookie-notice", "newsletter-signup-form", "related_posts", "comments", "comment-list"):
+        for page in (f"<article><h1>Title</h1>{PARA}{PARA}<div class='{name}'>{PARA}</div></article>", f"<div><h1>Title</h1>{PARA}{PARA}</div><div id='{name}'>{PARA}</div>"):
+            assert _cut(f"<body>{page}</body>") == ["Title", text, text], (name, page)
+    assert _cut(f"<body><div class='post'>{PARA}</div><div id='comments'><div class='comment-body'>{PARA}</div>{PARA}{PARA}</div></body>") == [text]
+    assert _cut(f"<body><div class=ad>{LONG}</div><article><h1>Short one</h1><p>Few words</p></article></body>") == ["Short one", "Few words"]
+
+
+def test_every_marked_line_of_sibling_containers_stays():
+    text = "This is a lo"
+    menu = "<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>"
+    assert _cut(f"<body>{menu}<div><h2>Title</h2>{PARA * 8}</div>{menu}<div><p>Brief</p>{PARA}</div><p><a href=3>Next</a></p></body>") == ["Title", *[text] * 8, "Brief", text]
+    linked = f"<p><a href=9>{LONG}</a></p>"
+    assert _cut(f"<body>{menu}<div>{PARA}{linked}{PARA}</div></body>") == [text] * 3
+
 
 def test_extract_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>x</p></article>", "a"), (None, None, None, None), (1, "u", "<article><p>x</p></article>", "a"), (2, "u", "", "b")],
