@@ -45,7 +45,7 @@ def expand_targets(assets: DataFrame, targets: list[Target], path: str = "path",
     globs and directories take image extensions (and ``extra``) only.
     """
     if len(targets) > fixed.MANIFEST_MAX_TARGETS:
-        raise ValueError(f"build manifest has too many targets ({len(targets)})")
+        raise ValueError(f"more targets than a manifest may have ({len(targets)})")
     entries = []
     for t_idx, target in enumerate(targets):
         for p_idx, pattern in enumerate(target.source):
@@ -69,14 +69,14 @@ def validate_targets(targets: DataFrame) -> DataFrame:
     first_bad = F.get(F.filter("source", lambda s: blank(s) | (s == "-")), F.lit(0))
     clean = lexical_clean(C("out"))
     return targets.withColumn("reason", (
-        F.when(F.size("source") == 0, "`source` is an empty list")
-        .when(first_bad == "-", "`source` may not be `-` (stdin); a build reads declared files")
-        .when(first_bad.isNotNull(), "`source` contains an empty entry")
-        .when(blank(C("recipe")), "`recipe` is empty")
-        .when(blank(C("out")), "`out` is empty")
-        .when((clean == "..") | clean.startswith("../"), F.concat(F.lit("`out` escapes the build tree via `..`: "), "out"))
-        .when(clean.startswith("/"), F.concat(F.lit("`out` must be within the build tree, not an absolute path: "), "out"))
-        .when(C("name").isNotNull() & blank(C("name")), "`name` is empty")))
+        F.when(F.size("source") == 0, "no entry under `source`")
+        .when(first_bad == "-", "`source` names standard input, which a build cannot repeat")
+        .when(first_bad.isNotNull(), "an entry of `source` is blank")
+        .when(blank(C("recipe")), "`recipe` is blank")
+        .when(blank(C("out")), "`out` is blank")
+        .when((clean == "..") | clean.startswith("../"), F.concat(F.lit("`out` leads above the project: "), "out"))
+        .when(clean.startswith("/"), F.concat(F.lit("`out` is not relative to the project: "), "out"))
+        .when(C("name").isNotNull() & blank(C("name")), "`name` is blank")))
 
 
 def validate_manifests(targets: DataFrame) -> DataFrame:
@@ -84,9 +84,9 @@ def validate_manifests(targets: DataFrame) -> DataFrame:
     counted = targets.groupBy("manifest").agg(F.max("version").alias("version"), F.count(F.lit(1)).alias("targets"))
     return counted.withColumn("reason", (
         F.when(C("version") != fixed.MANIFEST_VERSION, F.concat(
-            F.lit("unsupported build manifest version "), C("version").cast("string")))
+            F.lit("manifests of this version are unknown: "), C("version").cast("string")))
         .when(C("targets") > fixed.MANIFEST_MAX_TARGETS, F.concat(
-            F.lit("build manifest has too many targets ("), C("targets").cast("string"), F.lit(")")))))
+            F.lit("more targets than a manifest may have ("), C("targets").cast("string"), F.lit(")")))))
 
 
 def output_paths(expanded: DataFrame, ext: Column | str, path: str = "path") -> DataFrame:
@@ -254,13 +254,13 @@ def lock_gate(diff: DataFrame) -> DataFrame:
 def change_line(diff: DataFrame, committed_target: str = "local", current_target: str = "local") -> DataFrame:
     """Rendered change, digests cut to twelve."""
     arrow = F.concat(short_hash(C("committed")), F.lit(" → "), short_hash(C("current")))
-    why = F.when(C("drift"), "failing under --strict").otherwise(
-        "expected encoder variance — use --strict to fail on it")
-    text = (F.when(C("kind") == "added", "not in the lockfile").when(C("kind") == "removed", "in the lockfile, not built")
-            .when(C("kind") == "key-changed", F.concat(F.lit("inputs changed (key "), arrow, F.lit(")")))
+    why = F.when(C("drift"), "counts as drift under --strict").otherwise(
+        "encoders may differ; --strict counts it as drift")
+    text = (F.when(C("kind") == "added", "new since the lock").when(C("kind") == "removed", "locked, but nothing made it")
+            .when(C("kind") == "key-changed", F.concat(F.lit("other inputs (key "), arrow, F.lit(")")))
             .when(C("kind") == "hash-changed", F.concat(
-                F.lit("same inputs, different output bytes on this machine ("), arrow, F.lit(")")))
-            .otherwise(F.concat(F.lit(f"output bytes differ across environments ({committed_target} "), short_hash(C("committed")),
+                F.lit("equal inputs gave other bytes here ("), arrow, F.lit(")")))
+            .otherwise(F.concat(F.lit(f"bytes depend on the machine ({committed_target} "), short_hash(C("committed")),
                                 F.lit(f" → {current_target} "), short_hash(C("current")), F.lit("); "), why)))
     tag = F.when(C("drift"), "drift").otherwise("note")
     return diff.withColumn("line", F.concat(tag, F.lit(': "'), C("path"), F.lit('": '), text))

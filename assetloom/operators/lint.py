@@ -56,7 +56,7 @@ def _text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-ANIMATION = " (re-encoding will discard every frame but the first)"
+ANIMATION = ": only its first frame would survive an export"
 _decoded = lambda: C("decode_status") == "ok"
 _deep = lambda: C("bit_depth") >= 16
 
@@ -73,38 +73,38 @@ def register_rule(id_: str, severity: str, enabled: bool, predicate: Callable[[]
 
 
 register_rule("privacy/gps-metadata-leak", "error", True, lambda: C("has_gps"),
-              lambda: _text("image carries GPS location metadata (a privacy leak in a public asset)"),
+              lambda: _text("position of the camera is readable from the file"),
               lambda: _text("meta clean --gps"))
 register_rule("size/truncated-or-corrupt", "error", True, lambda: C("decode_status") == "corrupt",
-              lambda: _text("image is truncated or corrupt (failed to decode); re-export a valid image"))
+              lambda: _text("file cannot be decoded to its end; export it anew"))
 register_rule("privacy/camera-metadata", "info", False, lambda: C("has_camera"),
-              lambda: _text("image carries identifying camera metadata (Make/Model/serial/timestamp)"),
+              lambda: _text("tags name the camera that took the picture"),
               lambda: _text("meta strip"))
 register_rule("orient/orientation-not-baked", "warn", True, lambda: C("orientation") != 1,
-              lambda: _text("EXIF Orientation is ", C("orientation"), " (pixels are not baked upright)"),
+              lambda: _text("orientation tag ", C("orientation"), ": viewers must turn the picture"),
               lambda: _text("auto-orient"))
 register_rule("size/oversized-bytes", "error", True, lambda: C("bytes") > C("byte_budget"),
-              lambda: _text("file is ", C("bytes"), " bytes, over the ", C("byte_budget"), "-byte budget"),
+              lambda: _text("holds ", C("bytes"), " bytes, limit here ", C("byte_budget")),
               lambda: _text("optimize"))
 register_rule("dims/oversized-dimensions", "warn", True, lambda: _decoded() & (C("width") > C("intended_width")),
-              lambda: _text("width ", C("width"), "px exceeds the declared intended width ", C("intended_width"), "px"),
+              lambda: _text("is ", C("width"), " pixels across, meant to be shown at ", C("intended_width")),
               lambda: _text("resize --max ", C("intended_width")))
 register_rule("color/wrong-colorspace", "warn", True,
               lambda: _decoded() & (_deep() | ((C("format") == "jpeg") & (C("components") == 4))),
-              lambda: F.when(_deep(), _text(C("bit_depth"), "-bit channels are needless for the web"))
-              .otherwise(_text("CMYK JPEG (not an sRGB web colorspace)")),
+              lambda: F.when(_deep(), _text(C("bit_depth"), " bits a channel, more than browsers show"))
+              .otherwise(_text("JPEG in ink colours, which browsers render differently")),
               lambda: _text("convert --format"))
 register_rule("color/missing-icc", "info", False, lambda: _decoded() & C("icc_bytes").isNull(),
-              lambda: _text("no embedded ICC color profile (may render inconsistently); tag sRGB"))
+              lambda: _text("colours are undefined without a profile; state sRGB"))
 register_rule("color/unexpected-icc", "info", False, lambda: C("icc_bytes") > fixed.ICC_BULKY_BYTES,
-              lambda: _text("bulky ", C("icc_bytes"), "-byte ICC profile; strip it for the web"),
+              lambda: _text("carries ", C("icc_bytes"), " bytes of colour profile, more than a page needs"),
               lambda: _text("meta strip"))
 register_rule("format/animated-gif", "warn", True, lambda: _decoded() & C("animated") & (C("format") == "gif"),
-              lambda: _text("animated GIF" + ANIMATION))
+              lambda: _text("moving GIF" + ANIMATION))
 register_rule("format/animated-input", "warn", True,
               lambda: _decoded() & C("animated") & C("format").isin("png", "webp"),
-              lambda: F.when(C("format") == "png", _text("animated PNG (APNG)" + ANIMATION))
-              .otherwise(_text("animated WebP" + ANIMATION)))
+              lambda: F.when(C("format") == "png", _text("moving PNG" + ANIMATION))
+              .otherwise(_text("moving WebP" + ANIMATION)))
 
 
 def rule_active(config: LintConfig, rule: Rule) -> bool:

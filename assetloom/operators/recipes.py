@@ -47,11 +47,11 @@ def _resize_check(params: Column) -> Column:
     pct = F.try_element_at(params, F.lit("percent")).try_cast("double")
     need = lambda k: F.coalesce(num(k) <= 0, F.lit(True))
     boxed = mode.isin("exact", "fit", "fill", "cover")
-    return (F.when(mode.isNull(), "missing required param 'mode'")
-            .when(~mode.isin("max", "exact", "percent", "fit", "fill", "cover"), F.concat(F.lit("unknown mode '"), mode, F.lit("'")))
-            .when(((mode == "max") | boxed) & need("width"), F.concat(F.lit("mode '"), mode, F.lit("' requires 'width' > 0")))
-            .when(boxed & need("height"), F.concat(F.lit("mode '"), mode, F.lit("' requires 'height' > 0")))
-            .when((mode == "percent") & F.coalesce(pct <= 0, F.lit(True)), "mode 'percent' requires 'percent' > 0"))
+    return (F.when(mode.isNull(), "'mode' is not given")
+            .when(~mode.isin("max", "exact", "percent", "fit", "fill", "cover"), F.concat(F.lit("no such mode: '"), mode, F.lit("'")))
+            .when(((mode == "max") | boxed) & need("width"), F.concat(F.lit("mode '"), mode, F.lit("' needs a positive 'width'")))
+            .when(boxed & need("height"), F.concat(F.lit("mode '"), mode, F.lit("' needs a positive 'height'")))
+            .when((mode == "percent") & F.coalesce(pct <= 0, F.lit(True)), "mode 'percent' needs a positive 'percent'"))
 
 
 def _resize(px: DataFrame, p: dict[str, str]) -> DataFrame:
@@ -143,4 +143,4 @@ def canonical_chain(df: DataFrame) -> DataFrame:
         F.when(C("auto_orient"), "auto-orient"), F.when(C("resize_max").isNotNull(), F.concat(
             F.lit("resize:"), C("resize_max").cast("string"))), F.when(C("invert"), "invert")))
     return df.withColumn("ops", ops).withColumn(
-        "reason", F.when(F.size("ops") == 0, "edit requires at least one operation flag"))
+        "reason", F.when(F.size("ops") == 0, "nothing to do: no operation was asked for"))

@@ -63,17 +63,17 @@ def b1_empty(spark, sf):
     return B.empty_targets(expanded(spark, sf), targets)
 
 
-@query("b2_validate_targets", ctes(MAN) + """SELECT target_idx, CASE WHEN len(source) = 0 THEN '`source` is an empty list'
-    WHEN source[1] = '-' THEN '`source` may not be `-` (stdin); a build reads declared files' WHEN source[2] = ' ' THEN '`source` contains an empty entry'
-    WHEN recipe = ' ' THEN '`recipe` is empty' WHEN out_dir = '' THEN '`out` is empty'
-    WHEN out_dir IN ('../out', 'a/../../b') THEN '`out` escapes the build tree via `..`: ' || out_dir
-    WHEN out_dir = '/abs' THEN '`out` must be within the build tree, not an absolute path: /abs' WHEN name = ' ' THEN '`name` is empty' END AS reason FROM man""")
+@query("b2_validate_targets", ctes(MAN) + """SELECT target_idx, CASE WHEN len(source) = 0 THEN 'no entry under `source`'
+    WHEN source[1] = '-' THEN '`source` names standard input, which a build cannot repeat' WHEN source[2] = ' ' THEN 'an entry of `source` is blank'
+    WHEN recipe = ' ' THEN '`recipe` is blank' WHEN out_dir = '' THEN '`out` is blank'
+    WHEN out_dir IN ('../out', 'a/../../b') THEN '`out` leads above the project: ' || out_dir
+    WHEN out_dir = '/abs' THEN '`out` is not relative to the project: /abs' WHEN name = ' ' THEN '`name` is blank' END AS reason FROM man""")
 def b2(spark, sf):
     return B.validate_targets(manifest_targets(spark, sf)).select("target_idx", "reason")
 
 
-@query("b2_validate_manifests", ctes(MAN) + """SELECT manifest, max(version) AS version, count(*) AS targets, CASE WHEN max(version) <> 1 THEN 'unsupported build manifest version 2'
-    WHEN count(*) > 1024 THEN 'build manifest has too many targets (' || count(*) || ')' END AS reason FROM man GROUP BY manifest""")
+@query("b2_validate_manifests", ctes(MAN) + """SELECT manifest, max(version) AS version, count(*) AS targets, CASE WHEN max(version) <> 1 THEN 'manifests of this version are unknown: 2'
+    WHEN count(*) > 1024 THEN 'more targets than a manifest may have (' || count(*) || ')' END AS reason FROM man GROUP BY manifest""")
 def b2_manifests(spark, sf):
     return B.validate_manifests(manifest_targets(spark, sf))
 
@@ -291,9 +291,9 @@ def b15_clean(spark, sf):
     return B.lock_gate(B.lock_diff(lock, lock))
 
 
-@query("b16_change_line", ctes(LK, diff_sql(True)) + """SELECT path, CASE WHEN drift THEN 'drift' ELSE 'note' END || ': "' || path || '": ' || CASE kind WHEN 'added' THEN 'not in the lockfile'
-    WHEN 'removed' THEN 'in the lockfile, not built' WHEN 'key-changed' THEN 'inputs changed (key ' || left(committed, 12) || ' → ' || left(current, 12) || ')'
-    ELSE 'output bytes differ across environments (x86_64-linux ' || left(committed, 12) || ' → aarch64-macos ' || left(current, 12) || '); expected encoder variance — use --strict to fail on it' END AS line FROM diffs""")
+@query("b16_change_line", ctes(LK, diff_sql(True)) + """SELECT path, CASE WHEN drift THEN 'drift' ELSE 'note' END || ': "' || path || '": ' || CASE kind WHEN 'added' THEN 'new since the lock'
+    WHEN 'removed' THEN 'locked, but nothing made it' WHEN 'key-changed' THEN 'other inputs (key ' || left(committed, 12) || ' → ' || left(current, 12) || ')'
+    ELSE 'bytes depend on the machine (x86_64-linux ' || left(committed, 12) || ' → aarch64-macos ' || left(current, 12) || '); encoders may differ; --strict counts it as drift' END AS line FROM diffs""")
 def b16(spark, sf):
     return B.change_line(diffed(spark, sf, **CROSS), **CROSS).select("path", "line")
 

@@ -137,13 +137,13 @@ def d7(spark, sf):
 
 
 @query("d8_report_lines", ctes(CD, PICK, FORCE) + f"""SELECT asset_id, phrase, CASE WHEN fmt IS NULL
-    THEN 'kept ' || source_format || ' (' || source_bytes || ' B, already optimal)'
+    THEN 'kept ' || source_format || ' (' || source_bytes || ' B, nothing smaller)'
     ELSE source_format || ' → ' || fmt || ' · ' || source_bytes || ' → ' || out_bytes || ' B (' || phrase || ')' END AS summary,
-    CASE WHEN fmt IS NULL AND mode = 'fast' THEN 'kept source — no candidate beat it'
-    WHEN fmt IS NULL THEN 'kept source — no candidate met the target and beat it'
-    WHEN out_bytes >= source_bytes THEN 'shipped the smallest correct re-encode (' || fmt || '); no candidate beat the source, but the source could not ship unchanged (metadata stripped / orientation baked)'
-    WHEN mode = 'fast' THEN 'smallest fixed-quality re-encode that beat the source (' || fmt || ')'
-    ELSE 'smallest candidate that met the target and beat the source (' || fmt || ')' END AS reason
+    CASE WHEN fmt IS NULL AND mode = 'fast' THEN 'source stays: all candidates are as large'
+    WHEN fmt IS NULL THEN 'source stays: no candidate is both good enough and smaller'
+    WHEN out_bytes >= source_bytes THEN 'took the least of the sound candidates (' || fmt || '): larger than the source, which had to change anyway (tags or orientation)'
+    WHEN mode = 'fast' THEN 'at the fixed quality the least below the source (' || fmt || ')'
+    ELSE 'the least of those good enough and below the source (' || fmt || ')' END AS reason
     FROM (SELECT *, abs(p) || '%' || CASE WHEN p < 0 THEN ' larger' ELSE ' smaller' END AS phrase FROM (SELECT *, {SAVE} AS p FROM forced))""")
 def d8(spark, sf):
     return D.report_lines(forced(spark, sf)).select("asset_id", "phrase", "summary", "reason")

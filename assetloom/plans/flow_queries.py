@@ -51,9 +51,9 @@ BROKEN = """broken AS (SELECT c_custkey AS recipe, step_idx, CASE WHEN step_idx
 
 
 @query("p2_validate_recipe", ctes(BROKEN) + """SELECT recipe, step_idx, op, reason FROM (SELECT *, CASE WHEN recipe % 31 = 0 THEN 'unsupported recipe version'
-    WHEN op IN ('sharpen', 'optimize') THEN 'unknown operation ''' || op || '''' WHEN op = 'invert' THEN NULL WHEN mode IS NULL THEN 'missing required param ''mode'''
-    WHEN mode = 'blur' THEN 'unknown mode ''blur''' WHEN mode IN ('max', 'fit') AND coalesce(v, 0) <= 0 THEN 'mode ''' || mode || ''' requires ''width'' > 0'
-    WHEN mode = 'percent' AND coalesce(v, 0) <= 0 THEN 'mode ''percent'' requires ''percent'' > 0' END AS reason FROM broken) WHERE reason IS NOT NULL""")
+    WHEN op IN ('sharpen', 'optimize') THEN 'unknown operation ''' || op || '''' WHEN op = 'invert' THEN NULL WHEN mode IS NULL THEN '''mode'' is not given'
+    WHEN mode = 'blur' THEN 'no such mode: ''blur''' WHEN mode IN ('max', 'fit') AND coalesce(v, 0) <= 0 THEN 'mode ''' || mode || ''' needs a positive ''width'''
+    WHEN mode = 'percent' AND coalesce(v, 0) <= 0 THEN 'mode ''percent'' needs a positive ''percent''' END AS reason FROM broken) WHERE reason IS NOT NULL""")
 def p2(spark, sf):
     rows = I.table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("step_idx"))
     v = E("if(c_nationkey % 3 = 0, null, cast(c_nationkey - 4 as string))")
@@ -92,7 +92,7 @@ def p5(spark, sf):
 
 
 @query("p6_canonical_chain", """SELECT o_orderkey AS request, concat_ws(',', CASE WHEN o_orderkey % 2 = 0 THEN 'auto-orient' END, CASE WHEN o_custkey % 3 = 0 THEN 'resize:' || (o_custkey + 1) END, CASE WHEN o_orderstatus = 'F' THEN 'invert' END) AS ops,
-    CASE WHEN o_orderkey % 2 <> 0 AND o_custkey % 3 <> 0 AND o_orderstatus <> 'F' THEN 'edit requires at least one operation flag' END AS reason FROM orders""")
+    CASE WHEN o_orderkey % 2 <> 0 AND o_custkey % 3 <> 0 AND o_orderstatus <> 'F' THEN 'nothing to do: no operation was asked for' END AS reason FROM orders""")
 def p6(spark, sf):
     req = I.table(spark, sf, "orders").select(F.col("o_orderkey").alias("request"), (F.col("o_orderkey") % 2 == 0).alias("auto_orient"),
                                               E("case when o_custkey % 3 = 0 then o_custkey + 1 end").alias("resize_max"), (F.col("o_orderstatus") == "F").alias("invert"))

@@ -18,21 +18,21 @@ CONFIG = L.LintConfig(
 BUDGET = """bud AS (SELECT *, CASE WHEN path LIKE 'assets/src1/%' THEN 8000 ELSE 2000 END AS byte_budget,
    CASE WHEN regexp_matches(path, '^assets/src./en/.*\\.PNG$') THEN 500 WHEN path LIKE 'assets/src1/%' THEN 2400 WHEN path LIKE '%/de/%' THEN 900
         ELSE 3000 END AS intended_width FROM afacts)"""
-ANIM = " (re-encoding will discard every frame but the first)"
+ANIM = ": only its first frame would survive an export"
 RULE_SQL = [
-    ("privacy/gps-metadata-leak", "error", "has_gps", "'image carries GPS location metadata (a privacy leak in a public asset)'", "'meta clean --gps'"),
-    ("size/truncated-or-corrupt", "error", "decode_status = 'corrupt'", "'image is truncated or corrupt (failed to decode); re-export a valid image'", "NULL"),
-    ("privacy/camera-metadata", "info", "has_camera", "'image carries identifying camera metadata (Make/Model/serial/timestamp)'", "'meta strip'"),
-    ("orient/orientation-not-baked", "warn", "orientation <> 1", "'EXIF Orientation is ' || orientation || ' (pixels are not baked upright)'", "'auto-orient'"),
-    ("size/oversized-bytes", "error", "bytes > byte_budget", "'file is ' || bytes || ' bytes, over the ' || byte_budget || '-byte budget'", "'optimize'"),
+    ("privacy/gps-metadata-leak", "error", "has_gps", "'position of the camera is readable from the file'", "'meta clean --gps'"),
+    ("size/truncated-or-corrupt", "error", "decode_status = 'corrupt'", "'file cannot be decoded to its end; export it anew'", "NULL"),
+    ("privacy/camera-metadata", "info", "has_camera", "'tags name the camera that took the picture'", "'meta strip'"),
+    ("orient/orientation-not-baked", "warn", "orientation <> 1", "'orientation tag ' || orientation || ': viewers must turn the picture'", "'auto-orient'"),
+    ("size/oversized-bytes", "error", "bytes > byte_budget", "'holds ' || bytes || ' bytes, limit here ' || byte_budget", "'optimize'"),
     ("dims/oversized-dimensions", "warn", "decode_status = 'ok' AND width > intended_width",
-     "'width ' || width || 'px exceeds the declared intended width ' || intended_width || 'px'", "'resize --max ' || intended_width"),
+     "'is ' || width || ' pixels across, meant to be shown at ' || intended_width", "'resize --max ' || intended_width"),
     ("color/wrong-colorspace", "warn", "decode_status = 'ok' AND (bit_depth >= 16 OR (format = 'jpeg' AND components = 4))",
-     "CASE WHEN bit_depth >= 16 THEN bit_depth || '-bit channels are needless for the web' ELSE 'CMYK JPEG (not an sRGB web colorspace)' END", "'convert --format'"),
-    ("color/missing-icc", "warn", "decode_status = 'ok' AND icc_bytes IS NULL", "'no embedded ICC color profile (may render inconsistently); tag sRGB'", "NULL"),
-    ("color/unexpected-icc", "info", "icc_bytes > 4096", "'bulky ' || icc_bytes || '-byte ICC profile; strip it for the web'", "'meta strip'"),
+     "CASE WHEN bit_depth >= 16 THEN bit_depth || ' bits a channel, more than browsers show' ELSE 'JPEG in ink colours, which browsers render differently' END", "'convert --format'"),
+    ("color/missing-icc", "warn", "decode_status = 'ok' AND icc_bytes IS NULL", "'colours are undefined without a profile; state sRGB'", "NULL"),
+    ("color/unexpected-icc", "info", "icc_bytes > 4096", "'carries ' || icc_bytes || ' bytes of colour profile, more than a page needs'", "'meta strip'"),
     ("format/animated-input", "warn", "decode_status = 'ok' AND animated AND format IN ('png','webp')",
-     f"CASE WHEN format = 'png' THEN 'animated PNG (APNG)' ELSE 'animated WebP' END || '{ANIM}'", "NULL"),
+     f"CASE WHEN format = 'png' THEN 'moving PNG' ELSE 'moving WebP' END || '{ANIM}'", "NULL"),
 ]
 IGNORED = """NOT (path LIKE 'assets/src2/%' AND rule IN ('privacy/gps-metadata-leak', 'size/oversized-bytes'))
    AND NOT (path LIKE '%.txt' AND rule = 'orient/orientation-not-baked')"""
@@ -55,7 +55,7 @@ def found(spark, sf):
 def rule_query(code: str, rule: str, sql_index: int | None, animated_gif: bool = False):
     """One rule on its own, selected by its exact id, under the shared budgets."""
     if animated_gif:
-        sql = f"SELECT path AS file, 'animated GIF{ANIM}' AS message, CAST(NULL AS VARCHAR) AS fix FROM bud WHERE decode_status = 'ok' AND animated AND format = 'gif'"
+        sql = f"SELECT path AS file, 'moving GIF{ANIM}' AS message, CAST(NULL AS VARCHAR) AS fix FROM bud WHERE decode_status = 'ok' AND animated AND format = 'gif'"
     else:
         _, _, p, m, f = RULE_SQL[sql_index]
         sql = f"SELECT path AS file, CAST({m} AS VARCHAR) AS message, CAST({f} AS VARCHAR) AS fix FROM bud WHERE {p}"

@@ -109,7 +109,7 @@ def s7(spark, sf):
 
 
 @query("s8_within_pixel_budget", ctes(DIM) + """SELECT asset_id, line, part_id, supp_id, CASE WHEN greatest(w, h * 9) > 65535 THEN 'side over limit' WHEN w * h * 9 > 67108864
-    THEN 'image ' || w || 'x' || (h * 9) || ' declares ' || (w * h * 9) || ' pixels' END AS reason FROM dims""")
+    THEN 'image ' || w || 'x' || (h * 9) || ' would hold ' || (w * h * 9) || ' pixels' END AS reason FROM dims""")
 def s8(spark, sf):
     rows = I.dims(spark, sf).withColumn("h", F.col("h") * 9)
     return SA.within_pixel_budget(rows).select("asset_id", "line", "part_id", "supp_id", "reason")

@@ -83,7 +83,7 @@ def within_pixel_budget(df: DataFrame, w: str = "w", h: str = "h") -> DataFrame:
     side = F.greatest(w, h) > fixed.MAX_IMAGE_DIMENSION
     return df.withColumn("reason", F.when(side, "side over limit").when(
         area > fixed.MAX_IMAGE_PIXELS, F.concat(F.lit("image "), F.col(w).cast("string"), F.lit("x"), F.col(h).cast("string"),
-                                                F.lit(" declares "), area.cast("string"), F.lit(" pixels"))))
+                                                F.lit(" would hold "), area.cast("string"), F.lit(" pixels"))))
 
 
 def container_label(pixel_format: Column, container: Column) -> Column:
