@@ -9,6 +9,8 @@ operator needs a join to learn it.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # its Python functi
 
 CHANNELS = ("r", "g", "b")
 BAND_LINES = 128
+#: Samples of one plane that a task of the resampling works on at a time.
+BLOCK_SAMPLES = 1 << 21
 DECODE_CUT, ENCODE_CUT = fixed.SRGB_DECODE_CUT, fixed.SRGB_ENCODE_CUT
 
 
@@ -113,63 +117,125 @@ def _from_linear(v: np.ndarray) -> np.ndarray:
     return np.where(v <= ENCODE_CUT, v * 12.92, 1.055 * np.maximum(v, 0.0) ** (1.0 / 2.4) - 0.055)
 
 
-def _lanczos(dst: np.ndarray, src: np.ndarray, dst_n: int, src_n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (destination x source), and which source samples are within reach."""
+def _kernel(dst_n: int, src_n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per destination sample, its taps: source index, weight (0 outside the raster), and whether it is within reach."""
     scale = src_n / dst_n
-    t = (src[None, :] + 0.5 - (dst[:, None] + 0.5) * scale) / max(scale, 1.0)
-    return np.where(np.abs(t) < 3.0, np.sinc(t) * np.sinc(t / 3.0), 0.0), np.abs(t) <= 3.0
-
-
-def _pass(planes: np.ndarray, weights: np.ndarray, reach: np.ndarray) -> np.ndarray:
-    """Weighted means along the last axis over the samples that exist (not NaN); NaN where none does."""
+    wide = max(scale, 1.0)
+    middle = (np.arange(dst_n) + 0.5) * scale
+    at = np.ceil(middle - 0.5 - 3.0 * wide).astype(np.int64)[:, None] + np.arange(int(6.0 * wide) + 2)
+    t = (at + 0.5 - middle[:, None]) / wide
+    inside = (at >= 0) & (at < src_n) & (np.abs(t) <= 3.0)
+    weight = np.where(inside & (np.abs(t) < 3.0), np.sinc(t) * np.sinc(t / 3.0), 0.0)
+    return np.clip(at, 0, src_n - 1), weight, inside
+
+
+def _across(planes: np.ndarray, kernel: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Weighted means along the last axis over the samples that exist (not NaN), tap by tap; NaN where none does."""
+    at, weight, inside = kernel
     known = ~np.isnan(planes)
+    gaps = not known.all()
+    filled = np.where(known, planes, 0.0) if gaps else planes
+    total = np.zeros((*planes.shape[:-1], len(at)))
+    share = np.zeros_like(total) if gaps else weight.sum(axis=1)
+    reached = np.zeros(total.shape, bool) if gaps else None
+    for k in range(at.shape[1]):
+        total += filled[..., at[:, k]] * weight[:, k]
+        if gaps:
+            here = known[..., at[:, k]]
+            share += here * weight[:, k]
+            reached |= here & inside[:, k]
     with np.errstate(invalid="ignore", divide="ignore"):
-        if known.all():
-            return planes @ (weights / weights.sum(axis=1, keepdims=True)).T
-        there = known.astype(float)
-        mean = (np.where(known, planes, 0.0) @ weights.T) / (there @ weights.T)
-    return np.where(there @ reach.T.astype(float) > 0, mean, np.nan)
+        return np.where(reached, total / share, np.nan) if gaps else total / share
+
+
+def _encoded(linear: np.ndarray, top: float) -> list[pa.Array]:
+    """Lists of samples of ``planes x lines x width`` in linear light, NULL where there is none."""
+    linear = np.clip(linear, 0.0, 1.0)
+    linear[:3] = _from_linear(linear[:3])
+    out = np.floor(linear * top + 0.5)
+    ends = pa.array(np.arange(out.shape[1] + 1) * out.shape[2], pa.int32())
+    lists = []
+    for plane in out:
+        flat = plane.ravel()
+        gaps = np.isnan(flat)
+        lists.append(pa.ListArray.from_arrays(ends, pa.array(np.where(gaps, 0, flat).astype(np.int32), mask=gaps)))
+    return lists
+
+
+def _line_resampler(depth: int, finished: bool):
+    """Lines to their new width in linear light; encoded again if they are ``finished``, else as they are summed."""
+    top = float(2 ** depth - 1)
+    planes = (*CHANNELS, "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = lru_cache(16)(_kernel)  # made here: a cached function of the module would not travel with the job
+        for batch in batches:
+            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            w, dw = columns["w"].to_numpy(), columns["dw"].to_numpy()
+            runs = np.flatnonzero(np.diff(w, prepend=-1) | np.diff(dw, prepend=-1))
+            for first, end in zip(runs, [*runs[1:], batch.num_rows], strict=True):
+                step = max(1, BLOCK_SAMPLES // int(max(w[first], dw[first])))
+                for start in range(first, end, step):
+                    n = min(step, end - start)
+                    raw = np.stack([columns[c].slice(start, n).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1) for c in planes]) / top
+                    raw[:3] = _to_linear(raw[:3])
+                    wide = _across(raw, kernel(int(dw[start]), int(w[start]))) if w[start] != dw[start] else raw
+                    if finished:
+                        lists = _encoded(wide, top)
+                    else:
+                        ends = pa.array(np.arange(n + 1) * int(dw[start]), pa.int32())
+                        lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in wide]
+                    rest = [c.slice(start, n) for c in batch.columns[:-4]]
+                    yield pa.RecordBatch.from_arrays([*rest, *lists], names=batch.schema.names)
+    return run
 
 
-def _band_resampler(depth: int):
+def _band_summer(depth: int):
+    """Sums the lines of a band into its destination lines as they stream in: memory for these lines, not for the source's."""
     top = float(2 ** depth - 1)
     planes = (*CHANNELS, "a")
 
-    def run(key, rows):
-        _, w, h, dw, dh, per, band = (k.as_py() for k in key)
-        y = rows["y"].to_numpy()
-        raw = np.stack([rows[n].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(y), -1) for n in planes])
-        linear = raw / top
-        linear[:3] = _to_linear(linear[:3])
-        if w != dw:
-            linear = _pass(linear, *_lanczos(np.arange(dw), np.arange(w), dw, w))
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # the hints ask for streaming
+        _, _, h, dw, dh, per, band = (k.as_py() for k in key)
         lines = np.arange(band * per, min(dh, (band + 1) * per))
-        if h != dh:
-            linear = np.swapaxes(_pass(np.swapaxes(linear, 1, 2), *_lanczos(lines, y, dh, h)), 1, 2)
-        else:
-            linear, lines = linear[:, np.argsort(y)], np.sort(y)
-        linear = np.clip(linear, 0.0, 1.0)
-        linear[:3] = _from_linear(linear[:3])
-        out = np.floor(linear * top + 0.5)
-        kept = ~np.isnan(out[3]).all(axis=1)
-        columns = [pa.array(lines[kept], pa.int32())]
-        for plane in out:
-            flat = plane[kept].ravel()
-            gaps = np.isnan(flat)
-            values = pa.array(np.where(gaps, 0, flat).astype(np.int32), mask=gaps)
-            columns.append(pa.ListArray.from_arrays(pa.array(np.arange(kept.sum() + 1) * int(dw), pa.int32()), values))
-        ids = [pa.array([key[0].as_py()] * int(kept.sum()), rows["asset_id"].type), *[pa.array(np.full(kept.sum(), v), pa.int32()) for v in (dw, dh)]]
-        return pa.table([*ids, *columns], names=["asset_id", "w", "h", "y", *planes])
+        scale = h / dh
+        total, share, reached = np.zeros((len(lines), 4, dw)), np.zeros((len(lines), 1, 1)), np.zeros((len(lines), 1, 1), bool)
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("asset_id").type
+            y = batch["y"].to_numpy()
+            values = np.stack([batch[c].flatten().to_numpy().reshape(len(y), dw) for c in planes], axis=1)
+            for at, v in zip(y, values, strict=True):
+                t = (at + 0.5 - (lines + 0.5) * scale) / max(scale, 1.0)
+                near = np.flatnonzero(np.abs(t) <= 3.0)
+                weight = np.where(np.abs(t[near]) < 3.0, np.sinc(t[near]) * np.sinc(t[near] / 3.0), 0.0)[:, None, None]
+                known = ~np.isnan(v)
+                if not known.all():
+                    if share.shape != total.shape:  # from the first gap on, each sample has its own share
+                        share, reached = np.broadcast_to(share, total.shape).copy(), np.broadcast_to(reached, total.shape).copy()
+                    v = np.where(known, v, 0.0)
+                whole = share.shape != total.shape
+                total[near] += weight * v
+                share[near] += weight if whole else weight * known
+                reached[near] |= True if whole else known
+        with np.errstate(invalid="ignore", divide="ignore"):
+            linear = np.where(reached, total / share, np.nan).swapaxes(0, 1)
+        kept = ~np.isnan(linear[3]).all(axis=1)
+        linear = linear[:, kept]
+        n = int(kept.sum())
+        ids = [pa.array([key[0].as_py()] * n, kind), *[pa.array(np.full(n, v), pa.int32()) for v in (dw, dh)], pa.array(lines[kept], pa.int32())]
+        yield pa.RecordBatch.from_arrays([*ids, *_encoded(linear, top)], names=["asset_id", "w", "h", "y", *planes])
     return run
 
 
 def resample_lines(lines: DataFrame, depth: int = 8, band_lines: int = BAND_LINES) -> DataFrame:
     """Separable Lanczos-3 of scanlines to ``dw x dh`` in linear light; alpha linear, untransformed.
 
-    Every line is copied to the bands of destination lines it reaches, and one shuffle on (asset, band) brings a band
-    together: as many destination lines as about ``band_lines`` source lines make, plus the reach of the kernel on both
-    sides. Both passes over a band are small matrix products. Rasters that keep their size skip the shuffle and come back
-    as they are. Samples outside the raster do not exist; weights are renormalised over those that do.
+    Lines are brought to their new width where they are read, tap by tap, so that what moves is as wide as the result.
+    Every line is then copied to the bands of destination lines it reaches; one shuffle on (asset, band) brings a band
+    together, where lines are added to at most ``band_lines`` destination lines as they stream in. Rasters that keep
+    their height skip the shuffle, those that keep their size come back as they are. Samples outside the raster do not
+    exist; weights are renormalised over those that do.
     """
     require(lines, "asset_id", "w", "h", "y", "dw", "dh", *CHANNELS, "a")
     c, planes = F.col, (*CHANNELS, "a")
@@ -177,15 +243,19 @@ def resample_lines(lines: DataFrame, depth: int = 8, band_lines: int = BAND_LINE
     same = (c("w") == c("dw")) & (c("h") == c("dh"))
     whole = lambda n: c(n).cast("array<int>").alias(n)
     untouched = lines.where(same).select("asset_id", *dims, c("y").cast("int").alias("y"), *[whole(n) for n in planes])
-    per_band = F.greatest(F.lit(1), F.floor(band_lines * c("dh") / c("h"))).cast("int")
-    lo, hi = _taps(c("y"), c("h"), c("dh"))
+    kind = lines.schema["asset_id"].dataType.simpleString()
     sized = lines.where(~same).select("asset_id", *[c(n).cast("int").alias(n) for n in ("w", "h", "dw", "dh", "y")], *[whole(n) for n in planes])
-    moved = (sized.withColumns({"_lo": lo, "_hi": hi, "_per": per_band}).where("_lo <= _hi")
+    columns = lambda t: f"asset_id {kind}, w int, h int, dw int, dh int, y int, " + ", ".join(f"{n} array<{t}>" for n in planes)
+    flat = sized.where("h = dh").mapInArrow(_line_resampler(depth, True), columns("int")).select("asset_id", *dims, "y", *planes)
+    # no fewer than 8 lines in a band, or a strong shrink would copy each line often; no more than fit, or an enlargement would be one band
+    per_band = F.greatest(F.lit(1), F.least(F.lit(band_lines), F.greatest(F.lit(8), F.floor(band_lines * c("dh") / c("h"))), F.floor(F.lit(BLOCK_SAMPLES) / c("dw")))).cast("int")
+    lo, hi = _taps(c("y"), c("h"), c("dh"))
+    moved = (sized.where("h <> dh").mapInArrow(_line_resampler(depth, False), columns("double"))
+             .withColumns({"_lo": lo, "_hi": hi, "_per": per_band}).where("_lo <= _hi")
              .withColumn("_band", F.explode(F.sequence(F.floor(c("_lo") / c("_per")), F.floor(c("_hi") / c("_per"))))).drop("_lo", "_hi"))
-    kind = lines.schema["asset_id"].dataType.simpleString()
     made = moved.groupBy("asset_id", "w", "h", "dw", "dh", "_per", "_band").applyInArrow(
-        _band_resampler(depth), f"asset_id {kind}, w int, h int, y int, r array<int>, g array<int>, b array<int>, a array<int>")
-    return untouched.union(made)
+        _band_summer(depth), f"asset_id {kind}, w int, h int, y int, r array<int>, g array<int>, b array<int>, a array<int>")
+    return untouched.union(flat).union(made)
 
 
 def resample(px: DataFrame, depth: int = 8) -> DataFrame:

@@ -121,3 +121,27 @@ def test_resampling_plan_and_bands(spark):
     assert one == many and sorted(one) == list(range(40)) and {len(v[0]) for v in one.values()} == {5}
     plan = R.resample_lines(sized)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "FlatMapGroupsInArrow" in plan
+
+
+def test_strong_shrink_and_enlargement_stay_small(spark):
+    """A kernel of thousands of taps, summed as lines stream in: no more memory than the destination's band takes."""
+    import tracemalloc
+
+    import numpy as np
+    w = h = 3000
+    at, weight, inside = R._kernel(6, w)
+    assert at.shape == weight.shape == inside.shape and at.shape[1] <= 6 * w / 6 + 2
+    line = np.random.default_rng(1).random((4, 1, w))
+    tracemalloc.start()
+    got = R._across(line, (at, weight, inside))
+    assert tracemalloc.get_traced_memory()[1] < 4_000_000
+    tracemalloc.stop()
+    t = (np.arange(w) + 0.5 - (np.arange(6)[:, None] + 0.5) * 500) / 500
+    dense = np.where(np.abs(t) < 3, np.sinc(t) * np.sinc(t / 3), 0)
+    assert np.allclose(got[:, 0], line[:, 0] @ (dense / dense.sum(axis=1, keepdims=True)).T)
+    rows = [(1, 2, h, y, 2, 3, *([[y % 256, 7]] * 4)) for y in range(h)]
+    lines = spark.createDataFrame(rows, "asset_id BIGINT, w INT, h INT, y INT, dw INT, dh INT, r ARRAY<INT>, g ARRAY<INT>, b ARRAY<INT>, a ARRAY<INT>")
+    shrunk = {r.y: r.a for r in R.resample_lines(lines).collect()}
+    assert sorted(shrunk) == [0, 1, 2] and all(x[1] == 7 and 100 < x[0] < 156 for x in shrunk.values())
+    tall = R.resample_lines(lines.where("y < 4").selectExpr("asset_id", "w", "4 AS h", "y", "dw", "2000 AS dh", "r", "g", "b", "a"))
+    assert sorted(r.y for r in tall.collect()) == list(range(2000))
