@@ -225,7 +225,9 @@ def w4_stream(spark, sf):
     HAVING max(t) + INTERVAL '10 minutes' <= (SELECT date_trunc('millisecond', max(t)) - INTERVAL '10 minutes' FROM t)""")
 def w4_global_stream(spark, sf):
     """All changes as one feed, in bursts."""
-    return ntz(drained(spark, W.debounce_stream(change_stream(spark, sf), "10 minutes", "10 minutes"), "bursts"), "first_change", "last_change")
+    feed = W.BurstFeed(spark, fresh_dir(spark, "bursts"), 600, 600)
+    run_available(change_stream(spark, sf), f"{feed.root}/checkpoint", each=feed)
+    return ntz(feed.bursts(), "first_change", "last_change")
 
 
 @query("w5_late_data", ctes(EV) + """SELECT event_type, start, start + INTERVAL '1 hour' AS "end", count(*) AS changes FROM (SELECT *, date_trunc('hour', event_time) AS start FROM changes)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,12 +54,20 @@ def debounce(changes: DataFrame, gap_seconds: float, keys: list[str] | None = No
     """
     keys = keys or []
     gap = int(gap_seconds * 1_000_000)
-    micros = F.unix_micros(C(time).cast("timestamp"))
-    bucket = F.floor(micros / gap)
+    at = F.unix_micros(C(time).cast("timestamp"))
+    out = _chained(_cells(changes.select(*keys, at.alias("_s"), at.alias("_e"), F.lit(1).alias("_n")), gap, keys), gap, keys)
+    return out.select(*keys, F.timestamp_micros("_s").alias("first_change"), F.timestamp_micros("_e").alias("last_change"), C("_n").alias("changes"))
+
+
+def _cells(spans: DataFrame, gap: int, keys: list[str]) -> DataFrame:
+    """Spans ``_s, _e, _n`` in buckets ``_b`` one gap wide, by where they end; spans of a bucket belong to one burst."""
+    return spans.groupBy(*keys, F.floor(C("_e") / gap).alias("_b")).agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.sum("_n").alias("_n"))
+
+
+def _chained(cells: DataFrame, gap: int, keys: list[str]) -> DataFrame:
+    """Cells joined to bursts ``_s, _e, _n`` inside chunks, then over the edges of chunks."""
     part = lambda *more: Window.partitionBy(*keys, *more) if keys or more else Window.partitionBy()
-    cells = changes.groupBy(*keys, bucket.alias("_b")).agg(
-        F.min(micros).alias("_s"), F.max(micros).alias("_e"), F.count(F.lit(1)).alias("_n")).withColumn(
-        "_c", F.floor(C("_b") / CHUNK_BUCKETS))
+    cells = cells.withColumn("_c", F.floor(C("_b") / CHUNK_BUCKETS))
     inside = part("_c").orderBy("_b")
     opened = F.coalesce(C("_s") - F.lag("_e").over(inside) > gap, F.lit(True))
     bursts = cells.withColumn("_o", opened.cast("int")).withColumn("_i", F.sum("_o").over(inside)).groupBy(*keys, "_c", "_i").agg(
@@ -72,22 +81,74 @@ def debounce(changes: DataFrame, gap_seconds: float, keys: list[str] | None = No
     placed = bursts.join(edges.select(*keys, "_c", "_k", "_run", "_next"), [*keys, "_c"])
     chained = (F.when(C("_i") == 1, C("_run")).when((C("_i") == C("_k")) & C("_next"), C("_run") + 1))
     own = F.when(chained.isNull(), F.struct("_c", "_i"))
-    out = placed.withColumns({"_g": chained, "_own": own}).groupBy(*keys, "_g", "_own").agg(
-        F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.sum("_n").alias("changes"))
-    return out.select(*keys, F.timestamp_micros("_s").alias("first_change"), F.timestamp_micros("_e").alias("last_change"), "changes")
+    return placed.withColumns({"_g": chained, "_own": own}).groupBy(*keys, "_g", "_own").agg(
+        F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.sum("_n").alias("_n"))
 
 
-def debounce_stream(changes: DataFrame, gap: str, delay: str, keys: list[str] | None = None) -> DataFrame:
-    """Streaming form: session windows closed once the watermark passes them.
+def debounce_stream(changes: DataFrame, gap: str, delay: str, keys: list[str]) -> DataFrame:
+    """Streaming form by key: session windows closed once the watermark passes them. :class:`BurstFeed` is for a feed without keys."""
+    if not keys:
+        raise ValueError("without keys the whole feed would be one state group: use BurstFeed")
+    grouped = changes.withWatermark("event_time", delay).groupBy(F.session_window("event_time", gap).alias("_w"), *keys)
+    return grouped.agg(F.min("event_time").alias("first_change"), F.max("event_time").alias("last_change"),
+                       F.count(F.lit(1)).alias("changes")).drop("_w")
+
+
+class BurstFeed:
+    """``foreachBatch`` body that debounces a feed without keys; no task sees the whole feed.
 
-    Without keys the whole feed is one session group (Spark wants a key, so a constant stands in); sessions are merged
-    within every input partition first, so that group sees bursts, not events.
+    Every batch collapses its events and the open cells of the batch before to gap-wide cells, joins them in chunks as
+    :func:`debounce` does, and writes the bursts that the watermark (largest event time less ``delay_seconds``, to the
+    millisecond) has closed. State are the cells that can still change, one per gap since the watermark, and one for all
+    that came before in a burst that goes on; so it is bounded however long a burst lasts. Events so late that their own
+    burst would have closed are dropped. A replayed epoch reads the state of the epoch before it and overwrites its own
+    files.
     """
-    group = keys or ["_feed"]
-    keyed = changes if keys else changes.withColumn("_feed", F.lit(0))
-    grouped = keyed.withWatermark("event_time", delay).groupBy(F.session_window("event_time", gap).alias("_w"), *group)
-    return grouped.agg(F.min("event_time").alias("first_change"), F.max("event_time").alias("last_change"),
-                       F.count(F.lit(1)).alias("changes")).drop("_w", "_feed")
+
+    SPANS = "_s BIGINT, _e BIGINT, _n BIGINT"
+
+    def __init__(self, spark: SparkSession, root: str, gap_seconds: float, delay_seconds: float, time: str = "event_time") -> None:
+        self.spark, self.root, self.time = spark, root, time
+        self.gap, self.delay = int(gap_seconds * 1_000_000), int(delay_seconds * 1_000_000)
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema + ", epoch BIGINT").parquet(f"{self.root}/{name}")
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema + ", epoch BIGINT")
+
+    def _write(self, df: DataFrame, name: str, epoch: int) -> DataFrame:
+        path = f"{self.root}/{name}/epoch={epoch}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        before = self._table("marks", "mark BIGINT").where(C("epoch") < epoch).orderBy(F.desc("epoch")).first()
+        at = F.unix_micros(C(self.time).cast("timestamp"))
+        spans = batch.where(C(self.time).isNotNull()).select(at.alias("_s"), at.alias("_e"), F.lit(1).cast("bigint").alias("_n"))
+        if before:
+            spans = spans.where(C("_e") + self.gap > before.mark).union(self._table("open", self.SPANS).where(C("epoch") == before.epoch).drop("epoch"))
+        cells = self._write(_cells(spans, self.gap, []), "cells", epoch)
+        newest = cells.agg(F.max("_e")).first()[0]
+        marks = ([] if newest is None else [newest // 1000 * 1000 - self.delay]) + ([before.mark] if before else [])
+        if not marks:  # nothing has come yet
+            return
+        mark = max(marks)
+        bursts = self._write(_chained(cells, self.gap, []).select("_s", "_e", "_n"), "joined", epoch)
+        closed = C("_e") + self.gap <= mark
+        self._write(bursts.where(closed), "closed", epoch)
+        low = bursts.where(~closed).agg(F.min("_s")).first()[0]
+        rest = cells.where(C("_s") >= low) if low is not None else cells.limit(0)  # bursts do not overlap: from here on all are open
+        # no event can come any more where the watermark lies a gap behind: those cells are one span of the burst that goes on
+        settled = F.when(C("_e") + self.gap <= mark, F.lit(None)).otherwise(C("_b"))
+        self._write(rest.groupBy(settled.alias("_b")).agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.sum("_n").alias("_n")).select("_s", "_e", "_n"), "open", epoch)
+        self._write(self.spark.createDataFrame([(mark,)], "mark BIGINT"), "marks", epoch)
+
+    def bursts(self) -> DataFrame:
+        """``first_change, last_change, changes`` of all closed bursts."""
+        return self._table("closed", self.SPANS).select(F.timestamp_micros("_s").alias("first_change"), F.timestamp_micros("_e").alias("last_change"), C("_n").alias("changes"))
 
 
 def dedup_stream(changes: DataFrame, keys: list[str], delay: str) -> DataFrame:
