@@ -8,14 +8,21 @@ resolved while the plan is built, so no join or shuffle is needed to find anythi
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from os.path import commonprefix
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.paths import glob_matches, parent_dir, prefix_matches, under
+from ..session import written
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # its Python functions travel with the job
 
 C = F.col
 
@@ -242,24 +249,74 @@ def sort_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy("file", "severity_rank", "rule")
 
 
-def nearest_config(paths: DataFrame, configs: DataFrame, path: str = "path", salts: int = 16) -> DataFrame:
+_LEVEL = "\x01"  # sorts before all that a name holds, so that a directory is followed by all below it
+
+
+def _folder_key(folder: Column) -> Column:
+    """A directory as its names, each ended by a level mark: ancestors are prefixes."""
+    return F.when(folder == "", "").otherwise(F.concat(F.translate(folder, "/", _LEVEL), F.lit(_LEVEL)))
+
+
+def _nearest_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walks directories in order with the stack of config folders above the present one.
+
+    A row below no config folder of its own task may still lie below some that came before: it gets the number of levels
+    that it shares with the task's first directory, whose ancestors are looked up afterwards. That directory is a row of
+    its own, of level -1.
+    """
+    stack: list[tuple[str, str, object]] = []
+    first = None
+    for batch in batches:
+        keys, kinds, dirs, configs = (batch[n].to_pylist() for n in ("key", "kind", "dir", "config"))
+        rows, opening, found, levels = [], [], [], []
+        for i, key in enumerate(keys):
+            if key is None:
+                if kinds[i]:
+                    rows.append(i), opening.append(None), found.append((None, None)), levels.append(None)
+                continue
+            if first is None:
+                first = key
+                rows.append(i), opening.append(key), found.append((None, None)), levels.append(-1)
+            while stack and not key.startswith(stack[-1][0]):
+                stack.pop()
+            if not kinds[i]:
+                stack.append((key, dirs[i], configs[i]))
+                continue
+            rows.append(i), opening.append(None)
+            found.append(stack[-1][1:] if stack else (None, None))
+            levels.append(None if stack else commonprefix([first, key]).count(_LEVEL))  # levels that end in both
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch["p"].take(at), batch["path"].take(at), pa.array(opening, pa.string()), pa.array([d for d, _ in found], pa.string()),
+                                          pa.array([c for _, c in found], batch["config"].type), pa.array(levels, pa.int32())],
+                                         names=["p", "path", "key", "dir", "config", "level"])
+
+
+def nearest_config(paths: DataFrame, configs: DataFrame, path: str = "path") -> DataFrame:
     """The config of the closest directory above each path.
 
-    Only the distinct directories fan out to their ancestors (bounded by depth) and
-    meet ``configs`` (``dir, config``) by equality, so the config table may be of any
-    size. The answer per directory then meets the paths salted, as one directory may
-    hold a third of them.
+    Paths and ``configs`` (``dir, config``; of equal ``dir`` one counts) are range-partitioned together in the order of
+    directories, a directory before all below it, and each task walks its range with a stack of config folders. Paths
+    are part of the order, so a directory that holds a third of them is dealt to several tasks. What lies above a whole
+    range is looked up once per task, for its first directory and that one's ancestors. A null path has no config.
     """
     home = parent_dir(C(path))
-    parts = F.split(C("_home"), "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    dirs = paths.select(home.alias("_home")).distinct()
-    up = dirs.select("_home", F.explode(F.array_union(F.array(F.lit("")), above)).alias("dir"))
-    best = up.join(configs.select("dir", "config"), "dir").groupBy("_home").agg(
-        F.max_by(F.struct("dir", "config"), F.length("dir")).alias("_c"))
-    spread = best.select("_home", "_c", F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("_salt"))
-    salted = paths.select(path, home.alias("_home"), F.pmod(F.xxhash64(path), F.lit(salts)).cast("int").alias("_salt"))
-    return salted.join(spread, ["_home", "_salt"], "left").select(path, C("_c.dir").alias("dir"), C("_c.config").alias("config"))
+    config_type = configs.schema["config"].dataType.simpleString()
+    kind = paths.schema[path].dataType.simpleString()
+    rows = paths.select(_folder_key(home).alias("key"), F.lit(1).alias("kind"), C(path).alias("path"), F.lit(None).cast("string").alias("dir"), F.lit(None).cast(config_type).alias("config")).union(
+        configs.select(_folder_key(C("dir")), F.lit(0), F.lit(None).cast(kind), "dir", "config"))
+    order = ["key", "kind", "path"]
+    walked = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("p", F.spark_partition_id())
+                     .mapInArrow(_nearest_in_order, f"p int, path {kind}, key string, dir string, config {config_type}, level int"), "walked")
+    names = F.split("key", _LEVEL)
+    level = F.posexplode(F.transform(F.sequence(F.lit(0), F.size(names) - 1), lambda n: F.array_join(F.slice(names, F.lit(1), n), "/")))
+    starts = walked.where("level = -1").select("p", level.alias("level", "up")).join(
+        configs.groupBy("dir").agg(F.any_value("config").alias("above")).withColumn("up", C("dir")), "up", "left")
+    so_far = Window.partitionBy("p").orderBy("level")
+    # as many rows as tasks have levels
+    open_ = starts.select("p", "level", F.last(F.when(C("dir").isNotNull(), F.struct("dir", "above")), ignorenulls=True).over(so_far).alias("_up"))
+    left = walked.where("level is null or level >= 0").join(open_, ["p", "level"], "left")
+    return left.select(C("path").alias(path), F.coalesce("dir", "_up.dir").alias("dir"),
+                       F.when(C("dir").isNotNull(), C("config")).otherwise(C("_up.above")).alias("config"))
 
 
 def savings_findings(df: DataFrame, config: LintConfig | None = None) -> DataFrame:
