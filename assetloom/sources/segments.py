@@ -14,11 +14,12 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import trees
 from .sniff import header_dims, sniff_format
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # its Python functions travel with the job
 
-HEAD = 32
+HEAD, INFO_HEAD = 32, 64
 JPEG_NAMES = {0xFE: "COM", 0xDB: "DQT", 0xC4: "DHT", 0xDD: "DRI", 0xDA: "SOS"}
 STANDALONE = {0x01, 0xD8, 0xD9, *range(0xD0, 0xD8)}
 
@@ -105,6 +106,11 @@ READERS: list[tuple[Callable[[bytes], bool], Callable[[bytes], Iterator[tuple[st
     (lambda h: h[:3] == b"GIF", _gif),
     (lambda h: h[:4] == b"RIFF" and h[8:12] == b"WEBP", _riff),
 ]
+#: Readers of trees, whose nodes are no segments: only their declared facts are wanted.
+TREE_READERS = [
+    (lambda h: h[:4] in (b"II*\0", b"MM\0*"), trees.tiff),
+    (lambda h: h[4:8] == b"ftyp", trees.heif),
+]
 
 
 def register_reader(test: Callable[[bytes], bool], read: Callable[[bytes], Iterator[tuple[str, int, int, int]]]) -> None:
@@ -137,7 +143,7 @@ def _walker(head: int, readers):
     return run
 
 
-def with_segments(df: DataFrame, content: str = "content", head: int = HEAD) -> DataFrame:
+def with_segments(df: DataFrame, content: str = "content", head: int = HEAD, readers=None) -> DataFrame:
     """``df`` with ``segs`` in place of the content: the segments of each row, with ``head`` bytes of every payload.
 
     Containers arrive as Arrow buffers and are walked in place; nothing is copied but the heads.
@@ -145,7 +151,7 @@ def with_segments(df: DataFrame, content: str = "content", head: int = HEAD) ->
     rest = [c for c in df.columns if c != content]
     wide = df.select(*rest, F.col(content).cast("binary").alias(content))
     schema = ", ".join(f"`{c}` {wide.schema[c].dataType.simpleString()}" for c in rest)
-    return wide.mapInArrow(_walker(head, list(READERS)), f"{schema}, segs {SEGMENT}")
+    return wide.mapInArrow(_walker(head, list(READERS if readers is None else readers)), f"{schema}, segs {SEGMENT}")
 
 
 def segments(df: DataFrame, content: str = "content", key: str = "asset_id", head: int = HEAD) -> DataFrame:
@@ -214,29 +220,55 @@ def is_animated(facts: DataFrame, fmt: str = "format") -> DataFrame:
         F.when(f == "gif", F.col("frames") >= 2).when(f == "png", F.col("has_actl")).when(f == "webp", F.col("webp_anim")), no))
 
 
+def _declared_columns() -> dict[str, Column]:
+    """Size, samples and depth of the first TIFF directory, or of the primary item of an AVIF or HEIC file."""
+    def first(test, value):
+        return F.get(F.transform(F.filter("segs", test), value), F.lit(0))
+
+    def tag(number: int):
+        """First value of a tag, a SHORT or a LONG in the file's byte order."""
+        def value(s):
+            raw = F.substring(s["head"], 1, F.when(s["kind"].endswith(":4"), 4).otherwise(2))
+            turned = F.when(s["kind"].startswith("II"), F.array_join(F.reverse(F.regexp_extract_all(F.hex(raw), F.lit("(..)"), F.lit(1))), "")).otherwise(F.hex(raw))
+            return F.conv(turned, 16, 10).cast("bigint")
+        return first(lambda s: s["kind"].rlike(f"^(II|MM)0:{number}:[34]$"), value)
+
+    be = lambda s, at, n: F.conv(F.hex(F.substring(s["head"], at + 1, n)), 16, 10).cast("bigint")
+    item = lambda name, at, n: first(lambda s: s["kind"] == name, lambda s: be(s, at, n))
+    turned = F.coalesce(item("irot*", 0, 1) % 2 == 1, F.lit(False))
+    w, h = item("ispe*", 4, 4), item("ispe*", 8, 4)
+    alpha = F.exists("segs", lambda s: (s["kind"] == "auxC") & F.contains(F.hex(s["head"]), F.lit(b"alpha".hex().upper())))
+    return {"tree_width": F.coalesce(tag(256), F.when(turned, h).otherwise(w)), "tree_height": F.coalesce(tag(257), F.when(turned, w).otherwise(h)),
+            "tree_bits": F.coalesce(tag(258), item("pixi*", 5, 1)), "samples": tag(277), "ink": F.coalesce(tag(262) == 5, F.lit(False)), "aux_alpha": alpha}
+
+
 def asset_info(df: DataFrame, content: str = "content", key: str = "asset_id") -> DataFrame:
     """Format, size, colour layout and metadata presence of every asset, without decoding.
 
-    Header facts are expressions, segment facts are read off the walked segments of the same row: one pass over the
+    Sizes of TIFF come from the first directory, those of AVIF and HEIC from the primary item's properties, turned as
+    they say. Header facts are expressions, segment facts are read off the walked segments of the same row: one pass over the
     bytes and no shuffle. Assets without any segment keep their row.
     """
     body = F.col(content)
     byte = lambda i: F.conv(F.hex(F.substring(body, i + 1, 1)), 16, 10).cast("int")
     base = header_dims(df.withColumn("format", sniff_format(body)), content)
     png = F.col("format") == "png"
-    known = F.col("format").isin("png", "jpeg", "gif", "webp")
+    known = F.col("format").isin("png", "jpeg", "gif", "webp", "tiff", "avif", "heic")
     flat = base.select(key, "format", F.octet_length(body).cast("bigint").alias("file_bytes"), "width", "height",
                        F.when(png, F.greatest(byte(24), F.lit(8))).otherwise(F.lit(8)).alias("bit_depth"),
                        F.when(png, byte(25)).alias("_ct"), F.when(known, body).alias("_content"))  # only what has segments goes to Python
-    joined = is_animated(with_segments(flat, "_content").withColumns(_segment_columns()).drop("segs"))
+    walked = with_segments(flat, "_content", INFO_HEAD, [*READERS, *TREE_READERS])
+    joined = is_animated(walked.withColumns({**_segment_columns(), **_declared_columns()}).drop("segs"))
     fmt = F.col("format")
     channels = (F.when(fmt == "png", F.when(F.col("_ct") == 0, F.when(F.col("has_trns"), 2).otherwise(1)).when(F.col("_ct") == 4, 2)
                        .when((F.col("_ct") == 6) | F.col("has_trns"), 4).otherwise(3))
                 .when(fmt == "jpeg", F.when(F.col("components") == 1, 1).otherwise(3))
-                .when(fmt == "gif", 4).when(fmt == "webp", F.when(F.col("webp_alpha"), 4).otherwise(3)).when(fmt == "bmp", 3))
-    w, h = F.coalesce("width", "sof_width"), F.coalesce("height", "sof_height")
+                .when(fmt == "gif", 4).when(fmt == "webp", F.when(F.col("webp_alpha"), 4).otherwise(3)).when(fmt == "bmp", 3)
+                .when(fmt == "tiff", F.coalesce("samples", F.lit(1))).when(fmt.isin("avif", "heic"), F.when(F.col("aux_alpha"), 4).otherwise(3)))
+    w, h = F.coalesce("width", "sof_width", "tree_width"), F.coalesce("height", "sof_height", "tree_height")
+    depth = F.coalesce(F.when(fmt.isin("tiff", "avif", "heic"), F.col("tree_bits")), F.col("bit_depth")).cast("int")
     return joined.select(
         key, "format", w.alias("width"), h.alias("height"), "file_bytes",
-        (w * h * channels * F.floor(F.col("bit_depth") / 8)).alias("decoded_bytes"), channels.alias("channels"), "bit_depth",
-        channels.isin(2, 4).alias("has_alpha"), F.coalesce("has_exif", F.lit(False)).alias("has_exif"),
+        (w * h * channels * F.greatest(F.lit(1), F.ceil(depth / 8))).alias("decoded_bytes"), channels.alias("channels"), depth.alias("bit_depth"),
+        (channels.isin(2, 4) & ~F.col("ink")).alias("has_alpha"), F.coalesce("has_exif", F.lit(False)).alias("has_exif"),
         F.coalesce("has_icc", F.lit(False)).alias("has_icc"), "animated")
