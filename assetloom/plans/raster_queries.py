@@ -208,6 +208,35 @@ def r14(spark, sf):
     return R.composite_tiled(I.alpha_pixels(spark, sf), overlay(spark, sf), 12, 10)
 
 
+def overlay_lines(spark, sf):
+    px = overlay(spark, sf)
+    return R.collect_scanlines(px.withColumns({"asset_id": F.lit(0), "w": F.lit(12), "h": F.lit(10)})).select("y", "r", "g", "b", "a")
+
+
+def alpha_lines(spark, sf):
+    return R.collect_scanlines(I.alpha_pixels(spark, sf))
+
+
+PIXEL = ["asset_id", "w", "h", "x", "y", "r", "g", "b", "a"]
+
+
+@query("r13_composite_lines", ctes(PX, APX, OVERLAY) + _blend_sql("apx", "apx.x - 25 = vx AND apx.y - 3 = vy"))
+def r13_lines(spark, sf):
+    return R.explode_pixels(R.composite_lines(alpha_lines(spark, sf), overlay_lines(spark, sf), 25, 3)).select(PIXEL)
+
+
+@query("r13_watermark_lines", ctes(PX, APX, OVERLAY) + "SELECT asset_id, w, h, x, y, r, g, b, CASE WHEN asset_id % 4 = 1 THEN a ELSE 255 END AS a FROM ("
+       + _blend_sql("apx", "apx.x - 18 = vx AND apx.y - 20 = vy", "round(va * 0.5::DOUBLE)") + ")")
+def r13_watermark_lines(spark, sf):
+    out = R.watermark_lines(alpha_lines(spark, sf), overlay_lines(spark, sf), 12, 10, "southeast", 2, 0.5, had_alpha=F.col("asset_id") % 4 == 1)
+    return R.explode_pixels(out).select(PIXEL)
+
+
+@query("r14_composite_tiled_lines", ctes(PX, APX, OVERLAY) + _blend_sql("apx", "apx.x % 12 = vx AND apx.y % 10 = vy"))
+def r14_lines(spark, sf):
+    return R.explode_pixels(R.composite_lines(alpha_lines(spark, sf), overlay_lines(spark, sf), tile=10)).select(PIXEL)
+
+
 @query("r15_overlay_opacity", ctes(PX, APX) + """SELECT asset_id, x, y, r, g, b, CASE WHEN asset_id % 3 = 0 THEN a
     ELSE CAST(round(a * 0.35::DOUBLE) AS BIGINT) END AS a FROM apx""")
 def r15(spark, sf):

@@ -145,3 +145,18 @@ def test_strong_shrink_and_enlargement_stay_small(spark):
     assert sorted(shrunk) == [0, 1, 2] and all(x[1] == 7 and 100 < x[0] < 156 for x in shrunk.values())
     tall = R.resample_lines(lines.where("y < 4").selectExpr("asset_id", "w", "4 AS h", "y", "dw", "2000 AS dh", "r", "g", "b", "a"))
     assert sorted(r.y for r in tall.collect()) == list(range(2000))
+
+
+def test_overlays_meet_lines(spark, make_px):
+    """Line form and pixel form agree where the overlay sticks out on any side; the join is by line."""
+    base = make_px({1: (9, 7, lambda x, y: (x * 20, y * 30, 5, (x * 40) % 256)), 2: (4, 3, lambda x, y: (9, 9, 9, 255))})
+    over = make_px({0: (5, 4, lambda x, y: (200, x * 10, y * 10, 0 if x == y else 100 + x * 30))})
+    lines, over_lines = R.collect_scanlines(base), R.collect_scanlines(over).select("y", "r", "g", "b", "a")
+    side = over.select("x", "y", "r", "g", "b", "a")
+    for ox, oy in ((0, 0), (-2, -1), (7, 5), (3, 2), (40, 40), (-9, 0)):
+        want = sorted(R.composite(base, side, ox, oy).select(*base.columns).collect())
+        assert sorted(R.explode_pixels(R.composite_lines(lines, over_lines, ox, oy)).select(*base.columns).collect()) == want
+    want = sorted(R.composite_tiled(base, side, 5, 4).select(*base.columns).collect())
+    out = R.composite_lines(lines, over_lines, tile=4)
+    assert sorted(R.explode_pixels(out).select(*base.columns).collect()) == want
+    assert out.count() == lines.count() and "_oy" in out._jdf.queryExecution().executedPlan().toString()
