@@ -21,6 +21,8 @@ COSINE = 0.93
 BLOCK = 1024
 #: Rows of a query block and of a candidate block in the search.
 QUERY_BLOCK, BASE_BLOCK = 1024, 8192
+#: Numbers of survivors' vectors that a tile holds at a time.
+SLICE = 1 << 22
 
 
 def usable(vector: Column) -> Column:
@@ -194,12 +196,16 @@ def _tile(k: int):
             own = quid[:, None] == buid[None, :]
             low = np.where(own, -np.inf, approx - bound)
             kth = np.partition(low, len(buid) - k, axis=1)[:, len(buid) - k] if len(buid) > k else np.full(len(quid), -np.inf)
-            r, c = np.nonzero((approx + bound >= kth[:, None]) & ~own)
-            exact = np.einsum("ij,ij->i", x[r], y[c])
-            cut = np.searchsorted(r, np.arange(len(quid) + 1))
-            for i in range(len(quid)):
-                best = heapq.nsmallest(k, ((-exact[p], vec[c[p]] is None, vec[c[p]] or 0, p) for p in range(cut[i], cut[i + 1])))
-                found += [(int(quid[i]), int(buid[c[p]]), vec[c[p]], -s) for s, _, _, p in best]
+            survives = (approx + bound >= kth[:, None]) & ~own
+            del approx, bound, low, own
+            step = max(1, SLICE // (len(buid) * x.shape[1]))  # where many candidates tie, all of them survive
+            for start in range(0, len(quid), step):
+                r, c = np.nonzero(survives[start:start + step])
+                exact = np.einsum("ij,ij->i", x[start + r], y[c])
+                cut = np.searchsorted(r, np.arange(min(step, len(quid) - start) + 1))
+                for i in range(len(cut) - 1):
+                    best = heapq.nsmallest(k, ((-exact[p], vec[c[p]] is None, vec[c[p]] or 0, p) for p in range(cut[i], cut[i + 1])))
+                    found += [(int(quid[start + i]), int(buid[c[p]]), vec[c[p]], -s) for s, _, _, p in best]
         columns = list(zip(*found, strict=True)) or [(), (), (), ()]
         return pa.table([pa.array(list(v), t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)],
                         names=["quid", "uid", "vec_id", "score"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,17 @@ def test_components(spark):
     far = {r.node: r.component for r in connected_components(spark.createDataFrame([(i, i + 1) for i in range(64)] + [(90, 80)], "a bigint, b bigint")).collect()}
     assert far[64] == 0 and far[90] == 80
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_a_tile_of_ties_takes_little_memory():
+    """Equal queries and equal candidates: every pair survives, slice by slice."""
+    import tracemalloc
+    one = np.random.default_rng(2).random(64)
+    side = lambda n, first, **more: pa.table({"uid": pa.array(range(first, first + n), pa.int64()), "vector": pa.array([one] * n), **more})
+    queries, base = side(500, 0), side(4000, 10_000, id=pa.array(range(4000, 0, -1), pa.int64()))
+    tracemalloc.start()
+    out = vectors._tile(20)(None, queries, base)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400_000_000
+    assert out.num_rows == 500 * 20 and out.slice(20, 20)["vec_id"].to_pylist() == list(range(1, 21))
