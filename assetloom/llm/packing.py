@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,44 +31,60 @@ def word_count(text: Column) -> Column:
 
 
 def best_fit(items: list[tuple[int, int, int]], capacity: int, source_slots: int) -> list[int]:
-    """The bin of each item ``(n_tokens, source, cluster)``, in the order given.
+    """The bin of each item ``(n_tokens, source, cluster)``, in the order given; a negative cluster is that item's own.
 
     ``source`` and ``cluster`` are small numbers: bit ``source * source_slots + s`` of a bin's bitmap says that slot s
-    of the source is taken, bit ``cluster`` of the other that the cluster is present.
+    of the source is taken, bit ``cluster`` of the other that the cluster is present. While size and source (and
+    cluster) of the items stay the same, what a search has passed over stays in conflict, so the next one starts behind.
     """
     by_residual: list[tuple[int, int]] = []
     sources: list[int] = []
     clusters: list[int] = []
     chosen = []
     full = (1 << source_slots) - 1
+    end = (capacity + 1, 0)
+    run = alike = None
+    open_from = tried_from = end  # before these, no bin has a slot of the source; or none is free of the cluster
     for need, source, cluster in items:
-        shift, mark = source * source_slots, 1 << cluster
-        at = bisect_left(by_residual, (need, -1))
+        shift, mark = source * source_slots, 1 << cluster if cluster >= 0 else 0
+        if run != (need, source):
+            run, alike, open_from = (need, source), None, (need, -1)
+        at = bisect_left(by_residual, open_from)
+        while at < len(by_residual) and (sources[by_residual[at][1]] >> shift) & full == full:
+            at += 1
+        open_from = by_residual[at] if at < len(by_residual) else end
+        if mark and alike == cluster and tried_from > open_from:
+            at = bisect_left(by_residual, tried_from)
         while at < len(by_residual):
             b = by_residual[at][1]
             if not clusters[b] & mark and (sources[b] >> shift) & full != full:
                 break
             at += 1
         if at < len(by_residual):
-            left, b = by_residual.pop(at)
+            left, b = tried_from = by_residual.pop(at)
         else:
             left, b = capacity, len(sources)
+            tried_from = end
             sources.append(0)
             clusters.append(0)
+        alike = cluster
         taken = (sources[b] >> shift) & full
         sources[b] |= (taken + 1) << shift  # slots fill from the lowest bit
         clusters[b] |= mark
         if left > need:
             insort(by_residual, (left - need, b))
+            if left - need >= need and (sources[b] >> shift) & full != full:
+                open_from = min(open_from, (left - need, b))
         chosen.append(b)
     return chosen
 
 
 def _pack_shard(capacity: int, source_slots: int):
     def pack(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["n_tokens", "doc_id", "cluster", "copy", "piece"], ascending=[False, True, True, True, True], ignore_index=True)
+        shard = shard.sort_values(["n_tokens", "source", "cluster", "doc_id", "copy", "piece"], ascending=[False, True, True, True, True, True], ignore_index=True)
         source = pd.factorize(shard["source"], use_na_sentinel=False)[0]
-        cluster = pd.factorize(shard["cluster"], use_na_sentinel=False)[0]
+        # only what stands more than once can be in conflict and needs a bit
+        cluster = np.where(shard["cluster"].duplicated(keep=False), shard["cluster"].where(shard["cluster"].duplicated(keep=False)).factorize()[0], -1)
         shard["bin"] = best_fit(list(zip(shard["n_tokens"].tolist(), source.tolist(), cluster.tolist(), strict=True)), capacity, source_slots)
         shard["position"] = shard.groupby("bin").cumcount()
         shard["bin_id"] = shard["shard"].astype("int64") * 2 ** 32 + shard["bin"]

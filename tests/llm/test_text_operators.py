@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 import re
 from collections import Counter, defaultdict
 from itertools import product
@@ -97,6 +98,32 @@ def test_best_fit_equals_exhaustive_search():
         bins[b]["sources"][source] += 1
 
 
+def test_runs_of_equal_items_equal_exhaustive_search():
+    """Few sizes, sources and clusters in sorted order: searches that start behind earlier ones find the same bins."""
+    rnd = random.Random(9)
+    for _ in range(60):
+        items = sorted(((rnd.choice([1, 1, 2, 3, 7]), rnd.randrange(3), rnd.choice([-1, -1, 0, 1, 2])) for _ in range(150)), key=lambda x: (-x[0], *x[1:]))
+        for order in (items, rnd.sample(items, len(items))):
+            bins, want = [], []  # what is left, sources, clusters
+            for need, source, cluster in order:
+                fits = [(left, b) for b, (left, s, c) in enumerate(bins) if left >= need and s.count(source) < 2 and (cluster < 0 or cluster not in c)]
+                b = min(fits)[1] if fits else len(bins)
+                if not fits:
+                    bins.append([10, [], set()])
+                bins[b][0] -= need
+                bins[b][1].append(source)
+                bins[b][2].add(cluster)
+                want.append(b)
+            assert packing.best_fit(order, 10, 2) == want
+
+
+def test_many_short_items_of_one_source_and_cluster():
+    start = time.perf_counter()
+    bins = packing.best_fit([(1, 0, -1)] * 100_000 + [(1, 1, 0)] * 20_000, 2048, 4)
+    assert len(set(bins[:100_000])) == 25_000 and len(set(bins[100_000:])) == 20_000
+    assert time.perf_counter() - start < 20
+
+
 def test_packing_is_whole_and_without_conflicts(spark, odd_docs, no_docs):
     rnd = random.Random(2)
     rows = [(i, "x " * rnd.randint(0, 300) if i % 3 else "copy " * 20, "hot" if i % 2 else f"s{i % 5}") for i in range(500)]
