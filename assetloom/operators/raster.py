@@ -28,6 +28,8 @@ CHANNELS = ("r", "g", "b")
 BAND_LINES = 128
 #: Samples of one plane that a task of the resampling works on at a time.
 BLOCK_SAMPLES = 1 << 21
+#: Samples of one plane in a block of columns that is turned to lines.
+TURN_SAMPLES = 1 << 18
 DECODE_CUT, ENCODE_CUT = fixed.SRGB_DECODE_CUT, fixed.SRGB_ENCODE_CUT
 
 
@@ -67,6 +69,12 @@ def invert(px: DataFrame, depth: int = 8) -> DataFrame:
     return px.withColumns({c: F.lit(top) - F.col(c) for c in CHANNELS})
 
 
+def invert_lines(lines: DataFrame, depth: int = 8) -> DataFrame:
+    """:func:`invert` on scanlines."""
+    top = 2 ** depth - 1
+    return lines.withColumns({c: F.transform(c, lambda v: F.lit(top) - v) for c in CHANNELS})
+
+
 def planned_dims(mode: Column, w: Column, h: Column, tw: Column, th: Column,
                  pct: Column) -> tuple[Column, Column]:
     """Target size for the six resize modes; ``max`` reads its cap from ``tw``."""
@@ -289,9 +297,20 @@ def resize(px: DataFrame, mode: str, width: int | None = None, height: int | Non
     return crop_center(out, width, height) if mode == "fill" else out
 
 
+def crop_center_lines(lines: DataFrame, tw: Column | int, th: Column | int) -> DataFrame:
+    """:func:`crop_center` on scanlines: lines outside go, the others are sliced."""
+    tw, th = (v if isinstance(v, Column) else F.lit(v) for v in (tw, th))
+    ox = F.floor(F.greatest(F.lit(0), F.col("w") - tw) / 2).cast("int")
+    oy = F.floor(F.greatest(F.lit(0), F.col("h") - th) / 2).cast("int")
+    w, y = F.least(F.col("w"), tw).cast("int"), F.col("y") - oy
+    return lines.where((y >= 0) & (y < th)).withColumns({
+        **{c: F.slice(c, ox + 1, w) for c in (*CHANNELS, "a")}, "y": y, "w": w, "h": F.least(F.col("h"), th).cast("int")})
+
+
 def resize_lines(lines: DataFrame, mode: str, width: int | None = None, height: int | None = None, percent: float | None = None) -> DataFrame:
-    """Any mode but ``fill`` (which also crops), on scanlines."""
-    return resample_lines(plan_resize(lines, mode, width, height, percent))
+    """Any of the six modes on scanlines; ``fill`` also crops."""
+    out = resample_lines(plan_resize(lines, mode, width, height, percent))
+    return crop_center_lines(out, width, height) if mode == "fill" else out
 
 
 def resize_fill(px: DataFrame, width: int, height: int) -> DataFrame:
@@ -318,6 +337,42 @@ def auto_orient(px: DataFrame, orientation: str = "orientation") -> DataFrame:
         orientation: F.lit(None).cast("int")})
 
 
+def auto_orient_lines(lines: DataFrame, orientation: str = "orientation") -> DataFrame:
+    """:func:`auto_orient` on scanlines.
+
+    Orientations 1 to 4 mirror lines where they are read, without a shuffle. For 5 to 8 lines are cut into blocks of
+    columns, as many columns as keep a block within ``TURN_SAMPLES`` samples (one at least); one shuffle on (asset, block)
+    brings a block together, which leaves as whole lines, so no task holds more of a raster than that. Samples of a line
+    that is missing are NULL. Columns beside the raster's own must be the same for all its lines.
+    """
+    require(lines, "asset_id", "w", "h", "y", *CHANNELS, "a", orientation)
+    c, planes, o = F.col, (*CHANNELS, "a"), F.col(orientation)
+    rest = [n for n in lines.columns if n not in ("asset_id", "w", "h", "y", *planes, orientation)]
+    turned = F.coalesce(o.isin(5, 6, 7, 8), F.lit(False))
+    unset = F.lit(None).cast("int").alias(orientation)
+    flipped = lambda test, v: F.when(test, F.reverse(v)).otherwise(v)
+    straight = lines.where(~turned).select(
+        "asset_id", "w", "h", F.when(o.isin(3, 4), c("h") - 1 - c("y")).otherwise(c("y")).cast("int").alias("y"),
+        *[flipped(o.isin(2, 3), c(n)).alias(n) for n in planes], *rest, unset)
+    per = F.greatest(F.lit(1), F.floor(F.lit(TURN_SAMPLES) / c("h"))).cast("int")
+    cut = (lines.where(turned).withColumn("_per", per)
+           .withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((c("w") - 1) / c("_per")).cast("int"))))
+           .withColumns({n: F.slice(n, c("_b") * c("_per") + 1, c("_per")) for n in planes}))
+    blocks = cut.groupBy("asset_id", "w", "h", orientation, "_per", "_b").agg(
+        F.array_sort(F.collect_list(F.struct("y", *planes))).alias("_p"), *[F.any_value(n).alias(n) for n in rest])
+    at = F.map_from_entries(F.transform("_p", lambda p: F.struct(p["y"].cast("int").alias("k"), p.alias("v"))))
+    gaps = F.transform(F.sequence(F.lit(0), c("h").cast("int") - 1), lambda k: F.try_element_at(at, k))
+    full = blocks.withColumn("_p", F.when(F.size("_p") < c("h"), gaps).otherwise(c("_p")))
+    columns = F.sequence(F.lit(0), F.least(c("_per"), c("w") - c("_b") * c("_per")).cast("int") - 1)
+    column = lambda i, n: F.transform("_p", lambda p: F.get(p[n], i))
+    made = full.select("asset_id", "w", "h", "_b", "_per", *rest, o, F.explode(F.transform(columns, lambda i: F.struct(
+        i.alias("i"), *[column(i, n).alias(n) for n in planes]))).alias("_l"))
+    x = c("_b") * c("_per") + c("_l.i")
+    return straight.unionByName(made.select(
+        "asset_id", c("h").alias("w"), c("w").alias("h"), F.when(o.isin(7, 8), c("w") - 1 - x).otherwise(x).cast("int").alias("y"),
+        *[flipped(o.isin(6, 7), c(f"_l.{n}")).alias(n) for n in planes], *rest, unset)).select(*lines.columns)
+
+
 def gravity_origin(gravity: Column, bw: Column, bh: Column, ow: Column, oh: Column,
                    margin: Column) -> tuple[Column, Column]:
     """Overlay origin for nine anchors; a centred axis ignores the margin."""

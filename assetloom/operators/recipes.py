@@ -19,10 +19,11 @@ STEP_SCHEMA = "array<struct<op:string,params:map<string,string>>>"
 
 @dataclass(frozen=True)
 class Op:
-    """A registered operation: plan-time application and a validity Column over ``params``."""
+    """A registered operation: plan-time application (to pixels and, where given, to scanlines) and a validity Column over ``params``."""
     name: str
     apply: Callable[[DataFrame, dict[str, str]], DataFrame]
     check: Callable[[Column], Column]
+    lines: Callable[[DataFrame, dict[str, str]], DataFrame] | None = None
 
 
 OPS: dict[str, Op] = {}
@@ -33,11 +34,12 @@ def _no_params(_: Column) -> Column:
 
 
 def register_op(name: str, apply: Callable[[DataFrame, dict[str, str]], DataFrame],
-                check: Callable[[Column], Column] = _no_params) -> Op:
+                check: Callable[[Column], Column] = _no_params,
+                lines: Callable[[DataFrame, dict[str, str]], DataFrame] | None = None) -> Op:
     """Add or replace an operation (the user extension point)."""
     if name == fixed.TERMINAL_STEP:
         raise ValueError(f"'{name}' is reserved")
-    OPS[name] = Op(name, apply, check)
+    OPS[name] = Op(name, apply, check, lines)
     return OPS[name]
 
 
@@ -54,15 +56,21 @@ def _resize_check(params: Column) -> Column:
             .when((mode == "percent") & F.coalesce(pct <= 0, F.lit(True)), "mode 'percent' needs a positive 'percent'"))
 
 
-def _resize(px: DataFrame, p: dict[str, str]) -> DataFrame:
-    num = lambda k: int(p[k]) if k in p else None
-    return raster.resize(px, p["mode"], num("width"), num("height"), float(p["percent"]) if "percent" in p else None)
+def _resize(resize: Callable[..., DataFrame]) -> Callable[[DataFrame, dict[str, str]], DataFrame]:
+    def run(df: DataFrame, p: dict[str, str]) -> DataFrame:
+        num = lambda k: int(p[k]) if k in p else None
+        return resize(df, p["mode"], num("width"), num("height"), float(p["percent"]) if "percent" in p else None)
+    return run
 
 
-register_op("identity", lambda px, p: raster.identity(px))
-register_op("invert", lambda px, p: raster.invert(px))
-register_op("auto-orient", lambda px, p: raster.auto_orient(px).drop("orientation") if "orientation" in px.columns else px)
-register_op("resize", _resize, _resize_check)
+def _oriented(orient: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, dict[str, str]], DataFrame]:
+    return lambda df, _: orient(df).drop("orientation") if "orientation" in df.columns else df
+
+
+register_op("identity", lambda px, p: raster.identity(px), lines=lambda df, p: df)
+register_op("invert", lambda px, p: raster.invert(px), lines=lambda df, p: raster.invert_lines(df))
+register_op("auto-orient", _oriented(raster.auto_orient), lines=_oriented(raster.auto_orient_lines))
+register_op("resize", _resize(raster.resize), _resize_check, _resize(raster.resize_lines))
 
 
 def recipe_steps(docs: DataFrame) -> DataFrame:
@@ -107,14 +115,35 @@ def pixel_steps(steps: DataFrame) -> DataFrame:
     return split_terminal(steps).where(~C("terminal")).drop("terminal")
 
 
-def apply_recipe(px: DataFrame, steps: list[tuple[str, dict[str, str]]]) -> DataFrame:
-    """Fold the ops into one plan; an unknown op raises before any plan exists."""
+def _known(steps: list[tuple[str, dict[str, str]]]) -> None:
     unknown = [op for op, _ in steps if op not in OPS]
     if unknown:
         raise ValueError(f"unknown operation '{unknown[0]}'")
+
+
+def apply_recipe(px: DataFrame, steps: list[tuple[str, dict[str, str]]]) -> DataFrame:
+    """Fold the ops into one plan; an unknown op raises before any plan exists."""
+    _known(steps)
     return reduce(lambda d, s: OPS[s[0]].apply(d, s[1]), steps, px)
 
 
+def apply_recipe_lines(lines: DataFrame, steps: list[tuple[str, dict[str, str]]]) -> DataFrame:
+    """:func:`apply_recipe` on scanlines. Ops that know pixels only get pixels, and their result is gathered to lines again."""
+    _known(steps)
+
+    def step(df: DataFrame, op: Op, params: dict[str, str]) -> DataFrame:
+        if op.lines is not None:
+            return op.lines(df, params)
+        return raster.collect_scanlines(op.apply(raster.explode_pixels(df), params))
+
+    return reduce(lambda d, s: step(d, OPS[s[0]], s[1]), steps, lines)
+
+
+def line_sum(plane: str) -> Column:
+    """Sum of a line's samples."""
+    return F.aggregate(plane, F.lit(0).cast("bigint"), lambda total, v: total + F.coalesce(v, F.lit(0)))
+
+
 def bundled(name: str) -> list[tuple[str, dict[str, str]]]:
     """Steps of a shipped flow."""
     edge = fixed.BUNDLED_MAX_EDGE[name]

@@ -102,10 +102,11 @@ def p6(spark, sf):
 @query("p7_batch_apply", ctes(PX, RFACTS) + """SELECT asset_id, error, count(*) AS pixels, CAST(sum(CASE WHEN error IS NULL THEN 255 - r ELSE r END) AS BIGINT) AS red FROM (
     SELECT px.*, CASE WHEN source_format = 'ico' THEN 'unsupported' WHEN width < 100 THEN 'too small' END AS error FROM px JOIN rfacts USING (asset_id)) GROUP BY ALL""")
 def p7(spark, sf):
-    px = I.pixels(spark, sf).join(I.raster_facts(spark, sf).select("asset_id", "source_format", "width"), "asset_id")
-    kept, failed = SO.split_failures(px, {"unsupported": F.col("source_format") == "ico", "too small": F.col("width") < 100})
-    done = P.apply_recipe(kept, [("invert", {}), ("identity", {})]).withColumn("error", F.lit(None).cast("string"))
-    return done.unionByName(failed).groupBy("asset_id", "error").agg(F.count(F.lit(1)).alias("pixels"), F.sum("r").alias("red"))
+    """A recipe over all lines; lines of assets that a check refuses keep their samples and the reason."""
+    facts = I.raster_facts(spark, sf).select("asset_id", "source_format", "width")
+    kept, failed = SO.split_failures(I.lines(spark, sf).join(facts, "asset_id"), {"unsupported": F.col("source_format") == "ico", "too small": F.col("width") < 100})
+    done = P.apply_recipe_lines(kept, [("invert", {}), ("identity", {})]).withColumn("error", F.lit(None).cast("string"))
+    return done.unionByName(failed).groupBy("asset_id", "error").agg(F.sum(F.size("r")).alias("pixels"), F.sum(P.line_sum("r")).alias("red"))
 
 
 TRIALS = """lumar AS (SELECT asset_id, (77 * r + 150 * g + 29 * b) >> 8 AS luma FROM resampled),

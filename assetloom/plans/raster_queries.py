@@ -134,6 +134,13 @@ def r9(spark, sf):
     return R.resize_fill(I.pixels(spark, sf), 24, 10)
 
 
+@query("r9_resize_fill_lines", ctes(PX, resample_ctes("px", "24", "24")) + """SELECT asset_id, 24 AS w, 10 AS h, x, y - 7 AS y,
+    r, g, b, a FROM resampled WHERE y >= 7 AND y < 17""")
+def r9_lines(spark, sf):
+    out = R.explode_pixels(R.resize_lines(I.lines(spark, sf), "fill", 24, 10))
+    return out.select("asset_id", "w", "h", "x", "y", "r", "g", "b", "a")
+
+
 @query("r10_thumbnail", ctes(PX, resample_ctes("px", "16", "16")) + f"SELECT {OUT} FROM resampled")
 def r10(spark, sf):
     return R.thumbnail(I.pixels(spark, sf), 16)
@@ -144,16 +151,26 @@ def r10_square(spark, sf):
     return R.thumbnail(I.pixels(spark, sf), 8, square=True)
 
 
-@query("r11_auto_orient", ctes(PX) + """SELECT asset_id, CAST(1 + asset_id % 8 AS INT) AS o,
+R11_SQL = ctes(PX) + """SELECT asset_id, CAST(1 + asset_id % 8 AS INT) AS o,
     CASE WHEN asset_id % 8 IN (4,5,6,7) THEN h ELSE w END AS w, CASE WHEN asset_id % 8 IN (4,5,6,7) THEN w ELSE h END AS h,
     CASE asset_id % 8 WHEN 1 THEN w-1-x WHEN 2 THEN w-1-x WHEN 4 THEN y WHEN 5 THEN h-1-y WHEN 6 THEN h-1-y WHEN 7 THEN y ELSE x END AS x,
     CASE asset_id % 8 WHEN 2 THEN h-1-y WHEN 3 THEN h-1-y WHEN 4 THEN x WHEN 5 THEN x WHEN 6 THEN w-1-x WHEN 7 THEN w-1-x ELSE y END AS y,
-    r, g, b, a FROM px""")
+    r, g, b, a FROM px"""
+
+
+@query("r11_auto_orient", R11_SQL)
 def r11(spark, sf):
     px = I.pixels(spark, sf).withColumn("orientation", F.expr("cast(1 + asset_id % 8 as int)"))
     return R.auto_orient(px.withColumn("o", F.col("orientation"))).drop("orientation")
 
 
+@query("r11_auto_orient_lines", R11_SQL)
+def r11_lines(spark, sf):
+    lines = I.lines(spark, sf).withColumn("orientation", F.expr("cast(1 + asset_id % 8 as int)"))
+    out = R.auto_orient_lines(lines.withColumn("o", F.col("orientation")))
+    return R.explode_pixels(out).where("r is not null").select("asset_id", "o", "w", "h", "x", "y", "r", "g", "b", "a")
+
+
 GRAVITIES = ["center", "north", "south", "east", "west", "northeast", "northwest", "southeast", "southwest"]
 PLACE = """placed AS (SELECT asset_id, line, part_id, supp_id, w AS bw, h AS bh, 50 + supp_id * 9 AS ow, 20 + part_id % 900 AS oh,
     line * 3 AS margin, (['center','north','south','east','west','northeast','northwest','southeast','southwest'])[(part_id + line) % 9 + 1] AS gravity FROM dims)"""

@@ -87,6 +87,34 @@ def test_orientation(make_px, o):
     assert (row.w, row.h, row.orientation) == (len(want[0]), len(want), None)
 
 
+@pytest.mark.parametrize("o", range(1, 9))
+def test_orientation_of_lines_in_blocks(make_px, o, monkeypatch):
+    """Blocks of one column (two samples are fewer than a column has) give what one block gives; other columns stay."""
+    px = make_px({1: (2, 3, lambda x, y: (y * 2 + x + 1, 0, 0, 255))}).withColumns({"orientation": F.lit(o), "name": F.lit("n")})
+    lines = R.collect_scanlines(px.drop("name", "orientation")).withColumns({"orientation": F.lit(o), "name": F.lit("n")})
+    for samples in (2, 3, 1 << 18):
+        monkeypatch.setattr(R, "TURN_SAMPLES", samples)
+        got = sorted(R.auto_orient_lines(lines).collect(), key=lambda r: r.y)
+        assert [r.r for r in got] == UPRIGHT[o] and [r.y for r in got] == list(range(len(UPRIGHT[o])))
+        assert {(r.w, r.h, r.orientation, r.name) for r in got} == {(len(UPRIGHT[o][0]), len(UPRIGHT[o]), None, "n")}
+
+
+def test_orientation_of_lines_with_gaps_and_none(make_px):
+    px = make_px({1: (2, 3, lambda x, y: (y * 2 + x + 1, 0, 0, 255))}).where("y <> 1")
+    lines = R.collect_scanlines(px).withColumn("orientation", F.lit(6))
+    assert [r.r for r in sorted(R.auto_orient_lines(lines).collect(), key=lambda r: r.y)] == [[5, None, 1], [6, None, 2]]
+    kept = R.auto_orient_lines(lines.withColumn("orientation", F.lit(None).cast("int"))).orderBy("y").collect()
+    assert [(r.y, r.r) for r in kept] == [(0, [1, 2]), (2, [5, 6])]
+    assert R.auto_orient_lines(lines.limit(0)).collect() == []
+
+
+def test_crop_of_lines(make_px):
+    px = make_px({1: (5, 4, lambda x, y: (10 * y + x, 0, 0, 255)), 2: (2, 2, lambda x, y: (x + y, 0, 0, 255))})
+    got = R.explode_pixels(R.crop_center_lines(R.collect_scanlines(px), 2, 3)).select(*px.columns)
+    want = R.crop_center(px, 2, 3).select(*px.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_gravity_saturates(spark):
     df = spark.createDataFrame([("southeast", 10, 10, 4, 4, 2), ("southeast", 10, 10, 40, 4, 2), ("center", 10, 9, 4, 4, 5),
                                 ("north", 10, 10, 3, 4, 2), ("west", 10, 10, 4, 5, 9)],
