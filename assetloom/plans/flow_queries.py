@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import build as B
 from ..operators import lint as L
+from ..operators.benchstats import TRACE
 from ..operators import recipes as P
 from ..session import fresh_dir
 from ..sources import outputs as SO
@@ -19,6 +20,8 @@ from . import lint_queries as LQ
 from .analysis_queries import ALL
 from .build_queries import FEATURES, MAN, RH, STEPS, TARGETS, VERSION, EXPANDED, KEYED, manifest_targets, part_steps
 from .inputs import AS, EV, PX, RFACTS, ctes
+from .decide_queries import SAVE
+from .quality_queries import LADDER
 from .raster_queries import OUT, resample_ctes
 from .registry import query
 from .web import web
@@ -109,38 +112,96 @@ def p7(spark, sf):
     return done.unionByName(failed).groupBy("asset_id", "error").agg(F.sum(F.size("r")).alias("pixels"), F.sum(P.line_sum("r")).alias("red"))
 
 
-TRIALS = """lumar AS (SELECT asset_id, (77 * r + 150 * g + 29 * b) >> 8 AS luma FROM resampled),
-lad AS (SELECT asset_id, q, CAST(ceil(round(-sum(n / t * log2(n / t)) * any_value(t) / 8.0, 6)) AS BIGINT) AS bytes FROM (
-   SELECT *, sum(n) OVER (PARTITION BY asset_id, q)::DOUBLE AS t FROM (SELECT asset_id, q, least(255, (luma // s) * s + s // 2) AS c, count(*) AS n
-   FROM lumar, (VALUES (85, 10), (100, 1)) k(q, s) GROUP BY ALL)) GROUP BY asset_id, q),
-menu(bucket, cand_idx, fmt, disposition, q, f) AS (VALUES ('lossy', 0, 'avif', 'lossy', 85, 0.5), ('lossy', 1, 'webp', 'lossy', 85, 0.7), ('lossy', 2, 'jpeg', 'lossy', 85, 0.9),
-   ('lossless-flat', 0, 'webp', 'lossless', 100, 0.95), ('lossless-flat', 1, 'png', 'lossless', 100, 1.0), ('mixed-safe', 0, 'avif', 'lossy', 85, 0.5), ('mixed-safe', 1, 'webp', 'lossy', 85, 0.7), ('mixed-safe', 2, 'webp', 'lossless', 100, 0.95)),
-tr AS (SELECT asset_id, bucket, class, source_bytes, source_format, altered, cand_idx, fmt, disposition, CAST(round(bytes * f::DOUBLE) AS BIGINT) AS bytes FROM (
-   SELECT *, 200 + (asset_id % 9) * 60 AS source_bytes, has_exif OR true AS altered FROM classed) JOIN menu USING (bucket) JOIN lad USING (asset_id, q)),
-el AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY bytes, cand_idx) AS rk FROM tr WHERE bytes < source_bytes),
-sm AS (SELECT *, row_number() OVER (PARTITION BY asset_id, fmt ORDER BY bytes, cand_idx) AS rk FROM tr WHERE bytes < source_bytes AND fmt = source_format),
-anyc AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY bytes, cand_idx) AS rk FROM tr),
-won AS (SELECT a.asset_id, a.class, a.bucket, a.source_bytes, CASE WHEN e.asset_id IS NULL THEN 'forced' WHEN e.fmt = a.source_format THEN 'same-format' WHEN s.asset_id IS NULL THEN 'switch-no-rival'
-   WHEN (s.bytes - e.bytes)::DOUBLE / s.bytes < 0.05 THEN 'guard-kept' ELSE 'switch' END AS branch, e.fmt AS ef, e.bytes AS eb, s.fmt AS sf, s.bytes AS sb, a.fmt AS af, a.bytes AS ab
-   FROM anyc a LEFT JOIN el e ON e.asset_id = a.asset_id AND e.rk = 1 LEFT JOIN sm s ON s.asset_id = a.asset_id AND s.rk = 1 WHERE a.rk = 1)"""
+MENU = [("lossy", "false", "avif:lossy webp:lossy jpeg:lossy"), ("lossy", "true", "avif:lossy webp:lossy webp:lossless png:lossless"),
+        ("lossless-flat", "false", "webp:lossless png:lossless"), ("lossless-flat", "true", "webp:lossless png:lossless"),
+        ("mixed-safe", "false", "avif:lossy webp:lossy webp:lossless png:lossless jpeg:lossy"), ("mixed-safe", "true", "avif:lossy webp:lossy webp:lossless png:lossless")]
+TARGET, BUDGET = 97.0, 180
+
+
+def web_sql(mode: str, edge: int, hist: str) -> str:
+    """Twin of the end-to-end flow over the ladder of ``hist``: every entry solved, then ranked."""
+    rows = []
+    for bucket, alpha, text in MENU:
+        names = text.split()
+        if mode != "fast" and names[0] == "avif:lossy":
+            names = names[1:] + (["avif:lossy"] if mode == "size-budget" else [])
+        rows += [f"('{bucket}', {alpha}, {i}, '{n.split(':')[0]}', '{n.split(':')[1]}')" for i, n in enumerate(names)]
+    ok = {"fast": "q = CASE WHEN lossy THEN 85 ELSE 100 END", "perceptual": f"CASE WHEN lossy THEN metric >= {TARGET} ELSE q = 100 END",
+          "size-budget": f"(lossy OR q = 100) AND b <= {BUDGET}"}[mode]
+    rest = {"fast": "q", "perceptual": "CASE WHEN ok THEN q ELSE -q END", "size-budget": "CASE WHEN ok THEN -q WHEN lossy THEN q ELSE -q END"}[mode]
+    fits = f"list_max(list_filter(range(1, 101), lambda p: ceil(b * p * p / 10000.0::DOUBLE) <= {BUDGET}))"
+    pct = f"CASE WHEN ok THEN 100 ELSE coalesce({fits}, 1) END" if mode == "size-budget" else "100"
+    met = f"ok OR {fits} IS NOT NULL" if mode == "size-budget" else "ok"
+    return LADDER.replace("FROM hist,", f"FROM {hist},") + f""",
+menu(bucket, has_alpha, cand_idx, fmt, disposition) AS (VALUES {", ".join(rows)}),
+factor(fmt, disposition, f) AS (VALUES ('avif', 'lossy', 0.5), ('webp', 'lossy', 0.7), ('jpeg', 'lossy', 0.9), ('webp', 'lossless', 0.95), ('png', 'lossless', 1.0)),
+cl AS (SELECT * REPLACE (CASE WHEN source_format = 'ico' THEN 'ico' WHEN asset_id % 4 = 0 THEN 'jpeg' WHEN asset_id % 4 = 1 THEN 'webp' ELSE 'png' END AS source_format),
+   200 + (asset_id % 9) * 60 AS source_bytes, source_alpha AS has_alpha, has_exif OR width > {edge} AS altered FROM classed),
+listed AS (SELECT asset_id, cand_idx, fmt, disposition FROM cl JOIN menu USING (bucket, has_alpha) UNION ALL
+   SELECT asset_id, 1000, CASE source_format WHEN 'webp' THEN 'webp' ELSE 'jpeg' END, 'lossy' FROM cl
+   WHERE bucket = 'lossless-flat' AND (source_format = 'webp' OR (source_format = 'jpeg' AND NOT has_alpha))),
+sized AS (SELECT *, disposition = 'lossy' AS lossy, CAST(round(bytes * f::DOUBLE) AS BIGINT) AS b FROM listed JOIN factor USING (fmt, disposition) JOIN ladder USING (asset_id)),
+best AS (SELECT *, {ok} AS ok FROM sized QUALIFY row_number() OVER (PARTITION BY asset_id, cand_idx ORDER BY ok DESC, {rest}) = 1),
+tr AS (SELECT * EXCLUDE (bytes, metric), CASE WHEN lossy THEN q END AS quality, CAST(ceil(b * pct * pct / 10000.0::DOUBLE) AS BIGINT) AS bytes, CASE WHEN pct = 100 AND lossy THEN metric END AS metric
+   FROM (SELECT *, {met} AS met, {pct} AS pct FROM best) JOIN (SELECT asset_id, source_bytes, source_format FROM cl) USING (asset_id)),
+el AS (SELECT * FROM tr WHERE met AND bytes < source_bytes AND cand_idx < 1000 QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY bytes, cand_idx) = 1),
+sm AS (SELECT * FROM tr WHERE met AND bytes < source_bytes AND cand_idx < 1000 AND fmt = source_format QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY bytes, cand_idx) = 1),
+anyc AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY bytes, cand_idx) = 1),
+branched AS (SELECT c.*, e.cand_idx AS ei, s.cand_idx AS si, x.cand_idx AS xi, CASE WHEN e.asset_id IS NULL THEN CASE WHEN altered THEN 'forced' ELSE 'pass-through' END
+   WHEN e.fmt = c.source_format THEN 'same-format' WHEN s.asset_id IS NULL THEN 'switch-no-rival' WHEN (s.bytes - e.bytes)::DOUBLE / s.bytes < 0.05 THEN 'guard-kept' ELSE 'switch' END AS branch
+   FROM cl c LEFT JOIN el e USING (asset_id) LEFT JOIN sm s USING (asset_id) LEFT JOIN anyc x USING (asset_id)),
+won AS (SELECT w.*, t.fmt, t.disposition, t.quality, t.metric, coalesce(t.bytes, w.source_bytes) AS out_bytes FROM (
+   SELECT *, CASE branch WHEN 'forced' THEN xi WHEN 'pass-through' THEN NULL WHEN 'guard-kept' THEN si ELSE ei END AS winner FROM branched) w
+   LEFT JOIN tr t ON t.asset_id = w.asset_id AND t.cand_idx = w.winner)"""
+
+
 ORIENTED = """opx AS (SELECT asset_id, 32 AS w, 32 AS h, CASE asset_id % 8 WHEN 1 THEN 31-x WHEN 2 THEN 31-x WHEN 4 THEN y WHEN 5 THEN 31-y WHEN 6 THEN 31-y WHEN 7 THEN y ELSE x END AS x,
    CASE asset_id % 8 WHEN 2 THEN 31-y WHEN 3 THEN 31-y WHEN 4 THEN x WHEN 5 THEN x WHEN 6 THEN 31-x WHEN 7 THEN 31-x ELSE y END AS y, r, g, b, a FROM px)"""
 
 
-def web_decisions(spark, sf):
-    facts = I.raster_facts(spark, sf).withColumns({"source_bytes": (F.col("asset_id") % 9) * 60 + 200, "resized": F.lit(True)})
-    return web(I.pixels(spark, sf), facts, max_edge=24)
+def web_decisions(spark, sf, mode="fast", max_edge=24):
+    """The flow over the mosaics, of which some claim to be lossy files."""
+    fmt = E("case when source_format = 'ico' then 'ico' when asset_id % 4 = 0 then 'jpeg' when asset_id % 4 = 1 then 'webp' else 'png' end")
+    facts = I.raster_facts(spark, sf).withColumns({"source_bytes": (F.col("asset_id") % 9) * 60 + 200, "source_format": fmt})
+    return web(I.lines(spark, sf), facts, max_edge=max_edge, mode=mode, target=TARGET, budget=BUDGET)
+
+
+WEB = ALL.rstrip() + ", "
+BOUNDED = ORIENTED + ",\n" + resample_ctes("opx", "24", "24") + """,
+histr AS (SELECT asset_id, (77 * r + 150 * g + 29 * b) >> 8 AS luma, count(*) AS n FROM resampled GROUP BY ALL),
+"""
+WON = " SELECT asset_id, class, bucket, fmt, disposition, quality, source_bytes, out_bytes, branch, round(metric, 6) AS verify_score FROM won"
+
 
+def decided(df):
+    return df.select("asset_id", "class", "bucket", "fmt", "disposition", "quality", "source_bytes", "out_bytes", "branch", F.round("verify_score", 6).alias("verify_score"))
 
-@query("p8_web", ALL.rstrip() + ", " + ORIENTED + ",\n" + resample_ctes("opx", "24", "24") + ",\n" + TRIALS + """ SELECT asset_id, class, bucket, CASE branch WHEN 'forced' THEN af WHEN 'guard-kept' THEN sf ELSE ef END AS fmt,
-    source_bytes, CASE branch WHEN 'forced' THEN ab WHEN 'guard-kept' THEN sb ELSE eb END AS out_bytes, branch FROM won""")
+
+@query("p8_web", WEB + BOUNDED + web_sql("fast", 24, "histr") + WON)
 def p8(spark, sf):
-    return web_decisions(spark, sf).select("asset_id", "class", "bucket", "fmt", "source_bytes", "out_bytes", "branch")
+    return decided(web_decisions(spark, sf))
+
+
+@query("p8_web_perceptual", WEB + web_sql("perceptual", 100, "hist") + WON)
+def p8_perceptual(spark, sf):
+    return decided(web_decisions(spark, sf, "perceptual", 100))
+
+
+@query("p8_web_size_budget", WEB + web_sql("size-budget", 100, "hist") + WON)
+def p8_budget(spark, sf):
+    return decided(web_decisions(spark, sf, "size-budget", 100))
 
 
-@query("p8_web_traces")
+@query("p8_web_traces", WEB + BOUNDED + web_sql("fast", 24, "histr") + f""", tried AS (SELECT t.asset_id, string_agg(concat_ws(':', t.fmt, t.disposition, t.quality, t.bytes, t.met), ' ' ORDER BY t.cand_idx) AS candidates
+    FROM tr t JOIN won w USING (asset_id) WHERE t.cand_idx < 1000 OR w.branch = 'forced' GROUP BY t.asset_id)
+    SELECT asset_id, source_format, 'fast' AS mode, source_bytes, winner, out_bytes, {SAVE} AS savings_percent, candidates, class, has_alpha, unique_colors, round(metric, 1) AS ssim
+    FROM won JOIN tried USING (asset_id)""")
 def p8_traces(spark, sf):
-    return web_decisions(spark, sf).select("asset_id", F.round("verify_score", 6).alias("verify_score"), "trace")
+    """What the JSON traces say."""
+    t = web_decisions(spark, sf).select("asset_id", F.from_json("trace", TRACE + ", class STRING, has_alpha BOOLEAN, features STRUCT<unique_colors: BIGINT>, ssim DOUBLE").alias("t"))
+    listed = F.transform("t.candidates", lambda c: F.concat_ws(":", c["format"], c["disposition"], c["quality"], c["bytes"], c["met_target"].cast("string")))
+    return t.select("asset_id", "t.source_format", "t.mode", "t.source_bytes", "t.winner", "t.out_bytes", "t.savings_percent",
+                    F.array_join(listed, " ").alias("candidates"), "t.class", "t.has_alpha", "t.features.unique_colors", "t.ssim")
 
 
 # --- change feeds --------------------------------------------------------------
