@@ -12,6 +12,7 @@ from ..functions import hashing
 from ..functions.paths import expand_template, extension, glob_matches, lexical_clean
 from ..functions.scalars import is_image_ext, plural, short_hash
 from ..schemas import require
+from .skew import dealt_join
 
 C = F.col
 DEFAULT_TEMPLATE = "{stem}.{ext}"
@@ -181,9 +182,10 @@ def work_list(inputs: DataFrame, cache: DataFrame) -> DataFrame:
     return keys.join(cache.select("key"), "key", "left_anti")
 
 
-def materialize(plan: DataFrame, cache: DataFrame) -> DataFrame:
-    """Payload of every planned output, one cached entry feeding many paths."""
-    return plan.join(cache.select("key", C("ext").alias("out_ext"), "payload", "payload_len", "payload_hash"), "key")
+def materialize(plan: DataFrame, cache: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
+    """Payload of every planned output, one cached entry feeding many paths; keys of very many paths are dealt to several tasks."""
+    entries = cache.select("key", C("ext").alias("out_ext"), "payload", "payload_len", "payload_hash")
+    return dealt_join(plan, entries, "key", [c for c in ("path", "out_path") if c in plan.columns] or ["key"], rows_per_task)
 
 
 def store(cache: DataFrame, new: DataFrame, max_bytes: int | None = None) -> DataFrame:

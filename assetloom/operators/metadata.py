@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..schemas import require
+from .skew import dealt_join
 
 TAG_BLOCK = 4096
 
@@ -57,13 +58,14 @@ def set_tags(tags: DataFrame, updates: DataFrame) -> DataFrame:
     return merged.select("asset_id", "ifd", "tag", F.coalesce("_new", "value").alias("value"))
 
 
-def copy_metadata(tags: DataFrame, pairs: DataFrame) -> DataFrame:
+def copy_metadata(tags: DataFrame, pairs: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
     """Replace each target's tags by its source's; an empty source clears the target.
 
-    ``pairs``: ``target_id, source_id`` with one source per target.
+    ``pairs``: ``target_id, source_id`` with one source per target. The targets of a popular source are dealt to several tasks.
     """
     kept = tags.join(pairs.select(F.col("target_id").alias("asset_id")), "asset_id", "left_anti")
-    grafted = (tags.withColumnRenamed("asset_id", "source_id").join(pairs, "source_id")
+    given = tags.select(F.col("asset_id").alias("source_id"), "ifd", "tag", "value")
+    grafted = (dealt_join(pairs.select("target_id", "source_id"), given, "source_id", ["target_id"], rows_per_task)
                .select(F.col("target_id").alias("asset_id"), "ifd", "tag", "value"))
     return kept.select("asset_id", "ifd", "tag", "value").unionByName(grafted)
 

@@ -182,25 +182,40 @@ def bisect(ladder: DataFrame, accept: Callable[[Column], Column], prefer_lower:
                       F.col("s.iters").alias("iterations"), met.alias("met_target"))
 
 
-def fit_under_size(q_ladder: DataFrame, scale_ladder: DataFrame, assets: DataFrame) -> DataFrame:
-    """Quality first, then scale.
+def fit_ladder(ladder: DataFrame, lossy: Column, scaled: Callable[[Column, Column], Column]) -> DataFrame:
+    """Quality and scale rungs of every asset as one table ``asset_id, kind, level, bytes``.
 
-    ``assets``: ``asset_id, lossy, budget``; ``scale_ladder``: bytes by percent,
-    measured at the lowest quality for lossy formats.
+    The scale rungs (``kind`` 's', 1 to 100 percent) come from the rung that scaling starts at, the lowest quality of a
+    lossy asset and the highest otherwise, by ``scaled(bytes, percent)``. One pass over ``ladder``, no join.
     """
-    rung = lambda t: t.join(assets, "asset_id")
-    q = search_under_size(rung(q_ladder.where("q is not null")), F.col("budget")).select(
-        "asset_id", F.col("quality").alias("qq"), F.col("bytes").alias("qb"), F.col("met_target").alias("q_met"))
-    s = search_under_size(rung(scale_ladder), F.col("budget"), "pct").select(
-        "asset_id", F.col("quality").alias("sp"), F.col("bytes").alias("sb"), F.col("met_target").alias("s_met"))
-    both = assets.join(q, "asset_id", "left").join(s, "asset_id", "left")
-    by_quality = F.col("lossy") & F.coalesce(F.col("q_met"), F.lit(False))
-    return both.select(
-        "asset_id",
-        F.when(by_quality, F.col("qq")).when(F.col("lossy"), F.lit(fixed.SEARCH_MIN)).alias("quality"),
-        F.when(by_quality, F.lit(100)).otherwise(F.col("sp")).alias("scale_percent"),
-        F.when(by_quality, F.col("qb")).otherwise(F.col("sb")).alias("bytes"),
-        (by_quality | F.coalesce(F.col("s_met"), F.lit(False))).alias("met_budget"))
+    rung = lambda kind, level, size: F.struct(F.lit(kind).alias("kind"), level.cast("int").alias("level"), size.cast("bigint").alias("bytes"))
+    own = F.array(rung("q", F.col("q"), F.col("bytes")))
+    scales = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda p: rung("s", p, scaled(F.col("bytes"), p)))
+    base = F.col("q") == F.when(lossy, F.lit(fixed.SEARCH_MIN)).otherwise(F.lit(fixed.SEARCH_MAX))
+    keep = [c for c in ladder.columns if c not in ("q", "bytes", "metric")]
+    return ladder.select(*keep, F.explode(F.when(base, F.concat(own, scales)).otherwise(own)).alias("_r")).select(*keep, "_r.*")
+
+
+def fit_under_size(rungs: DataFrame, lossy: str = "lossy", budget: str = "budget") -> DataFrame:
+    """Quality first, then scale, in one aggregation per asset.
+
+    ``rungs``: ``asset_id, kind, level, bytes`` (see :func:`fit_ladder`) with the asset's ``lossy`` and ``budget`` beside them.
+    The state of an asset is a handful of numbers: the best level that fits and its bytes, for qualities and for scales,
+    and what the smallest scale takes. Assets without a scale rung end at scale 1, unmet, with no size.
+    """
+    require(rungs, "asset_id", "kind", "level", "bytes", lossy, budget)
+    level, size = F.col("level"), F.col("bytes")
+    of = lambda kind: F.when((F.col("kind") == kind) & (size <= F.col(budget)), level)
+    low = F.when(F.col("kind") == "s", level)
+    out = rungs.groupBy("asset_id").agg(
+        F.bool_or(lossy).alias("_lossy"), F.max(of("q")).alias("_q"), F.max_by(size, of("q")).alias("_qb"),
+        F.max(of("s")).alias("_s"), F.max_by(size, of("s")).alias("_sb"), F.min_by(size, low).alias("_low"))
+    by_quality = F.col("_lossy") & F.col("_q").isNotNull()
+    return out.select(
+        "asset_id", F.when(F.col("_lossy"), F.coalesce("_q", F.lit(fixed.SEARCH_MIN))).alias("quality"),
+        F.when(by_quality, F.lit(100)).otherwise(F.coalesce("_s", F.lit(fixed.SEARCH_MIN))).alias("scale_percent"),
+        F.when(by_quality, F.col("_qb")).otherwise(F.coalesce("_sb", "_low")).alias("bytes"),
+        (by_quality | F.col("_s").isNotNull()).alias("met_budget"))
 
 
 def target_preset(name: Column) -> Column:

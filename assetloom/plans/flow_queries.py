@@ -359,6 +359,13 @@ def w10(spark, sf):
     return drained(spark, W.dedup_stream(change_stream(spark, sf), ["path"], "30 days").select("path"), "dedup")
 
 
+@query("w10_stream_dedup_content", "SELECT DISTINCT sha256(props) AS content_hash FROM events")
+def w10_content(spark, sf):
+    """Content that has arrived before is no work, under whatever path it comes."""
+    arrivals = table_stream(spark, sf, "events", EVENTS_SCHEMA).select(F.sha2("props", 256).alias("content_hash"), F.col("ts").cast("timestamp").alias("event_time"))
+    return drained(spark, W.dedup_stream(arrivals, ["content_hash"], "30 days").select("content_hash"), "contents")
+
+
 @query("w11_stream_lint", LQ.BASE + "SELECT rule, severity, count(*) AS findings FROM found GROUP BY ALL")
 def w11(spark, sf):
     facts = table_stream(spark, sf, "documents", DOCS_SCHEMA)

@@ -148,14 +148,9 @@ def q7_size(spark, sf):
     CASE WHEN lossy AND bq.q IS NOT NULL THEN bq.b ELSE bs.b END AS bytes, (lossy AND bq.q IS NOT NULL) OR p IS NOT NULL AS met_budget
     FROM want JOIN bq USING (asset_id) JOIN bs USING (asset_id)""")
 def q8(spark, sf):
-    rungs = ladder(spark, sf)
-    want = A.luma_histogram(I.pixels(spark, sf)).select("asset_id").distinct().select(
-        "asset_id", (F.col("asset_id") % 3 != 0).alias("lossy"), (F.col("asset_id") * 17 + 60).alias("budget"))
-    pct = F.explode(F.sequence(F.lit(1), F.lit(100))).alias("pct")
-    scale = (rungs.join(want, "asset_id").where(F.col("q") == F.when(F.col("lossy"), 1).otherwise(100))
-             .select("asset_id", "bytes", pct)
-             .withColumn("bytes", F.ceil(F.col("bytes") * F.col("pct") * F.col("pct") / 10000.0)))
-    return Q.fit_under_size(rungs, scale, want)
+    rungs = ladder(spark, sf).withColumns({"lossy": F.col("asset_id") % 3 != 0, "budget": F.col("asset_id") * 17 + 60})
+    scaled = lambda size, pct: F.ceil(size * pct * pct / 10000.0)
+    return Q.fit_under_size(Q.fit_ladder(rungs, F.col("lossy"), scaled))
 
 
 @query("q9_target_presets", """SELECT o_orderkey AS asset_id, CASE o_orderstatus WHEN 'F' THEN 90.0 WHEN 'O' THEN 70.0 ELSE 50.0 END::DOUBLE AS target FROM orders""")
