@@ -337,6 +337,36 @@ def auto_orient(px: DataFrame, orientation: str = "orientation") -> DataFrame:
         orientation: F.lit(None).cast("int")})
 
 
+def _turner(rest: list[str]):
+    """Columns of a block of lines as lines: one block at a time, NULL where a line is missing or too short."""
+    planes = (*CHANNELS, "a")
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        w, h, o, per, b = (block[n][0].as_py() for n in ("w", "h", "_o", "_per", "_b"))
+        first, n = b * per, min(per, w - b * per)
+        y = block["y"].to_numpy()
+        columns = np.arange(first, first + n)
+        made = {}
+        for name in planes:
+            column = block[name].combine_chunks()
+            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+            lengths = column.value_lengths().fill_null(0).to_numpy()
+            at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            values = column.flatten()
+            grid, known = np.zeros((n, h), np.int32), np.zeros((n, h), bool)
+            grid[at, np.repeat(y, lengths)] = values.fill_null(0).to_numpy()
+            known[at, np.repeat(y, lengths)] = values.is_valid().to_numpy(zero_copy_only=False)
+            if o in (6, 7):
+                grid, known = grid[:, ::-1], known[:, ::-1]
+            made[name] = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * h, pa.int32()), pa.array(grid.ravel(), mask=~known.ravel()))
+        whole = lambda v: pa.array(np.full(n, v), pa.int32())
+        same = lambda name: block[name].combine_chunks().take(pa.array(np.zeros(n, np.int64)))
+        turned = w - 1 - columns if o in (7, 8) else columns
+        return pa.table({"asset_id": same("asset_id"), "w": whole(h), "h": whole(w), "y": pa.array(turned, pa.int32()), **made, **{name: same(name) for name in rest}})
+    return run
+
+
 def auto_orient_lines(lines: DataFrame, orientation: str = "orientation") -> DataFrame:
     """:func:`auto_orient` on scanlines.
 
@@ -355,22 +385,14 @@ def auto_orient_lines(lines: DataFrame, orientation: str = "orientation") -> Dat
         "asset_id", "w", "h", F.when(o.isin(3, 4), c("h") - 1 - c("y")).otherwise(c("y")).cast("int").alias("y"),
         *[flipped(o.isin(2, 3), c(n)).alias(n) for n in planes], *rest, unset)
     per = F.greatest(F.lit(1), F.floor(F.lit(TURN_SAMPLES) / c("h"))).cast("int")
-    cut = (lines.where(turned).withColumn("_per", per)
+    cut = (lines.where(turned & c("y").isNotNull()).withColumn("_per", per)
            .withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((c("w") - 1) / c("_per")).cast("int"))))
-           .withColumns({n: F.slice(n, c("_b") * c("_per") + 1, c("_per")) for n in planes}))
-    blocks = cut.groupBy("asset_id", "w", "h", orientation, "_per", "_b").agg(
-        F.array_sort(F.collect_list(F.struct("y", *planes))).alias("_p"), *[F.any_value(n).alias(n) for n in rest])
-    at = F.map_from_entries(F.transform("_p", lambda p: F.struct(p["y"].cast("int").alias("k"), p.alias("v"))))
-    gaps = F.transform(F.sequence(F.lit(0), c("h").cast("int") - 1), lambda k: F.try_element_at(at, k))
-    full = blocks.withColumn("_p", F.when(F.size("_p") < c("h"), gaps).otherwise(c("_p")))
-    columns = F.sequence(F.lit(0), F.least(c("_per"), c("w") - c("_b") * c("_per")).cast("int") - 1)
-    column = lambda i, n: F.transform("_p", lambda p: F.get(p[n], i))
-    made = full.select("asset_id", "w", "h", "_b", "_per", *rest, o, F.explode(F.transform(columns, lambda i: F.struct(
-        i.alias("i"), *[column(i, n).alias(n) for n in planes]))).alias("_l"))
-    x = c("_b") * c("_per") + c("_l.i")
-    return straight.unionByName(made.select(
-        "asset_id", c("h").alias("w"), c("w").alias("h"), F.when(o.isin(7, 8), c("w") - 1 - x).otherwise(x).cast("int").alias("y"),
-        *[flipped(o.isin(6, 7), c(f"_l.{n}")).alias(n) for n in planes], *rest, unset)).select(*lines.columns)
+           .select("asset_id", *[c(n).cast("int").alias(n) for n in ("w", "h", "y")], c(orientation).cast("int").alias("_o"), "_per", "_b",
+                   *[F.slice(c(n).cast("array<int>"), c("_b") * c("_per") + 1, c("_per")).alias(n) for n in planes], *rest))
+    types = {n: lines.schema[n].dataType.simpleString() for n in ("asset_id", *rest)}
+    schema = ", ".join(["asset_id " + types["asset_id"], "w int, h int, y int", *[f"{n} array<int>" for n in planes], *[f"`{n}` {types[n]}" for n in rest]])
+    made = cut.groupBy("asset_id", "_b").applyInArrow(_turner(rest), schema)
+    return straight.unionByName(made.withColumn(orientation, unset)).select(*lines.columns)
 
 
 def gravity_origin(gravity: Column, bw: Column, bh: Column, ow: Column, oh: Column,

@@ -87,6 +87,16 @@ def a5_approx(spark, sf):
     return A.unique_colors_approx(I.pixels(spark, sf))
 
 
+@query("a5_unique_colors_approx_error", ctes(PX) + """SELECT asset_id, count(DISTINCT (r, g, b)) AS unique_colors, true AS within FROM px GROUP BY asset_id""")
+def a5_approx_error(spark, sf):
+    """The sketch against the exact count: within five of its standard errors (one percent), or one colour."""
+    px = I.pixels(spark, sf)
+    exact = A.unique_colors(A.color_counts(px)).select("asset_id", "unique_colors")
+    near = A.unique_colors_approx(px).select("asset_id", F.col("unique_colors").alias("_near"))
+    off = F.abs(F.col("_near") - F.col("unique_colors"))
+    return exact.join(near, "asset_id").select("asset_id", "unique_colors", (off <= F.greatest(F.lit(1.0), 0.05 * F.col("unique_colors"))).alias("within"))
+
+
 @query("a6_gray_ratio", ctes(PX, H, COL) + "SELECT asset_id, round(gray_ratio, 6) AS gray_ratio FROM col")
 def a6(spark, sf):
     return rounded(A.gray_ratio(A.color_counts(I.pixels(spark, sf))), "gray_ratio")
