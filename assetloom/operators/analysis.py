@@ -120,6 +120,7 @@ def edge_flat_ratios(lines: DataFrame, band_lines: int = BAND_LINES, sample_cap:
     Lines are cut into bands of ``band_lines`` with the first line of the next
     band copied over, so one shuffle on (asset, band) gives every line its lower
     neighbour and no group exceeds ``band_lines + 1`` lines however tall the raster.
+    Samples that are missing (NULL) have no difference; the next one in the line is the neighbour.
     """
     require(lines, "asset_id", "w", "h", "y", "r", "g", "b")
     lum = F.transform(F.arrays_zip("r", "g", "b"), lambda p: color.luma(p["r"], p["g"], p["b"]))
@@ -129,13 +130,15 @@ def edge_flat_ratios(lines: DataFrame, band_lines: int = BAND_LINES, sample_cap:
     spread = lines.select("asset_id", "w", "h", "y", lum.alias("c"), F.explode(bands).alias("band"))
     win = Window.partitionBy("asset_id", "band").orderBy("y")
     paired = spread.withColumns({"below": F.lead("c").over(win), "_ny": F.lead("y").over(win)})
-    used = (F.col("_ny") == y + 1) & (F.size("c") > 1)
+    used = F.col("_ny") == y + 1
     if sample_cap is not None:
         used &= y % row_stride(F.col("w"), F.col("h"), sample_cap) == 0
-    n = F.size("c") - 1
-    cells = F.arrays_zip(F.slice("c", F.lit(1), n).alias("c"), F.slice("c", F.lit(2), n).alias("r"),
-                         F.slice("below", F.lit(1), n).alias("b"))
-    grads = paired.select("asset_id", F.explode_outer(F.when(used, cells)).alias("p")).select(
+    there = F.filter(F.arrays_zip("c", "below"), lambda p: p["c"].isNotNull())
+    n = F.greatest(F.size("_p") - 1, F.lit(0))
+    cells = F.arrays_zip(F.slice("_p.c", F.lit(1), n).alias("c"), F.slice("_p.c", F.lit(2), n).alias("r"),
+                         F.slice("_p.below", F.lit(1), n).alias("b"))
+    known = paired.select("asset_id", F.when(used, there).alias("_p"))
+    grads = known.select("asset_id", F.explode_outer(F.when(F.col("_p").isNotNull(), cells)).alias("p")).select(
         "asset_id", (F.abs(F.col("p.r") - F.col("p.c")) + F.abs(F.col("p.b") - F.col("p.c"))).alias("grad"))
     total = F.count("grad")
     return grads.groupBy("asset_id").agg(

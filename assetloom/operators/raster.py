@@ -43,19 +43,30 @@ def explode_array(df: DataFrame, array: str, width: int | Column, value: str = "
 
 
 def explode_pixels(lines: DataFrame) -> DataFrame:
-    """Scanlines -> one row per pixel."""
+    """Scanlines -> one row per pixel. There is none where all samples are NULL."""
     keep = [c for c in lines.columns if c not in ("r", "g", "b", "a")]
     zipped = lines.select(*keep, F.posexplode(F.arrays_zip("r", "g", "b", "a")).alias("x", "_p"))
-    return zipped.select(*keep, "x", *[F.col(f"_p.{c}").alias(c) for c in ("r", "g", "b", "a")])
+    there = zipped.where("_p.r is not null or _p.g is not null or _p.b is not null or _p.a is not null")
+    return there.select(*keep, "x", *[F.col(f"_p.{c}").alias(c) for c in ("r", "g", "b", "a")])
+
+
+def _gather_lines(px: DataFrame, *keys: str) -> DataFrame:
+    """Pixels -> one row per ``keys`` (a line), each sample at its x; NULL samples stand for pixels that are missing."""
+    planes = (*CHANNELS, "a")
+    found = px.groupBy(*keys).agg(F.collect_list(F.struct(F.col("x").cast("int").alias("x"), *planes)).alias("_p"))
+    missing = F.array_except(F.sequence(F.lit(0), F.col("w").cast("int") - 1), F.col("_p.x"))
+    blank = lambda x: F.struct(x.alias("x"), *[F.lit(None).cast(px.schema[c].dataType).alias(c) for c in planes])
+    whole = F.when(F.size("_p") < F.col("w"), F.concat("_p", F.transform(missing, blank))).otherwise(F.col("_p"))
+    return found.withColumn("_p", F.array_sort(whole)).select(*keys, *[F.col(f"_p.{c}").alias(c) for c in planes])
 
 
 def collect_scanlines(px: DataFrame) -> DataFrame:
-    """Pixels -> scanlines. A group is one image line, so at most 65 535 pixels wide."""
+    """Pixels -> scanlines, ``w`` samples each, NULL where a pixel is missing.
+
+    A position has one pixel at most. A group is one image line, so at most 65 535 pixels wide.
+    """
     require(px, "asset_id", "w", "h", "x", "y", *CHANNELS, "a")
-    lines = px.groupBy("asset_id", "w", "h", "y").agg(
-        F.array_sort(F.collect_list(F.struct("x", "r", "g", "b", "a"))).alias("_p"))
-    return lines.select("asset_id", "w", "h", "y",
-                        *[F.col(f"_p.{c}").alias(c) for c in ("r", "g", "b", "a")])
+    return _gather_lines(px, "asset_id", "w", "h", "y")
 
 
 def identity(px: DataFrame) -> DataFrame:
@@ -269,13 +280,8 @@ def resample_lines(lines: DataFrame, depth: int = 8, band_lines: int = BAND_LINE
 def resample(px: DataFrame, depth: int = 8) -> DataFrame:
     """Pixel form of :func:`resample_lines`: pixels are gathered to lines first, gaps filled with NULL samples."""
     require(px, "asset_id", "w", "h", "x", "y", "dw", "dh", *CHANNELS, "a")
-    lines = px.groupBy("asset_id", "w", "h", "dw", "dh", "y").agg(
-        F.array_sort(F.collect_list(F.struct("x", "r", "g", "b", "a"))).alias("_p"))
-    at = F.map_from_entries(F.transform("_p", lambda p: F.struct(p["x"].alias("k"), p.alias("v"))))
-    gaps = F.transform(F.sequence(F.lit(0), F.col("w").cast("int") - 1), lambda x: F.try_element_at(at, x))
-    full = lines.withColumn("_p", F.when(F.size("_p") < F.col("w"), gaps).otherwise(F.col("_p")))
-    flat = full.select("asset_id", "w", "h", "dw", "dh", "y", *[F.col(f"_p.{c}").alias(c) for c in (*CHANNELS, "a")])
-    out = explode_pixels(resample_lines(flat, depth)).where("r is not null")
+    lines = _gather_lines(px, "asset_id", "w", "h", "dw", "dh", "y")
+    out = explode_pixels(resample_lines(lines, depth)).where("r is not null")
     return out.select("asset_id", "w", "h", "x", "y", *CHANNELS, "a")
 
 
@@ -497,7 +503,7 @@ def _line_blender(depth: int, tile: bool):
                 if first >= last:
                     continue
                 here = slice(at[i] + first, at[i] + last)
-                fa, ba = over[3][0][take] / top, base[3][0][here] / top
+                fa, ba = np.nan_to_num(over[3][0][take] / top), base[3][0][here] / top  # no overlay where its pixel is missing
                 out_a = ba + fa - ba * fa
                 met = fa != 0
                 with np.errstate(invalid="ignore", divide="ignore"):
@@ -540,7 +546,7 @@ def watermark_lines(lines: DataFrame, overlay: DataFrame, ow: int, oh: int, grav
         overlay = overlay.withColumn("a", F.transform("a", lambda v: F.round(v * opacity).cast("int")))
     ox, oy = gravity_origin(F.lit(gravity), F.col("w"), F.col("h"), F.lit(ow), F.lit(oh), F.lit(margin))
     out = composite_lines(lines, overlay, ox, oy, depth, oh if tile else None)
-    full = F.transform("a", lambda _: F.lit(2 ** depth - 1))
+    full = F.transform("a", lambda v: F.when(v.isNotNull(), F.lit(2 ** depth - 1)))
     return out if had_alpha is None else out.withColumn("a", F.when(had_alpha, F.col("a")).otherwise(full))
 
 

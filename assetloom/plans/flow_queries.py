@@ -109,7 +109,7 @@ def p7(spark, sf):
     facts = I.raster_facts(spark, sf).select("asset_id", "source_format", "width")
     kept, failed = SO.split_failures(I.lines(spark, sf).join(facts, "asset_id"), {"unsupported": F.col("source_format") == "ico", "too small": F.col("width") < 100})
     done = P.apply_recipe_lines(kept, [("invert", {}), ("identity", {})]).withColumn("error", F.lit(None).cast("string"))
-    return done.unionByName(failed).groupBy("asset_id", "error").agg(F.sum(F.size("r")).alias("pixels"), F.sum(P.line_sum("r")).alias("red"))
+    return done.unionByName(failed).groupBy("asset_id", "error").agg(F.sum(F.size(F.array_compact("r"))).alias("pixels"), F.sum(P.line_sum("r")).alias("red"))
 
 
 MENU = [("lossy", "false", "avif:lossy webp:lossy jpeg:lossy"), ("lossy", "true", "avif:lossy webp:lossy webp:lossless png:lossless"),
