@@ -25,7 +25,7 @@ def partial(tmp_path_factory):
     return cut(tmp_path_factory.mktemp("partial"), "vec_id % 16 < 5", "vec_id % 16 NOT IN (1, 6, 11)", "vec_id % 16 NOT BETWEEN 4 AND 7")
 
 
-@pytest.mark.parametrize("name", ["p8_web", "p7_batch_apply", "r1_explode_pixels", "r13_composite_lines", "r13_watermark_lines", "r14_composite_tiled_lines"])
+@pytest.mark.parametrize("name", ["p8_web", "p8_web_traces", "p7_batch_apply", "r1_explode_pixels", "r13_composite_lines", "r13_watermark_lines", "r14_composite_tiled_lines"])
 def test_query_on_partial_rasters(spark, partial, name):
     assert compare(spark, connect(partial), name, partial) is None
 
