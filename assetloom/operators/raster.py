@@ -69,6 +69,13 @@ def collect_scanlines(px: DataFrame) -> DataFrame:
     return _gather_lines(px, "asset_id", "w", "h", "y")
 
 
+def _filled(plane: str, kind: str = "int") -> Column:
+    """A line's samples, NULL ones behind them where it is shorter than its raster is wide."""
+    known = F.coalesce(F.col(plane).cast(f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
+    rest = F.array_repeat(F.lit(None).cast(kind), F.col("w").cast("int") - F.size(known))
+    return F.when(F.size(known) < F.col("w"), F.concat(known, rest)).otherwise(known)
+
+
 def identity(px: DataFrame) -> DataFrame:
     """No-op."""
     return px
@@ -253,8 +260,8 @@ def resample_lines(lines: DataFrame, depth: int = 8, band_lines: int = BAND_LINE
     Lines are brought to their new width where they are read, tap by tap, so that what moves is as wide as the result.
     Every line is then copied to the bands of destination lines it reaches; one shuffle on (asset, band) brings a band
     together, where lines are added to at most ``band_lines`` destination lines as they stream in. Rasters that keep
-    their height skip the shuffle, those that keep their size come back as they are. Samples outside the raster do not
-    exist; weights are renormalised over those that do.
+    their height skip the shuffle, those that keep their size come back as they are. Samples outside the raster and those
+    behind the end of a short line do not exist; weights are renormalised over those that do.
     """
     require(lines, "asset_id", "w", "h", "y", "dw", "dh", *CHANNELS, "a")
     c, planes = F.col, (*CHANNELS, "a")
@@ -263,7 +270,7 @@ def resample_lines(lines: DataFrame, depth: int = 8, band_lines: int = BAND_LINE
     whole = lambda n: c(n).cast("array<int>").alias(n)
     untouched = lines.where(same).select("asset_id", *dims, c("y").cast("int").alias("y"), *[whole(n) for n in planes])
     kind = lines.schema["asset_id"].dataType.simpleString()
-    sized = lines.where(~same).select("asset_id", *[c(n).cast("int").alias(n) for n in ("w", "h", "dw", "dh", "y")], *[whole(n) for n in planes])
+    sized = lines.where(~same).select("asset_id", *[c(n).cast("int").alias(n) for n in ("w", "h", "dw", "dh", "y")], *[_filled(n).alias(n) for n in planes])
     columns = lambda t: f"asset_id {kind}, w int, h int, dw int, dh int, y int, " + ", ".join(f"{n} array<{t}>" for n in planes)
     flat = sized.where("h = dh").mapInArrow(_line_resampler(depth, True), columns("int")).select("asset_id", *dims, "y", *planes)
     # no fewer than 8 lines in a band, or a strong shrink would copy each line often; no more than fit, or an enlargement would be one band

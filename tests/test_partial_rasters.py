@@ -25,7 +25,7 @@ def partial(tmp_path_factory):
     return cut(tmp_path_factory.mktemp("partial"), "vec_id % 16 < 5", "vec_id % 16 NOT IN (1, 6, 11)", "vec_id % 16 NOT BETWEEN 4 AND 7")
 
 
-@pytest.mark.parametrize("name", ["p8_web", "p8_web_traces", "p7_batch_apply", "r1_explode_pixels", "r13_composite_lines", "r13_watermark_lines", "r14_composite_tiled_lines"])
+@pytest.mark.parametrize("name", ["p8_web", "p8_web_traces", "p7_batch_apply", "r9_resize_fill_lines", "r1_explode_pixels", "r13_composite_lines", "r13_watermark_lines", "r14_composite_tiled_lines"])
 def test_query_on_partial_rasters(spark, partial, name):
     assert compare(spark, connect(partial), name, partial) is None
 
@@ -51,3 +51,17 @@ def test_missing_pixels_of_an_overlay_cover_nothing(make_px):
     assert sorted(R.explode_pixels(got).select(*base.columns).collect()) == sorted(R.composite(base, side, 1, 1).select(*base.columns).collect())
     got = R.composite_lines(R.collect_scanlines(base), R.collect_scanlines(over).select("y", *PLANES), tile=2)
     assert sorted(R.explode_pixels(got).select(*base.columns).collect()) == sorted(R.composite_tiled(base, side, 3, 2).select(*base.columns).collect())
+
+
+def short_lines(spark):
+    """Lines as a file may hold them: cut short, empty, or not there at all."""
+    rows = [(1, 6, 4, y, *[line] * 4) for y, line in enumerate([[10, 20, 30, 40, 50, 60], [70, 80, 90], [], None])]
+    return spark.createDataFrame(rows, "asset_id BIGINT, w INT, h INT, y INT, r ARRAY<INT>, g ARRAY<INT>, b ARRAY<INT>, a ARRAY<INT>")
+
+
+@pytest.mark.parametrize("size", [(3, 2), (3, 4), (9, 7)])
+def test_short_lines_are_resampled_like_their_pixels(spark, size):
+    lines = short_lines(spark)
+    want = R.resize(R.explode_pixels(lines), "exact", *size)
+    got = R.explode_pixels(R.resize_lines(lines, "exact", *size)).select(*want.columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and want.count() > 0
