@@ -386,17 +386,17 @@ def auto_orient_lines(lines: DataFrame, orientation: str = "orientation") -> Dat
     Orientations 1 to 4 mirror lines where they are read, without a shuffle. For 5 to 8 lines are cut into blocks of
     columns, as many columns as keep a block within ``TURN_SAMPLES`` samples (one at least); one shuffle on (asset, block)
     brings a block together, which leaves as whole lines, so no task holds more of a raster than that. Samples of a line
-    that is missing are NULL. Columns beside the raster's own must be the same for all its lines.
+    that is missing, or behind the end of a short one, are NULL. Columns beside the raster's own must be the same for all its lines.
     """
     require(lines, "asset_id", "w", "h", "y", *CHANNELS, "a", orientation)
     c, planes, o = F.col, (*CHANNELS, "a"), F.col(orientation)
     rest = [n for n in lines.columns if n not in ("asset_id", "w", "h", "y", *planes, orientation)]
     turned = F.coalesce(o.isin(5, 6, 7, 8), F.lit(False))
     unset = F.lit(None).cast("int").alias(orientation)
-    flipped = lambda test, v: F.when(test, F.reverse(v)).otherwise(v)
+    flipped = lambda n: F.when(o.isin(2, 3), F.reverse(_filled(n, lines.schema[n].dataType.elementType.simpleString()))).otherwise(c(n))
     straight = lines.where(~turned).select(
         "asset_id", "w", "h", F.when(o.isin(3, 4), c("h") - 1 - c("y")).otherwise(c("y")).cast("int").alias("y"),
-        *[flipped(o.isin(2, 3), c(n)).alias(n) for n in planes], *rest, unset)
+        *[flipped(n).alias(n) for n in planes], *rest, unset)
     per = F.greatest(F.lit(1), F.floor(F.lit(TURN_SAMPLES) / c("h"))).cast("int")
     cut = (lines.where(turned & c("y").isNotNull()).withColumn("_per", per)
            .withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((c("w") - 1) / c("_per")).cast("int"))))

@@ -25,7 +25,7 @@ def partial(tmp_path_factory):
     return cut(tmp_path_factory.mktemp("partial"), "vec_id % 16 < 5", "vec_id % 16 NOT IN (1, 6, 11)", "vec_id % 16 NOT BETWEEN 4 AND 7")
 
 
-@pytest.mark.parametrize("name", ["p8_web", "p8_web_traces", "p7_batch_apply", "r9_resize_fill_lines", "r1_explode_pixels", "r13_composite_lines", "r13_watermark_lines", "r14_composite_tiled_lines"])
+@pytest.mark.parametrize("name", ["p8_web", "p8_web_traces", "p7_batch_apply", "r9_resize_fill_lines", "r11_auto_orient_lines", "r1_explode_pixels", "r13_composite_lines", "r13_watermark_lines", "r14_composite_tiled_lines"])
 def test_query_on_partial_rasters(spark, partial, name):
     assert compare(spark, connect(partial), name, partial) is None
 
@@ -65,3 +65,11 @@ def test_short_lines_are_resampled_like_their_pixels(spark, size):
     want = R.resize(R.explode_pixels(lines), "exact", *size)
     got = R.explode_pixels(R.resize_lines(lines, "exact", *size)).select(*want.columns)
     assert sorted(got.collect()) == sorted(want.collect()) and want.count() > 0
+
+
+@pytest.mark.parametrize("o", range(1, 9))
+def test_short_lines_are_turned_like_their_pixels(spark, o):
+    lines = short_lines(spark).selectExpr("*", f"{o} AS orientation")
+    want = R.auto_orient(R.explode_pixels(lines)).drop("orientation")
+    got = R.explode_pixels(R.auto_orient_lines(lines)).select(*want.columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and want.count() == 9
