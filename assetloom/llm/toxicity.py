@@ -9,6 +9,8 @@ offsets, and their sums, through a calibrated logistic, the document's score.
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,6 +31,8 @@ TRAIN_TOKENS = 400_000
 CHAIN = 256
 #: Characters scored at once by a task.
 SLICE_CHARS = 2_000_000
+#: What a task keeps: emissions of tokens; weights of beginnings, and of ends, of words.
+TOKENS, AFFIXES = 500_000, 100_000
 TOKEN = re.compile(r"\S+")
 LIMIT = 30.0
 
@@ -38,13 +42,20 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def prefixes(head: str) -> list[str]:
+    """Features of a word's beginning: ``head`` is the word without its last character, five characters at most."""
+    return ["p" + head[:k] for k in range(2, len(head) + 1)]
+
+
+def suffixes(tail: str) -> list[str]:
+    """Features of a word's end: ``tail`` is the word without its first character, the last five at most."""
+    return ["s" + tail[-k:] for k in range(3, len(tail) + 1)]
+
+
 def features(token: str) -> list[str]:
     """The word itself and its affixes; case and surrounding punctuation do not count."""
     w = token.lower().strip(punctuation)
-    if not w:
-        return []
-    n = len(w)
-    return ["w" + w, *["p" + w[:k] for k in range(2, 6) if k < n], *["s" + w[-k:] for k in range(3, 6) if k < n]]
+    return ["w" + w, *prefixes(w[:-1][:5]), *suffixes(w[1:][-5:])] if w else []
 
 
 @dataclass
@@ -56,19 +67,31 @@ class Chain:
     step: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     calibration: np.ndarray = field(default_factory=lambda: np.array([-LIMIT, 0.0, 0.0]))
 
-    def emission(self, token: str) -> float:
-        get = self.weight.get
-        return max(-LIMIT, min(LIMIT, self.bias + sum(get(f, 0.0) for f in features(token))))
+class _Affixes(dict):
+    """Known weights of the features that ``names`` lists for a beginning or an end of a word."""
+
+    def __init__(self, chain: Chain, names):
+        self.weight, self.names = chain.weight, names
+
+    def __missing__(self, affix: str) -> tuple[float, ...]:
+        if len(self) > AFFIXES:
+            self.clear()
+        value = self[affix] = tuple(self.weight[f] for f in self.names(affix) if f in self.weight)
+        return value
 
 
 class _Memo(dict):
+    """Emission of each lower-case token, before it is clipped. Words are many but share their affixes."""
+
     def __init__(self, chain: Chain):
-        self.chain = chain
+        self.bias, self.word = chain.bias, chain.weight.get
+        self.heads, self.tails = _Affixes(chain, prefixes), _Affixes(chain, suffixes)
 
     def __missing__(self, token: str) -> float:
-        if len(self) > 300_000:
+        if len(self) > TOKENS:
             self.clear()
-        value = self[token] = self.chain.emission(token)
+        w = token.strip(punctuation)
+        value = self[token] = self.bias + sum([self.word("w" + w, 0.0), *self.heads[w[:-1][:5]], *self.tails[w[1:][-5:]]])
         return value
 
 
@@ -122,18 +145,18 @@ def document_evidence(odds: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(n), np.log(total), top], axis=1)
 
 
-def score_texts(chain: Chain, memo: _Memo, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Evidence per text, token log-odds and tokens per text."""
-    values: list[float] = []
-    lengths, tokens = [], np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        before = len(values)
-        for seq in chains_of(text):
-            values += [memo[w] for w in seq]
-            lengths.append(len(seq))
-        tokens[k] = len(values) - before
-    odds = marginals(np.array(values), np.array(lengths, np.int64), chain.step)[0] if values else np.empty(0)
-    return document_evidence(odds, tokens), odds, tokens
+def score_texts(chain: Chain, memo: _Memo, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Evidence per text, token log-odds, and tokens per line of each text."""
+    values = array("d")
+    lengths, lines = [], []
+    for text in texts:
+        tokens = [line.split() for line in text.lower().split("\n")]  # as many as before: no white space has a case
+        lines.append([len(x) for x in tokens])
+        for line in tokens:
+            values.extend(map(memo.__getitem__, line))
+            lengths += [min(CHAIN, len(line) - i) for i in range(0, len(line), CHAIN)]
+    odds = marginals(np.clip(values, -LIMIT, LIMIT), np.array(lengths, np.int64), chain.step)[0] if values else np.empty(0)
+    return document_evidence(odds, np.array([sum(x) for x in lines], np.int64)), odds, lines
 
 
 def _marked_features(texts: list[str], toxic: np.ndarray) -> set[str]:
@@ -262,6 +285,28 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 10, s
     return chain
 
 
+def _first_ids(known: DataFrame, n: dict[int, int], bounds: dict[int, int]) -> DataFrame:
+    """Of each class about twice as many ids as its bound, those of least hash; all ids of a small class."""
+    last = {y: min(2 ** 63 - 1, 2 ** 65 * (bound + 50) // max(1, n.get(y, 0)) - 2 ** 63) for y, bound in bounds.items()}
+    return known.where(F.col("turn") <= F.when(F.col("y") == 1, last[1]).when(F.col("y") == 0, last[0]))
+
+
+def _choose(known: DataFrame, texts: DataFrame, n: dict[int, int], bounds: dict[int, int], sample_chars: int) -> tuple[list[tuple], bool]:
+    """``(id, h, y)`` of the sample, and whether a class has more ids than its bound but not that many with a text that fits."""
+    one = texts.groupBy("id").agg(F.min(F.struct("h", F.length("text").alias("n"))).alias("t"))  # a row per id before any join
+    labelled = known.join(one, "id").select("id", "y", "turn", "t.*")
+    taken, short = [], False
+    for y, bound in bounds.items():
+        room = sample_chars
+        found = labelled.where((F.col("y") == y) & (F.col("n") <= sample_chars)).orderBy("turn", "id").limit(bound).collect()
+        short |= len(found) < min(bound, n.get(y, 0))
+        for r in found:
+            if r.n <= room:
+                room -= r.n
+                taken.append((r.id, r.h, r.y))
+    return taken, short
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic",
         toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS, sample_chars: int = SAMPLE_CHARS) -> Chain:
     """Train on a bounded sample of labelled documents that are not held out.
@@ -271,25 +316,25 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     null ids are left out; a document with several labels is toxic if one of them says so. A class that has labels but
     no text is an error, since the scores would be constant; an empty table is not.
     """
+    order = F.xxhash64(F.col("id").cast("string"), F.lit("sample"), F.col("y"))
     known = (labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{toxic}`").cast("int").alias("y"))
-             .where("id is not null and y is not null").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")))
-    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    counts = known.groupBy("y").count().collect()  # two rows
-    n = {r["y"]: r["count"] for r in counts}
-    one = texts.where("id is not null").groupBy("id").agg(F.min(F.struct("h", F.length("text").alias("n"))).alias("t"))  # a row per id before any join
-    labelled = known.join(one, "id").select("id", "y", "t.*")
-    taken = []
-    for y, bound in ((1, toxic_docs), (0, clean_docs)):
-        order = F.xxhash64(F.col("id").cast("string"), F.lit("sample"), F.lit(y))
-        room = sample_chars
-        for r in labelled.where((F.col("y") == y) & (F.col("n") <= sample_chars)).orderBy(order, "id").limit(bound).collect():
-            if r.n <= room:
-                room -= r.n
-                taken.append((r.id, r.h, r.y))
+             .where("id is not null and y is not null").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")).withColumn("turn", order))
+    n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    bounds = {1: toxic_docs, 0: clean_docs}
+    plain = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).where("id is not null")
+    # Ids alone decide the order: the rows of the first few are read once and kept. Only if too few of those have a text that fits, all are looked at.
+    few = _first_ids(known, n, bounds)
+    texts = plain.join(F.broadcast(few.select("id")), "id", "left_semi").withColumn("h", F.xxhash64("text")).persist()
+    taken, short = _choose(few, texts, n, bounds, sample_chars)
+    if short:
+        texts.unpersist()
+        texts = plain.withColumn("h", F.xxhash64("text"))
+        taken, _ = _choose(known, texts, n, bounds, sample_chars)
     rows = []
     if taken:
-        wanted = F.broadcast(docs.sparkSession.createDataFrame(taken, labelled.select("id", "h", "y").schema))
+        wanted = F.broadcast(docs.sparkSession.createDataFrame(taken, known.join(texts, "id").select("id", "h", "y").schema))
         rows = texts.join(wanted, ["id", "h"]).groupBy("id", "h", "y").agg(F.first("text").alias("text")).collect()  # equal rows give one
+    texts.unpersist()
     empty = [y for y in (1, 0) if n.get(y) and not any(r.y == y for r in rows)]
     if empty and not docs.isEmpty():
         raise ValueError(f"no text of at most {sample_chars} characters for the labels {toxic} = {empty}")
@@ -299,25 +344,31 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def _scorer(chain: Chain):
-    def spans_of(text: str, odds: np.ndarray) -> list[tuple[int, int]]:
+    def spans_of(text: str, hits: list[int], lines: list[int]) -> str:
         spans: list[tuple[int, int]] = []
-        last = -2
-        for k, m in enumerate(TOKEN.finditer(text)):
-            if odds[k] >= 0:
+        last, first, at = -2, 0, 0  # first token and place of the line; places are looked for in lines that hold a hit
+        for line, n in zip(text.split("\n"), lines, strict=True):
+            mine = hits[bisect_left(hits, first):bisect_left(hits, first + n)]
+            places = [m.span() for m in TOKEN.finditer(line)] if mine else []
+            for k in mine:
+                start, end = places[k - first]
                 if k == last + 1 and spans:
-                    spans[-1] = (spans[-1][0], m.end())
+                    spans[-1] = (spans[-1][0], at + end)
                 else:
-                    spans.append(m.span())
+                    spans.append((at + start, at + end))
                 last = k
-        return spans
+            first += n
+            at += len(line) + 1
+        return ",".join(f"{a}:{b}" for a, b in spans)
 
     def flush(texts: list[str], memo: _Memo):
-        evidence, odds, tokens = score_texts(chain, memo, texts)
+        evidence, odds, lines = score_texts(chain, memo, texts)
         score = _sigmoid(evidence @ chain.calibration)
-        first = np.cumsum(tokens) - tokens
-        bad = evidence[:, 2] >= 0
-        spans = [",".join(f"{a}:{b}" for a, b in spans_of(t, odds[f:f + n])) if hit else ""
-                 for t, f, n, hit in zip(texts, first, tokens, bad, strict=True)]
+        spans, first = [], 0
+        for text, own, hit in zip(texts, lines, evidence[:, 2] >= 0, strict=True):
+            n = sum(own)
+            spans.append(spans_of(text, np.flatnonzero(odds[first:first + n] >= 0).tolist(), own) if hit else "")
+            first += n
         return score, spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,13 +393,13 @@ def _scorer(chain: Chain):
     return run
 
 
-def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
-    """``row`` (all columns), ``score`` (0 to 1), ``predicted`` and ``spans`` (``start:end`` in code points) of every row.
+def score(docs: DataFrame, chain: Chain, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns in ``keep``, or all), ``score`` (0 to 1), ``predicted`` and ``spans`` (``start:end`` in code points) of every row.
 
     One pass, no shuffle; each task keeps one slice of texts in memory, and a very long text is one slice. Null and
     empty texts have no token and get the score that no evidence gives. Repeated rows get equal scores.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
     out = rows.mapInArrow(_scorer(chain), f"row {rows.schema['row'].dataType.simpleString()}, score double, spans string")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
