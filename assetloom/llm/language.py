@@ -33,6 +33,9 @@ BLOCK, SLICE_CHARS = 64, 1 << 20
 _OTHER = re.compile(r"[\W\d_]+")
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 _BITS = 18
+#: Largest table of a tree; a vocabulary with more letters than fit is looked up by hash.
+TREE_CELLS = 1 << 24
+_SPACE = 1
 
 
 def plain(text: str) -> str:
@@ -86,26 +89,91 @@ class Index:
         return np.concatenate(places), np.concatenate(columns)
 
 
+    @property
+    def nodes(self) -> int:
+        return len(self.keys)
+
+    def codes(self, text: str) -> np.ndarray:
+        """Code points of a lower-case text in its plain form, and a zero."""
+        return np.append(_codes(plain(text)), np.uint32(0))
+
+    def columns(self, codes: np.ndarray) -> Iterator[np.ndarray]:
+        """For each length, the column of the n-gram that starts at each place; the last one if it is unknown."""
+        for h in ngram_hashes(codes):
+            out = np.full(len(h), len(self.keys) - 1)
+            places, columns = self.find(h)
+            out[places] = columns
+            yield out
+
+
+class Tree:
+    """The n-grams as a tree of letters: ``step[node, letter]`` is the node of the n-gram that is one letter longer.
+
+    The first nodes are the columns of the n-grams. Behind them stand one for all that is unknown, the root, and
+    beginnings of n-grams that are no n-grams of the kernel themselves. Letter 0 is in no n-gram, ``_SPACE`` is
+    whatever is not a letter.
+    """
+
+    def __init__(self, grams: list[str]):
+        alphabet = sorted(set("".join(grams)) - {" "})
+        every = "".join(map(chr, range(0x110000)))
+        self.letters = np.zeros(len(every), np.uint16)
+        for m in _OTHER.finditer(every):
+            self.letters[m.start():m.end()] = _SPACE
+        number = {" ": _SPACE} | {c: k for k, c in enumerate(alphabet, _SPACE + 1)}
+        self.letters[[ord(c) for c in alphabet]] = list(number.values())[1:]
+        node = {g: k for k, g in enumerate(grams)}
+        self.unknown, self.root = len(grams), len(grams) + 1
+        node[""] = self.root
+        for g in grams:
+            for n in range(1, len(g)):
+                node.setdefault(g[:n], len(node) + 1)
+        self.nodes = len(node) + 1
+        self.step = np.full((self.nodes, len(alphabet) + 2), self.unknown, np.int32)
+        for g, k in node.items():
+            if g:
+                self.step[node[g[:-1]], number[g[-1]]] = k
+
+    @staticmethod
+    def fits(grams: list[str]) -> bool:
+        return (len({g[:n] for g in grams for n in range(ORDER + 1)}) + 1) * (len(set("".join(grams))) + 2) <= TREE_CELLS
+
+    def codes(self, text: str) -> np.ndarray:
+        """Letters of a lower-case text in its plain form, and a zero."""
+        codes = self.letters[_codes(f" {text} ")]
+        space = codes == _SPACE
+        return np.append(codes[np.append(True, ~(space[1:] & space[:-1]))], np.uint16(0))
+
+    def columns(self, codes: np.ndarray) -> Iterator[np.ndarray]:
+        """For each length, the node of the n-gram that starts at each place."""
+        codes = codes.astype(np.intp)
+        step, letters = self.step.reshape(-1), self.step.shape[1]
+        node = self.step[self.root].take(codes)
+        yield node
+        for n in range(2, ORDER + 1):
+            node = step.take(node[:-1] * letters + codes[n - 1:])
+            yield node
+
+
 class Model:
-    """``languages``, ``index`` of n-grams, ``landmarks`` (scaled presence, n-grams by landmarks), ``weights``, ``sharpness``."""
+    """``languages``, ``index`` of n-grams and how they are found (``finder``), ``landmarks`` (scaled presence, n-grams by landmarks), ``weights``, ``sharpness``."""
 
     languages: list[str]
 
     def presence(self, texts: list[str]) -> np.ndarray:
-        """Which n-grams of the kernel stand in each text: whole texts, in slices that overlap by an n-gram."""
-        width = len(self.index.keys) - 1
-        out = np.zeros((len(texts), width), np.float32)
+        """Which n-grams of the kernel stand in each lower-case text: whole texts, in slices that overlap by an n-gram."""
+        nodes = self.finder.nodes
+        out = np.zeros((len(texts), nodes), bool)
         flat = out.reshape(-1)
         part, owner, room = [], [], SLICE_CHARS
 
         def mark():
-            codes, rows = np.concatenate(part), np.repeat(owner, [len(x) for x in part])
-            for h in ngram_hashes(codes):  # an n-gram that crosses from one text to the next holds a zero and is unknown
-                places, columns = self.index.find(h)
-                flat[rows[places] * width + columns] = 1.0
+            codes, rows = np.concatenate(part), np.repeat(np.array(owner) * nodes, [len(x) for x in part])
+            for columns in self.finder.columns(codes):  # an n-gram that crosses from one text to the next holds a zero and is unknown
+                flat[rows[:len(columns)] + columns] = True
 
         for row, text in enumerate(texts):
-            codes = np.append(_codes(text), np.uint32(0))
+            codes = self.finder.codes(text)
             for start in range(0, len(codes), SLICE_CHARS):
                 piece = codes[start:start + SLICE_CHARS + ORDER]
                 part.append(piece)
@@ -116,21 +184,37 @@ class Model:
                     part, owner, room = [], [], SLICE_CHARS
         if part:
             mark()
-        return out
+        return out[:, :len(self.index.keys) - 1].astype(np.float32)
 
     def kernel(self, presence: np.ndarray) -> np.ndarray:
         """Kernel of rows and landmarks; a row without a known n-gram is like none of them."""
-        own = np.sqrt(np.maximum(presence.sum(axis=1, dtype=np.float64), 1.0))
+        own = np.sqrt(np.maximum(presence.sum(axis=1).astype(np.float64), 1.0))  # sums of ones, exact
         return (presence @ self.landmarks) / own[:, None]
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the likeliest language and its share of the weight, for plain texts."""
+        """Number of the likeliest language and its share of the weight, for lower-case texts."""
         f = self.kernel(self.presence(texts)) @ self.weights + self.intercept
         e = np.exp(self.sharpness * (f - f.max(axis=1, keepdims=True)))
         best = f.argmax(axis=1)
         return best, e[np.arange(len(f)), best] / e.sum(axis=1)
 
 
+def _spelled(index: Index, texts: list[str]) -> list[str]:
+    """The n-grams of an index, as they stand in the plain texts that it was made from."""
+    grams = [""] * (len(index.keys) - 1)
+    missing = np.ones(len(grams), bool)
+    for text in texts:
+        for n, h in enumerate(ngram_hashes(_codes(text)), 1):
+            places, columns = index.find(h)
+            new = missing[columns]
+            for place, column in zip(places[new].tolist(), columns[new].tolist(), strict=True):
+                grams[column] = text[place:place + n]
+            missing[columns] = False
+        if not missing.any():
+            break
+    return grams
+
+
 def train(rows: list[tuple[str, str]]) -> Model:
     """Fit on ``(language, text)``; the order of the rows picks the landmarks, in turn by language."""
     model = Model()
@@ -142,6 +226,8 @@ def train(rows: list[tuple[str, str]]) -> Model:
     enough = times >= min(MIN_DOCS, max(1, len(texts) // 4))
     seen, times = seen[enough], times[enough]
     model.index = Index(np.sort(seen[np.lexsort((seen, -times))[:VOCABULARY]]))
+    grams = _spelled(model.index, texts)
+    model.finder = Tree(grams) if Tree.fits(grams) else model.index
     presence = model.presence(texts)
     label = np.array([model.languages.index(lang) for lang, _ in rows])
     size = presence.sum(axis=1)
@@ -194,7 +280,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 def _scorer(model: Model):
     def flush(texts: list[str | None]) -> tuple[list[str], list[float]]:
-        read = [plain(t or "") for t in texts]
+        read = [(t or "").lower() for t in texts]
         known = [i for i, t in enumerate(read) if model.languages and any(map(str.isalpha, t))]
         names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         if known:

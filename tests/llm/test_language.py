@@ -74,3 +74,38 @@ def test_odd_rows(spark, odd_docs, no_docs):
     letters = spark.createDataFrame([(1, "Ωμέγα"), (2, "1234 !? ²½Ⅷ"), (3, "ª"), (4, "x" * 3_000_000)], "doc_id bigint, text string")
     got = {r.row.doc_id: r.lang_pred for r in language.identify(letters, model).collect()}
     assert got[2] == "und" and got[1] != "und" and got[4] != "und"
+
+
+ROWS = [("en", f"the cat number {i} sat on the mat and was happy, with {chr(97 + i)} hat") for i in range(6)]
+ROWS += [("el", f"η γάτα {i} κάθισε στο χαλί, ΌΠΩΣ ΠΆΝΤΑ {chr(0x3b1 + i)}") for i in range(6)]
+ODD = ["", "  ", "12_3 !?", "the", "The  CAT\n\n12 sat", "_the_cat_", "ΌΠΩΣ ΠΆΝΤΑ", "İ the İstanbul", "²½Ⅷ the", "日本 the 日", "\u0000the\u0000", "t", " h", "\U0001f600cat\U0001f600 mat", "the cat sat on the mat " * 40]
+
+
+def test_tree_finds_the_same_ngrams_as_hashes(monkeypatch):
+    monkeypatch.setattr(language, "MIN_DOCS", 2)
+    monkeypatch.setattr(language, "SLICE_CHARS", 50)  # texts cross slices
+    tree = language.train(ROWS)
+    monkeypatch.setattr(language, "TREE_CELLS", 0)
+    hashed = language.train(ROWS)
+    assert isinstance(tree.finder, language.Tree) and hashed.finder is hashed.index
+    known = language._spelled(tree.index, [language.plain(t) for _, t in ROWS])
+    assert len(set(known)) == len(known) and all(known)
+    texts = [t.lower() for t in ODD]
+    got = tree.presence(texts)
+    for row, text in zip(got, texts, strict=True):
+        if any(map(str.isalpha, text)):
+            assert {known[k] for k in np.flatnonzero(row)} == grams(text) & set(known)
+    assert np.array_equal(got, hashed.presence(texts))
+    assert all(np.array_equal(a, b) for a, b in zip(tree.score(texts), hashed.score(texts), strict=True))
+
+
+def test_beginnings_that_are_no_ngrams_are_not_marked():
+    tree = language.Tree([" the", "cat", "e"])
+    marks = np.zeros(tree.nodes, bool)
+    for columns in tree.columns(tree.codes("the cat")):
+        marks[columns] = True
+    assert marks[:3].all()
+    marks[:] = False
+    for columns in tree.columns(tree.codes("th ca")):
+        marks[columns] = True
+    assert not marks[:3].any()
