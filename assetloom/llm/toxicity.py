@@ -11,13 +11,15 @@ from __future__ import annotations
 import re
 from array import array
 from bisect import bisect_left
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,10 @@ TRAIN_TOKENS = 400_000
 CHAIN = 256
 #: Characters scored at once by a task.
 SLICE_CHARS = 2_000_000
-#: What a task keeps: emissions of tokens; weights of beginnings, and of ends, of words.
-TOKENS, AFFIXES = 500_000, 100_000
+#: Different tokens whose emissions a task keeps.
+TOKENS = 500_000
+#: Lengths of the affixes that are features of a word.
+PREFIXES, SUFFIXES = range(2, 6), range(3, 6)
 TOKEN = re.compile(r"\S+")
 LIMIT = 30.0
 
@@ -42,20 +46,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def prefixes(head: str) -> list[str]:
-    """Features of a word's beginning: ``head`` is the word without its last character, five characters at most."""
-    return ["p" + head[:k] for k in range(2, len(head) + 1)]
-
-
-def suffixes(tail: str) -> list[str]:
-    """Features of a word's end: ``tail`` is the word without its first character, the last five at most."""
-    return ["s" + tail[-k:] for k in range(3, len(tail) + 1)]
-
-
 def features(token: str) -> list[str]:
     """The word itself and its affixes; case and surrounding punctuation do not count."""
     w = token.lower().strip(punctuation)
-    return ["w" + w, *prefixes(w[:-1][:5]), *suffixes(w[1:][-5:])] if w else []
+    if not w:
+        return []
+    n = len(w)
+    return ["w" + w, *["p" + w[:k] for k in PREFIXES if k < n], *["s" + w[-k:] for k in SUFFIXES if k < n]]
 
 
 @dataclass
@@ -67,32 +64,45 @@ class Chain:
     step: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     calibration: np.ndarray = field(default_factory=lambda: np.array([-LIMIT, 0.0, 0.0]))
 
-class _Affixes(dict):
-    """Known weights of the features that ``names`` lists for a beginning or an end of a word."""
-
-    def __init__(self, chain: Chain, names):
-        self.weight, self.names = chain.weight, names
 
-    def __missing__(self, affix: str) -> tuple[float, ...]:
-        if len(self) > AFFIXES:
-            self.clear()
-        value = self[affix] = tuple(self.weight[f] for f in self.names(affix) if f in self.weight)
-        return value
-
-
-class _Memo(dict):
-    """Emission of each lower-case token, before it is clipped. Words are many but share their affixes."""
+class _Memo:
+    """Lower-case tokens, numbered as they come, and the emission of each before it is clipped."""
 
     def __init__(self, chain: Chain):
-        self.bias, self.word = chain.bias, chain.weight.get
-        self.heads, self.tails = _Affixes(chain, prefixes), _Affixes(chain, suffixes)
-
-    def __missing__(self, token: str) -> float:
-        if len(self) > TOKENS:
-            self.clear()
-        w = token.strip(punctuation)
-        value = self[token] = self.bias + sum([self.word("w" + w, 0.0), *self.heads[w[:-1][:5]], *self.tails[w[1:][-5:]]])
-        return value
+        self.bias = chain.bias
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.emission = np.empty(0)
+        self.weights = []  # of the words, then of the affixes of each length; the last weight is that of unknown ones
+        for kind, k in [("w", 0), *(("p", k) for k in PREFIXES), *(("s", k) for k in SUFFIXES)]:
+            known = {f[1:]: x for f, x in chain.weight.items() if f[0] == kind and k in (0, len(f) - 1)}
+            self.weights.append((kind, k, pa.array(list(known), pa.string()), np.array([*known.values(), 0.0])))
+
+    def emissions(self, lines: Iterable[list[str]]) -> np.ndarray:
+        """Emission of each token of the lines."""
+        if len(self.number) > TOKENS:
+            self.number.clear()
+            self.emission = np.empty(0)
+        numbers = array("q")
+        for line in lines:
+            numbers.extend(map(self.number.__getitem__, line))
+        new = [token.strip(punctuation) for token in islice(self.number, len(self.emission), None)]
+        self.emission = np.append(self.emission, self.bias + self._weight(pa.array(new, pa.string())))
+        return self.emission[np.array(numbers, np.int64)]
+
+    def _weight(self, words: pa.Array) -> np.ndarray:
+        """Sum of the weights of each word's features, compensated as that of the built-in ``sum``."""
+        n = pc.utf8_length(words).to_numpy()
+        total, lost = np.zeros(len(words)), np.zeros(len(words))
+        for kind, k, names, weight in self.weights:
+            part = words if kind == "w" else pc.utf8_slice_codeunits(words, 0, k) if kind == "p" else pc.utf8_slice_codeunits(words, -k)
+            x = weight[pc.fill_null(pc.index_in(part, value_set=names), len(names)).to_numpy()]
+            if k:
+                x[n <= k] = 0.0
+            after = total + x
+            lost += np.where(np.abs(total) >= np.abs(x), (total - after) + x, (x - after) + total)
+            total = after
+        return total + lost
 
 
 def marginals(emission: np.ndarray, lengths: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,15 +157,17 @@ def document_evidence(odds: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 def score_texts(chain: Chain, memo: _Memo, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
     """Evidence per text, token log-odds, and tokens per line of each text."""
-    values = array("d")
-    lengths, lines = [], []
-    for text in texts:
-        tokens = [line.split() for line in text.lower().split("\n")]  # as many as before: no white space has a case
-        lines.append([len(x) for x in tokens])
-        for line in tokens:
-            values.extend(map(memo.__getitem__, line))
-            lengths += [min(CHAIN, len(line) - i) for i in range(0, len(line), CHAIN)]
-    odds = marginals(np.clip(values, -LIMIT, LIMIT), np.array(lengths, np.int64), chain.step)[0] if values else np.empty(0)
+    lines: list[list[int]] = []
+
+    def tokens() -> Iterator[list[str]]:  # a text at a time
+        for text in texts:
+            split = [line.split() for line in text.lower().split("\n")]  # as many as before: no white space has a case
+            lines.append([len(line) for line in split])
+            yield from split
+
+    emission = np.clip(memo.emissions(tokens()), -LIMIT, LIMIT)
+    lengths = [min(CHAIN, n - i) for text in lines for n in text for i in range(0, n, CHAIN)]
+    odds = marginals(emission, np.array(lengths, np.int64), chain.step)[0] if lengths else np.empty(0)
     return document_evidence(odds, np.array([sum(x) for x in lines], np.int64)), odds, lines
 
 
@@ -349,9 +361,9 @@ def _scorer(chain: Chain):
         last, first, at = -2, 0, 0  # first token and place of the line; places are looked for in lines that hold a hit
         for line, n in zip(text.split("\n"), lines, strict=True):
             mine = hits[bisect_left(hits, first):bisect_left(hits, first + n)]
-            places = [m.span() for m in TOKEN.finditer(line)] if mine else []
+            places = list(TOKEN.finditer(line)) if mine else []
             for k in mine:
-                start, end = places[k - first]
+                start, end = places[k - first].span()
                 if k == last + 1 and spans:
                     spans[-1] = (spans[-1][0], at + end)
                 else:

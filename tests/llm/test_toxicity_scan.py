@@ -69,3 +69,15 @@ def test_emissions_and_spans_equal_the_definitions():
                 want[-1] = (want[-1][0], run[1])
         assert spans == ",".join(f"{a}:{b}" for a, b in want)
         first += len(places)
+
+
+def test_tokens_that_are_dropped_and_met_again_keep_their_emission(monkeypatch):
+    """A task that keeps no token from one slice to the next scores as one that keeps all."""
+    chain = toxicity.Chain({"wbad": 3.5, "pba": 0.1, "sbad": 0.7, "pgo": -1.25}, -0.3, np.array([[0.2, -0.1], [0.0, 0.4]]))
+    slices = [["bad good", "good"], ["good bad bad", ""], ["gold\nbad badly"]]
+    kept = toxicity._Memo(chain)
+    want = [toxicity.score_texts(chain, kept, s)[1] for s in slices]
+    monkeypatch.setattr(toxicity, "TOKENS", 0)
+    memo = toxicity._Memo(chain)
+    assert all((toxicity.score_texts(chain, memo, s)[1] == w).all() for s, w in zip(slices, want))
+    assert len(memo.number) == len(memo.emission) == 3 and len(kept.number) == len(kept.emission) == 4
